@@ -16,12 +16,10 @@ encoded each; an empty table gives an empty result, and other columns are neithe
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import json
 import os
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -126,11 +124,6 @@ class Fragmenter:
 _WIDE_BLANKS = np.array([0xE19A80, *range(0xE28080, 0xE2808B), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080])
 
 
-@lru_cache(2)
-def _fragmenter(model: str) -> Fragmenter:
-    return Fragmenter(model)
-
-
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -179,7 +172,6 @@ def digest_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFram
     return _columns(docs, vocabulary, _digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def decode_ids(ids: list[int], model: str) -> str:
+def decode_ids(ids: list[int], coder: Fragmenter) -> str:
     """The text of ids, as the vocabulary's byte-level decoder gives it."""
-    word = _fragmenter(model).word
-    return b"".join(word[i] for i in ids).decode("utf-8", "replace")
+    return b"".join(coder.word[i] for i in ids).decode("utf-8", "replace")
