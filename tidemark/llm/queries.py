@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, html, media, mixing, neardup, ordering, quality, search, sharding
+from tidemark.llm import bpe, html, media, mixing, neardup, ordering, quality, repeats, search, sharding
 from tidemark.llm.common import table
 
 
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op3_sharding": lambda spark, d: sharding.document_shards(table(spark, d, "documents")),
         "op4_bpe": lambda spark, d: bpe.digest_documents(table(spark, d, "documents")),
         "op5_html": lambda spark, d: html.extract_pages(table(spark, d, "pages")),
+        "op6_repeats": lambda spark, d: repeats.document_repeats(table(spark, d, "documents")),
         "op7_mixing": lambda spark, d: mixing.document_mix(table(spark, d, "documents"), table(spark, d, "labels")),
         "op8_neardup": lambda spark, d: neardup.document_components(table(spark, d, "documents")),
         "op9_media": lambda spark, d: media.document_audio(table(spark, d, "documents")),
