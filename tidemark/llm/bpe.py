@@ -84,29 +84,36 @@ class Fragmenter:
     def encode(self, fragment: bytes) -> list[int]:
         return self.coder.encode(fragment.decode("utf-8", "replace"), add_special_tokens=False).ids
 
-    def learn(self, fragments: set[bytes]) -> None:
-        if len(self.memory) > CACHE:
+    def made(self, ids: list[int]) -> tuple[bytes, int, bytes]:
+        """Of a fragment: its ids in decimal, their number, and the bytes that they decode to."""
+        return b",".join(b"%d" % i for i in ids), len(ids), b"".join([self.word[i] for i in ids])
+
+    def learn_all(self, rows: list[list[bytes]]) -> None:
+        """Encode the fragments of rows that aren't remembered."""
+        fresh = {f for row in rows for f in row if f not in self.memory and len(f) <= LONGEST}
+        if len(self.memory) + len(fresh) > CACHE:
             self.memory.clear()
-        held = list(fragments)
+            fresh = {f for row in rows for f in row if len(f) <= LONGEST}
+        held = list(fresh)
         for part in range(0, len(held), 50_000):
             some = held[part : part + 50_000]
             for f, got in zip(some, self.coder.encode_batch_fast([f.decode("utf-8", "replace") for f in some], add_special_tokens=False), strict=True):
-                ids = got.ids
-                self.memory[f] = (b",".join(b"%d" % i for i in ids), len(ids), b"".join([self.word[i] for i in ids]))
+                self.memory[f] = self.made(got.ids)
+
+    def found(self, fragments: list[bytes]) -> list[tuple[bytes, int, bytes]]:
+        """What the fragments became; those too long to remember are encoded here."""
+        known = self.memory
+        try:
+            return [known[f] for f in fragments]
+        except KeyError:
+            return [known[f] if f in known else self.made(self.encode(f)) for f in fragments]
 
     def digest(self, fragments: list[bytes]) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids, SHA-256 of the decoded text."""
-        known = self.memory
-        long = {f for f in fragments if len(f) > LONGEST}
-        extra = {}
-        for f in long:
-            ids = self.encode(f)
-            extra[f] = (b",".join(b"%d" % i for i in ids), len(ids), b"".join([self.word[i] for i in ids]))
-        found = [known[f] if f in known else extra[f] for f in fragments] if long else [known[f] for f in fragments]
-        if not found:
+        if not fragments:
             empty = hashlib.sha256(b"").hexdigest()
             return 0, empty, empty
-        ids, counts, back = zip(*found, strict=True)
+        ids, counts, back = zip(*self.found(fragments), strict=True)
         decoded = b"".join(back).decode("utf-8", "replace").encode()
         return sum(counts), hashlib.sha256(b",".join(ids)).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
@@ -149,17 +156,18 @@ def _columns(docs: DataFrame, vocabulary: str | None, work, schema: str) -> Data
 
 def _digests(coder: Fragmenter, buf: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
     rows = coder.fragments(buf, offsets)
-    fresh = {f for row in rows for f in row if f not in coder.memory and len(f) <= LONGEST}
-    if len(coder.memory) + len(fresh) > CACHE:
-        coder.memory.clear()
-        fresh = {f for row in rows for f in row if len(f) <= LONGEST}
-    coder.learn(fresh)
+    coder.learn_all(rows)
     n, ids, back = zip(*map(coder.digest, rows), strict=True)
     return [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())]
 
 
 def _ids(coder: Fragmenter, buf: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
-    return [pa.array([[i for f in row for i in coder.encode(f)] for row in coder.fragments(buf, offsets)], pa.list_(pa.int32()))]
+    rows = coder.fragments(buf, offsets)
+    coder.learn_all(rows)
+    parts = [coder.found(row) for row in rows]
+    flat = [i for row in parts for f in row if f[0] for i in map(int, f[0].split(b","))]
+    n = np.array([sum(f[1] for f in row) for row in parts], np.int64)
+    return [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat, pa.int32()))]
 
 
 def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

@@ -68,11 +68,11 @@ def targets(sizes: DataFrame) -> DataFrame:
     return s.select("_s", "source", "source_size", F.when(open_, F.col("_f._left") * F.col("_w") / F.col("_f._ws")).otherwise(F.col("_cap").cast("double")).alias("target"))
 
 
-def mix(rows: DataFrame) -> DataFrame:
-    """(doc_id, source, size, weight) -> doc_id, size, source_size, target, taken, source: one row for each input row."""
-    keyed = rows.select("doc_id", "source", "size", sampling_key(F.col("doc_id"), F.col("weight")).alias("_v"))
+def mix(rows: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, weight, *more) -> doc_id, size, source_size, target, taken, source, *more: one row for each input row."""
+    keyed = rows.select("doc_id", "source", "size", *more, sampling_key(F.col("doc_id"), F.col("weight")).alias("_v"))
     name = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))  # null and '' differ
-    units = keyed.groupBy("doc_id", "source", "size", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    units = keyed.groupBy("doc_id", "source", "size", *more, "_v").agg(F.count(F.lit(1)).alias("_n"))
     units = materialise(units.withColumns({"_s": name, "_cell": F.floor((1 - F.col("_v")) * CELLS).cast("int"), "_words": F.col("size") * F.col("_n")}), "mix")
     cells = units.groupBy("_s", "_cell").agg(F.sum("_words").alias("_sum"), F.first("source").alias("source"))
     plan = targets(cells.groupBy("_s").agg(F.first("source").alias("source"), F.sum("_sum").alias("source_size")))
@@ -80,19 +80,41 @@ def mix(rows: DataFrame) -> DataFrame:
     plan = plan.select("_s", "source_size", "target", "_epochs", (F.col("_budget") - F.col("_epochs") * F.col("source_size")).alias("_rest"))
     down = W.partitionBy("_s").orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)  # CELLS rows a source at most
     starts = cells.select("_s", "_cell", F.coalesce(F.sum("_sum").over(down), F.lit(0)).alias("_start")).join(plan, "_s")
-    inner = W.partitionBy("_s", "_cell").orderBy(F.desc("_v"), "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inner = W.partitionBy("_s", "_cell").orderBy(F.desc("_v"), "doc_id", "size", *more).rowsBetween(W.unboundedPreceding, -1)
     placed = units.withColumn("_before", F.coalesce(F.sum("_words").over(inner), F.lit(0))).join(starts, ["_s", "_cell"])
     first = placed.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / CHUNK))).alias("_chunk"))
     each = first.select("*", F.explode(F.sequence(F.col("_chunk") * CHUNK, F.least(F.col("_n") - 1, F.col("_chunk") * CHUNK + CHUNK - 1))).alias("_copy"))
     left = F.col("_rest") - F.col("_start") - F.col("_before") - F.col("_copy") * F.col("size")
     taken = F.col("_epochs") * F.col("size") + F.least(F.col("size"), F.greatest(left, F.lit(0)))
-    return each.select("doc_id", "size", F.col("source_size").cast("long"), "target", taken.cast("long").alias("taken"), "source")
+    return each.select("doc_id", "size", F.col("source_size").cast("long"), "target", taken.cast("long").alias("taken"), "source", *more)
+
+
+def _weighted(docs: DataFrame, labels: DataFrame, *more: Column) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("size"), *more)
+    return rows.join(quality_weight(labels), "doc_id", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
 
 
 def document_mix(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("size"))
-    weighted = rows.join(quality_weight(labels), "doc_id", "left")
-    return mix(weighted.withColumn("weight", F.coalesce("weight", F.lit(1.0))))
+    return mix(_weighted(docs, labels))
+
+
+def mixed_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The mix itself: each document as often as it is taken, the last time cut after the words that are taken then.
+
+    Equal rows are one document that is taken as often as all of them together.
+    """
+    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    taken = mix(_weighted(docs, labels, key.alias("_key")), ("_key",)).groupBy("doc_id", "source", "size", "_key").agg(F.sum("taken").alias("_taken"))
+    taken = taken.filter("_taken > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "size", F.col("_key").alias("_text"), "_taken")
+    one = docs.withColumn("_key", key).dropDuplicates(["doc_id", "source", "_key"])
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_key") == F.col("_text"))
+    rest = F.col("_taken") % F.col("size")
+    full = F.floor(F.col("_taken") / F.col("size"))
+    each = one.join(taken, same).withColumns({"_rest": rest, "_full": full}).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_full") + F.when(F.col("_rest") > 0, 1).otherwise(0))))
+    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    text = F.when(F.col("_copy") > F.col("_full"), F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("_rest"), F.lit(1)).cast("int")), "")).otherwise(F.col("text"))
+    out = {"text": text.alias("text"), "n_chars": F.length(text).cast(dict(docs.dtypes).get("n_chars", "long")).alias("n_chars")}
+    return each.select(*(out.get(c, c) for c in docs.columns))
 
 
 #: The same as SQL: whole windows in place of cells.

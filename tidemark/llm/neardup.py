@@ -360,7 +360,7 @@ def classes_of(rows: DataFrame) -> DataFrame:
 
 
 def link_components(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, n_shingles, component_id: one row for each document."""
+    """doc_id, text_key, n_shingles, component_id, root (names the component; null for empty sets): one row for each document."""
     rows = materialise(sketches(docs), "sketches")
     classes = classes_of(rows)
     near = components(tree_links(classes))
@@ -373,9 +373,9 @@ def link_components(docs: DataFrame) -> DataFrame:
     exact = components(dealt.mapInArrow(_confirm, "a long, b long"))
     member = classes.select("cid", "sig1", "sig2", "rep").join(exact, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
     least = member.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = member.join(least, "root").select("sig1", "sig2", "component_id")
-    full = rows.filter("n > 0").join(named, ["sig1", "sig2"]).select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id")
-    bare = rows.filter("n = 0").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    named = member.join(least, "root").select("sig1", "sig2", "component_id", "root")
+    full = rows.filter("n > 0").join(named, ["sig1", "sig2"]).select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id", "root")
+    bare = rows.filter("n = 0").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"))
     return full.unionByName(bare)
 
 
@@ -384,6 +384,17 @@ def document_components(docs: DataFrame) -> DataFrame:
     return link_components(docs).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of docs for each component, and all rows without words: that of the least doc_id (null last), whole."""
+    first = link_components(docs).filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("m"))
+    keep = first.select(F.col("m.doc_id").alias("_id"), F.col("m.text_key").alias("_key"))
+    keyed = docs.withColumn("_text", text_key())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key"))
+    some = keyed.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_text"])
+    bare = keyed.filter(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    return some.unionByName(bare).select(*docs.columns)
+
+
 #: The same as SQL: all shingles, joined.
 COMPONENTS_SQL = r"""
 WITH RECURSIVE w AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS x FROM documents),

@@ -322,28 +322,43 @@ def _cut(keep_text: bool):
                 left = np.frombuffer(text, np.uint8)[~gone].tobytes()
                 spans = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
                 rows.append((len(text), int(gone.sum()), spans))
-                kept.append(left.decode("utf-8", "ignore") if keep_text else hashlib.sha256(left).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3)), pa.array(kept, pa.string())], names=["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept"])
+                kept.append((zlib.compress(left, 1) if gone.any() else packed) if keep_text else hashlib.sha256(left).hexdigest().encode())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3)), pa.array(kept, pa.binary())], names=["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return run
 
 
 def cut_texts(docs: DataFrame, keep_text: bool) -> DataFrame:
-    """k1, k2, n_bytes, n_removed, n_spans, kept (the remaining text, or its SHA-256) of every different text."""
+    """k1, k2, n_bytes, n_removed, n_spans, kept (the remaining bytes, packed, or their SHA-256) of every different text."""
     texts = stored_texts(docs)
     found = repeated(texts).groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "n")).alias("found"))  # within one text
-    return texts.join(found, ["k1", "k2"], "left").select("k1", "k2", "packed", "copies", "found").mapInArrow(_cut(keep_text), "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept string")
+    return texts.join(found, ["k1", "k2"], "left").select("k1", "k2", "packed", "copies", "found").mapInArrow(_cut(keep_text), "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def document_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (removed runs), kept_sha256 (of the bytes that remain)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_keys())
-    return rows.join(cut_texts(docs, False), ["k1", "k2"]).select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
+    return rows.join(cut_texts(docs, False), ["k1", "k2"]).select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").cast("string").alias("kept_sha256"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs with the repeated bytes taken out of text; characters that lose a byte go whole."""
-    cut = cut_texts(docs, True).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "kept", "n_removed")
-    keys = [c.alias(f"_{n}") for c, n in zip([F.xxhash64(utf8()), F.xxhash64(F.lit(1), utf8())], ("k1", "k2"), strict=True)]
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")).alias("text")
-    return docs.select("*", *keys).join(cut, ["_k1", "_k2"]).select(*(text if c == "text" else c for c in docs.columns))
+    """docs with the repeated bytes taken out of text, less those that nothing is left of; characters that lose a byte go whole.
+
+    Texts cross the join once, packed, and only from the side of the different texts.
+    """
+    schema, at = docs.schema, docs.columns.index("text")
+    size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def unpack(batches):
+        for batch in batches:
+            texts = [zlib.decompress(t).decode("utf-8", "ignore") for t in batch.column(len(schema)).to_pylist()]
+            cols = list(batch.columns[: len(schema)])
+            cols[at] = pa.array(texts, pa.string())
+            if size is not None:
+                cols[size] = pa.array(list(map(len, texts))).cast(cols[size].type)
+            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+
+    cut = cut_texts(docs, True).filter("n_removed < n_bytes or n_bytes = 0").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "kept")
+    keys = [F.xxhash64(utf8()).alias("_k1"), F.xxhash64(F.lit(1), utf8()).alias("_k2")]
+    slim = docs.select(*(F.lit("").alias(c) if c == "text" else c for c in docs.columns), *keys)
+    return slim.join(cut, ["_k1", "_k2"]).select(*docs.columns, "kept").mapInArrow(unpack, schema)
