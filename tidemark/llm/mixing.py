@@ -104,17 +104,17 @@ def mixed_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Equal rows are one document that is taken as often as all of them together.
     """
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    taken = mix(_weighted(docs, labels, key.alias("_key")), ("_key",)).groupBy("doc_id", "source", "size", "_key").agg(F.sum("taken").alias("_taken"))
-    taken = taken.filter("_taken > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "size", F.col("_key").alias("_text"), "_taken")
-    one = docs.withColumn("_key", key).dropDuplicates(["doc_id", "source", "_key"])
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_key") == F.col("_text"))
-    rest = F.col("_taken") % F.col("size")
-    full = F.floor(F.col("_taken") / F.col("size"))
-    each = one.join(taken, same).withColumns({"_rest": rest, "_full": full}).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_full") + F.when(F.col("_rest") > 0, 1).otherwise(0))))
-    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    text = F.when(F.col("_copy") > F.col("_full"), F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("_rest"), F.lit(1)).cast("int")), "")).otherwise(F.col("text"))
+    taken = mix(_weighted(docs, labels, key.alias("key")), ("key",)).groupBy("doc_id", "source", "size", "key").agg(F.sum("taken").alias("taken"))
+    taken = taken.filter("taken > 0").toDF("taken_id", "taken_source", "size", "taken_key", "taken")
+    # a row travels as one struct, so its columns may have any names
+    one = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.col("source").alias("own_source"), key.alias("own_key")).dropDuplicates(["own_id", "own_source", "own_key"])
+    same = F.col("own_id").eqNullSafe(F.col("taken_id")) & F.col("own_source").eqNullSafe(F.col("taken_source")) & (F.col("own_key") == F.col("taken_key"))
+    each = one.join(taken, same).withColumns({"rest": F.col("taken") % F.col("size"), "full": F.floor(F.col("taken") / F.col("size"))})
+    each = each.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("full") + F.when(F.col("rest") > 0, 1).otherwise(0))))
+    words = F.regexp_extract_all(F.col("row.text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    text = F.when(F.col("copy") > F.col("full"), F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("rest"), F.lit(1)).cast("int")), "")).otherwise(F.col("row.text"))
     out = {"text": text.alias("text"), "n_chars": F.length(text).cast(dict(docs.dtypes).get("n_chars", "long")).alias("n_chars")}
-    return each.select(*(out.get(c, c) for c in docs.columns))
+    return each.select(*(out.get(c, F.col("row")[c].alias(c)) for c in docs.columns))
 
 
 #: The same as SQL: whole windows in place of cells.

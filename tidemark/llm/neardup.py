@@ -387,12 +387,13 @@ def document_components(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of docs for each component, and all rows without words: that of the least doc_id (null last), whole."""
     first = link_components(docs).filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("m"))
-    keep = first.select(F.col("m.doc_id").alias("_id"), F.col("m.text_key").alias("_key"))
-    keyed = docs.withColumn("_text", text_key())
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key"))
-    some = keyed.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_text"])
-    bare = keyed.filter(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    return some.unionByName(bare).select(*docs.columns)
+    keep = first.select(F.col("m.doc_id").alias("kept_id"), F.col("m.text_key").alias("kept_key"))
+    # a row travels as one struct, so its columns may have any names
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("own_id"), text_key().alias("own_key"))
+    same = F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_key") == F.col("kept_key"))
+    some = keyed.join(keep, same, "left_semi").dropDuplicates(["own_id", "own_key"])
+    bare = keyed.filter(~F.coalesce(F.col("row.text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    return some.unionByName(bare).select("row.*")
 
 
 #: The same as SQL: all shingles, joined.

@@ -358,7 +358,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 cols[size] = pa.array(list(map(len, texts))).cast(cols[size].type)
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    cut = cut_texts(docs, True).filter("n_removed < n_bytes or n_bytes = 0").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "kept")
-    keys = [F.xxhash64(utf8()).alias("_k1"), F.xxhash64(F.lit(1), utf8()).alias("_k2")]
-    slim = docs.select(*(F.lit("").alias(c) if c == "text" else c for c in docs.columns), *keys)
-    return slim.join(cut, ["_k1", "_k2"]).select(*docs.columns, "kept").mapInArrow(unpack, schema)
+    cut = cut_texts(docs, True).filter("n_removed < n_bytes or n_bytes = 0").select("k1", "k2", "kept")
+    slim = docs.select(F.struct(*(F.lit("").alias(c) if c == "text" else F.col(c) for c in docs.columns)).alias("row"), *text_keys())
+    kept = slim.join(cut, ["k1", "k2"])
+    return kept.select("row.*", F.col("kept").alias("_kept")).mapInArrow(unpack, schema)
