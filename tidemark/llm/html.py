@@ -9,7 +9,8 @@ with such an element keep it, less the menus, forms, asides and so on within it;
 differencing nor the tags for menus, headers, footers, sidebars, notices, adverts, forms and comments removes. A neighbour that
 holds all of a page's open lines is a copy, not a template, and deletes nothing.
 
-Sorting is a range partitioning by (host, path, page_id), so a host with a third of all pages spans many tasks, and each task
+Sorting is a range partitioning by (host, path, page_id), so a host with a third of all pages spans many tasks. Its sampling reads
+the pages a first time, which costs less than storing what was parsed. Each task
 streams its pages with one neighbour on either side; at the edge of a task a page is compared with the other neighbour.
 
 Nulls: a null page is empty text; a null URL sorts first as an empty host and path. Broken markup is read as far as it goes.
@@ -27,8 +28,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
-
 #: Kinds of line: within the declared article, open to differencing, or in a part that tags mark as no article.
 MAIN, OPEN, CHROME = "m", "o", "c"
 
@@ -198,6 +197,6 @@ def extract_pages(pages: DataFrame) -> DataFrame:
         F.regexp_extract(url, r"^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1).alias("path"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
     )
-    parsed = materialise(located.mapInArrow(parse, "page_id long, url string, host string, path string, lines binary"), "pages")
+    parsed = located.mapInArrow(parse, "page_id long, url string, host string, path string, lines binary")
     sorted_ = parsed.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
     return sorted_.mapInArrow(difference, "page_id long, url string, text string, n_chars long")
