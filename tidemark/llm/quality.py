@@ -22,6 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,9 +32,11 @@ from tidemark.llm.common import materialise
 ORDER, CLASSES = 4, 32
 #: Languages with a model of their own; the quantile of trusted perplexities that is still good; room above it.
 MODELS, QUANTILE, MARGIN = 24, 0.995, 1.1
-#: Symbols that are counted at once.
-BLOCK = 4 << 20
+#: Symbols that are counted or scored at once, and texts that are looked at together.
+BLOCK, ROWS = 1 << 20, 256
 POOLED = ""
+#: Least discount: whatever the counts, something is left for unseen symbols.
+LEAST = 0.1
 _BIN = 0.001
 
 
@@ -84,7 +87,7 @@ def count_grams(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """lang, gram, n over all trusted text. Texts cross the join packed."""
 
     def pack(batches):
-        for batch in batches:
+        for batch in (x.slice(a, ROWS) for x in batches for a in range(0, len(x), ROWS)):
             packed = [zlib.compress((t or "").encode("utf-8", "replace"), 1) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc_id", "lang", "data"])
 
@@ -104,10 +107,7 @@ def count_grams(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     def summed(held):
         for lang, texts in held.items():
             gram, starts, ends = grams(texts)
-            inside = np.zeros(len(gram) + 1, np.int8)
-            np.add.at(inside, starts, 1)
-            np.add.at(inside, ends, -1)
-            found, n = np.unique(gram[np.cumsum(inside)[:-1] > 0], return_counts=True)
+            found, n = np.unique(np.concatenate([gram[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.astype(np.int32)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
     rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit(POOLED)).alias("lang"), "text")
@@ -115,41 +115,32 @@ def count_grams(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     return packed.select("lang", "data").mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def kneser_ney(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lang, gram, n) of the highest order -> (lang, order, gram, p) of seen n-grams and (lang, order, context, gamma).
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    """(lang, gram, n) of the highest order -> lang, order, gram, p, gamma for the seen n-grams of all orders.
 
-    Lower orders count the different symbols before an n-gram. Each order's shards are joined with their contexts' totals and
-    with the order's three discounts.
+    p is an n-gram's discounted share, gamma what its context leaves to the shorter context. Lower orders count the different
+    symbols before an n-gram. The n-gram shards are joined with their contexts' totals, and those with the three discounts of
+    their order.
     """
-    seen, back = [], []
-    table = counts
-    for order in range(ORDER, 0, -1):
-        if order < ORDER:
-            table = table.groupBy("lang", (F.col("gram") % (CLASSES**order)).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
-        kinds = [F.sum(F.when(F.col("n") == k, 1).otherwise(0)).alias(f"n{k}") for k in (1, 2, 3, 4)]
-        of = table.groupBy("lang").agg(*kinds)
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-
-        def discount(k: int, y=y):
-            raw = k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")
-            return F.when((F.col("n1") > 0) & (F.col(f"n{k}") > 0), F.least(F.greatest(raw, F.lit(0.0)), F.lit(float(k)))).otherwise(k / 2.0).alias(f"d{k}")
-
-        of = of.select("lang", *(discount(k) for k in (1, 2, 3)))
-        held = table.withColumn("context", F.floor(F.col("gram") / CLASSES).cast("int"))
-        group = held.groupBy("lang", "context").agg(F.sum("n").alias("total"), *(F.sum(F.when((F.col("n") == k) if k < 3 else (F.col("n") >= 3), 1).otherwise(0)).alias(f"c{k}") for k in (1, 2, 3)))
-        group = group.join(of, "lang")
-        part = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        p = held.join(group, ["lang", "context"]).select("lang", F.lit(order).alias("order"), F.col("gram").cast("int").alias("gram"), (F.greatest(F.col("n") - part, F.lit(0.0)) / F.col("total")).alias("p"))
-        gamma = (F.col("d1") * F.col("c1") + F.col("d2") * F.col("c2") + F.col("d3") * F.col("c3")) / F.col("total")
-        seen.append(p)
-        back.append(group.select("lang", F.lit(order).alias("order"), "context", gamma.alias("gamma")))
-    unions = []
-    for parts in (seen, back):
-        all_ = parts[0]
-        for x in parts[1:]:
-            all_ = all_.unionByName(x)
-        unions.append(all_)
-    return unions[0], unions[1]
+    size = F.pow(F.lit(CLASSES), "order").cast("int")
+    each = counts.select("lang", "gram", "n", F.explode(F.sequence(F.lit(1), F.lit(ORDER))).alias("order"))
+    each = each.select("lang", "order", (F.col("gram") % size).alias("gram"), F.when(F.col("order") < ORDER, F.col("gram") % (size * CLASSES)).otherwise(0).alias("longer"), "n")
+    table = each.groupBy("lang", "order", "gram", "longer").agg(F.sum("n").alias("n")).groupBy("lang", "order", "gram")
+    table = table.agg(F.when(F.col("order") < ORDER, F.count(F.lit(1))).otherwise(F.sum("n")).alias("n")).withColumn("context", F.floor(F.col("gram") / CLASSES).cast("int"))
+    of = table.groupBy("lang", "order").agg(*(F.sum(F.when(F.col("n") == k, 1).otherwise(0)).alias(f"n{k}") for k in (1, 2, 3, 4)))
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+
+    def discount(k: int):
+        raw = k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")
+        return F.when((F.col("n1") > 0) & (F.col(f"n{k}") > 0), F.least(F.greatest(raw, F.lit(LEAST)), F.lit(float(k)))).otherwise(k / 2.0).alias(f"d{k}")
+
+    of = of.select("lang", "order", *(discount(k) for k in (1, 2, 3)))
+    kinds = [F.sum(F.when((F.col("n") == k) if k < 3 else (F.col("n") >= 3), 1).otherwise(0)).alias(f"c{k}") for k in (1, 2, 3)]
+    group = table.groupBy("lang", "order", "context").agg(F.sum("n").alias("total"), *kinds).join(of, ["lang", "order"])
+    part = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    gamma = (F.col("d1") * F.col("c1") + F.col("d2") * F.col("c2") + F.col("d3") * F.col("c3")) / F.col("total")
+    p = F.greatest(F.col("n") - part, F.lit(0.0)) / F.col("total")
+    return table.join(group, ["lang", "order", "context"]).select("lang", "order", "gram", p.alias("p"), gamma.alias("gamma"))
 
 
 def model(docs: DataFrame, trusted: DataFrame) -> dict[str, np.ndarray]:
@@ -158,24 +149,24 @@ def model(docs: DataFrame, trusted: DataFrame) -> dict[str, np.ndarray]:
     sizes = counts.filter(F.col("lang") != POOLED).groupBy("lang").agg(F.sum("n").alias("n"))
     own = [r["lang"] for r in sizes.orderBy(F.desc("n"), "lang").limit(MODELS).collect()]
     pooled = counts.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "gram", "n")
-    seen, back = kneser_ney(materialise(counts.filter(F.col("lang").isin(own)).unionByName(pooled), "counts"))
-    out: dict[str, np.ndarray] = {}
+    shards = kneser_ney(counts.filter(F.col("lang").isin(own)).unionByName(pooled))
     # at most (MODELS + 1) x (32 + 32 ** 2 + 32 ** 3 + 32 ** 4) rows, whatever the corpus
-    p, gamma = seen.toPandas(), back.toPandas()
-    for lang in [*own, POOLED]:
+    rows = shards.toArrow()
+    langs, order, gram, p, gamma = (rows.column(c).combine_chunks() for c in rows.column_names)
+    order, gram, p, gamma = (c.to_numpy(zero_copy_only=False) for c in (order, gram, p, gamma))
+    out: dict[str, np.ndarray] = {}
+    for lang in [*own, POOLED] if len(rows) else []:
+        mine = pc.equal(langs, lang).to_numpy(zero_copy_only=False)
         below = np.full(1, 1.0 / CLASSES)
-        for order in range(1, ORDER + 1):
-            here = p[(p["lang"] == lang) & (p["order"] == order)]
-            g = gamma[(gamma["lang"] == lang) & (gamma["order"] == order)]
-            weight = np.ones(CLASSES ** (order - 1))
-            weight[g["context"].to_numpy()] = g["gamma"].to_numpy()
-            table = np.zeros(CLASSES**order)
-            table[here["gram"].to_numpy()] = here["p"].to_numpy()
-            shorter = below if order == 1 else np.tile(below, CLASSES)
-            table += np.repeat(weight, CLASSES) * (np.repeat(below, CLASSES) if order == 1 else shorter)
+        for k in range(1, ORDER + 1):
+            here = mine & (order == k)
+            weight = np.ones(CLASSES ** (k - 1))
+            weight[gram[here] // CLASSES] = gamma[here]
+            table = np.zeros(CLASSES**k)
+            table[gram[here]] = p[here]
+            table += np.repeat(weight, CLASSES) * (below[0] if k == 1 else np.tile(below, CLASSES))
             below = table
-        if len(p):
-            out[lang] = -np.log2(np.maximum(below, 1e-12)).astype(np.float32)
+        out[lang] = -np.log2(np.maximum(below, 1e-12)).astype(np.float32)
     return out
 
 
@@ -185,7 +176,7 @@ def perplexities(docs: DataFrame, tables: dict[str, np.ndarray]) -> DataFrame:
 
     def score(batches):
         bits = held.value
-        for batch in batches:
+        for batch in (x.slice(a, ROWS) for x in batches for a in range(0, len(x), ROWS)):
             langs, texts = batch.column(1).to_pylist(), [t or "" for t in batch.column(2).to_pylist()]
             names = [lang if lang in bits else POOLED for lang in langs]
             value = np.full(len(texts), np.nan)
@@ -252,7 +243,7 @@ def _keeper(docs: DataFrame, tables: dict, at: dict, every: float | None):
 
     def keep(batches):
         bits = held.value
-        for batch in batches:
+        for batch in (x.slice(a, ROWS) for x in batches for a in range(0, len(x), ROWS)):
             langs, texts = batch.column(lang_at).to_pylist(), batch.column(text_at).to_pylist()
             good = []
             for lang, text in zip(langs, texts, strict=True):
