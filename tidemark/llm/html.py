@@ -200,3 +200,13 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     parsed = located.mapInArrow(parse, "page_id long, url string, host string, path string, lines binary")
     sorted_ = parsed.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
     return sorted_.mapInArrow(difference, "page_id long, url string, text string, n_chars long")
+
+
+#: The same as SQL for pages that declare an article, and whose articles hold headings, paragraphs and inline markup only.
+ARTICLES_SQL = r"""
+WITH a AS (SELECT CAST(page_id AS BIGINT) AS page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1), '<br>', ' ', 'g') AS art FROM pages),
+l AS (SELECT page_id, url, [regexp_replace(x, '<[^>]*>', '', 'g') for x in regexp_split_to_array(art, '</?(?:p|h[1-6])>')] AS lines FROM a),
+u AS (SELECT page_id, url, [trim(regexp_replace(replace(regexp_replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), chr(160), ' '), '\s+', ' ', 'g')) for x in lines] AS lines FROM l),
+t AS (SELECT page_id, url, array_to_string([x for x in lines if x <> ''], chr(10)) AS text FROM u)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t
+"""
