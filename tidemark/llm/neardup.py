@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import byte_view, materialise, slices, utf8
 
 WORDS, PERCENT = 5, 85
-COORDINATES, TREES, BRANCHES, LEAF, DEPTH = 64, 6, 2, 400, 4
+COORDINATES, TREES, BRANCHES, LEAF, DEPTH = 64, 6, 2, 2048, 4
 #: Minwise tokens of COORDINATES that must agree before full sets are compared; classes of a block of a large group.
 AGREE, GROUP = 32, 800
 #: Bytes of text that are hashed at once.
