@@ -36,11 +36,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_view, materialise, shared_dir, slices, utf8
+from tidemark.llm.common import materialise, shared_dir, utf8
 from tidemark.llm.neardup import _groups, mix, powers, prefix_hash
 
 WINDOW, ANCHOR, CLASS = 200, 72, 8
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 #: Windows that are compared by one suffix array, about.
 ROWS = 20_000
 
@@ -225,25 +225,45 @@ def stored_texts(docs: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
-def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    texts = [zlib.decompress(t) for t in column.to_pylist()]
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)]).astype(np.int64)
-    return np.frombuffer(b"".join(texts), np.uint8), offsets
+def _blocks(batch: pa.RecordBatch):
+    """Parts of a batch with their unpacked texts and offsets, of BLOCK bytes or one text."""
+    a, texts, size = 0, [], 0
+    for k, packed in enumerate(batch.column(2)):
+        texts.append(zlib.decompress(packed.as_py()))
+        size += len(texts[-1])
+        if size >= BLOCK or k == len(batch) - 1:
+            yield batch.slice(a, len(texts)), np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+            a, texts, size = k + 1, [], 0
 
 
 def _runs(batches):
-    """(k1, k2, packed) -> the runs of every text; shape packs number of windows and distance to the anchor."""
+    """(k1, k2, packed) -> the runs of every text; shape packs number of windows and distance to the anchor.
+
+    Of runs that are equal within a block, all are known to repeat. One of them goes on for the block, with their number; it and the
+    runs that stand alone are routed by their anchor. The others are routed anywhere, so a passage that is in every text is no hot key.
+    """
     for batch in batches:
-        for a in range(0, len(batch), 256):
-            part = batch.slice(a, 256)
-            buf, at = _unpacked(part.column(2))
-            for x, y in slices(len(part), at, BLOCK):
-                row, first, count, distance, anchor, content = anchored_runs(buf[at[x] : at[y]], at[x : y + 1] - at[x])
-                own = pa.array(row + x)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(own), part.column(1).take(own), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(first << 16 | count << 8 | distance)],
-                    names=["k1", "k2", "anchor", "content", "shape"],
-                )
+        for part, buf, at in _blocks(batch):
+            row, first, count, distance, anchor, content = anchored_runs(buf, at)
+            _, one, kind, many = np.unique(np.stack([anchor, content], 1), axis=0, return_index=True, return_inverse=True, return_counts=True)
+            copies = many[kind.ravel()] if len(row) else np.zeros(0, np.int64)
+            known = np.ones(len(row), bool)
+            known[one] = False
+            place = first.astype(np.uint64) + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            with np.errstate(over="ignore"):
+                route = np.where(known, mix(place ^ content), anchor)
+            own = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0).take(own),
+                    part.column(1).take(own),
+                    pa.array(route.view(np.int64)),
+                    pa.array(content.view(np.int64)),
+                    pa.array(first << 16 | count << 8 | distance),
+                    pa.array(np.where(known, 0, copies).astype(np.int64)),
+                ],
+                names=["k1", "k2", "route", "content", "shape", "copies"],
+            )
 
 
 def _bits(batches):
@@ -292,17 +312,18 @@ def _compare(batches):
 
 def repeated(texts: DataFrame) -> DataFrame:
     """(k1, k2, first, n): runs of repeated windows in the different texts."""
-    runs = texts.select("k1", "k2", "packed").mapInArrow(_runs, "k1 long, k2 long, anchor long, content long, shape long")
-    by, kind = W.partitionBy("anchor"), W.partitionBy("anchor", "content")
-    met = runs.repartition("anchor").select(
+    runs = texts.select("k1", "k2", "packed").mapInArrow(_runs, "k1 long, k2 long, route long, content long, shape long, copies long")
+    known = F.col("copies") == 0  # of a kind whose one stands for it elsewhere
+    by, kind = W.partitionBy("route", "known"), W.partitionBy("route", "known", "content")
+    met = runs.withColumn("known", known).repartition("route").select(
         "*",
-        F.count(F.lit(1)).over(kind).alias("same"),
+        F.sum("copies").over(kind).alias("same"),
         F.row_number().over(kind.orderBy("k1", "k2", "shape")).alias("nth"),
         (F.min("content").over(by) != F.max("content").over(by)).alias("mixed"),
     )
-    met = materialise(met.filter("same > 1 or mixed"), "runs")
-    whole = met.filter("same > 1").select("k1", "k2", F.shiftright("shape", 16).alias("first"), F.shiftright("shape", 8).bitwiseAND(255).alias("n"))
-    wanted = met.filter("mixed and nth = 1").groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "shape")).alias("wanted"))
+    met = materialise(met.filter("known or same > 1 or mixed"), "runs")
+    whole = met.filter("known or same > 1").select("k1", "k2", F.shiftright("shape", 16).alias("first"), F.shiftright("shape", 8).bitwiseAND(255).alias("n"))
+    wanted = met.filter("not known and mixed and nth = 1").groupBy("k1", "k2").agg(F.collect_list(F.struct(F.col("route").alias("anchor"), "shape")).alias("wanted"))
     bits = texts.join(wanted, ["k1", "k2"]).select("k1", "k2", "packed", "wanted").mapInArrow(_bits, "k1 long, k2 long, anchor long, shape long, bits binary")
     apart = bits.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "shape", "bits", "k1", "k2")
     return whole.unionByName(apart.mapInArrow(_compare, "k1 long, k2 long, first long, n long"))
