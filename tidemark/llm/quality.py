@@ -111,7 +111,8 @@ def count_grams(docs: DataFrame, trusted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.astype(np.int32)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
     rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit(POOLED)).alias("lang"), "text")
-    packed = rows.mapInArrow(pack, "doc_id long, lang string, data binary").join(trusted, "doc_id", "left_semi")
+    # the same join at every size: labels grow with the documents
+    packed = rows.mapInArrow(pack, "doc_id long, lang string, data binary").join(trusted.hint("merge"), "doc_id", "left_semi")
     return packed.select("lang", "data").mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
