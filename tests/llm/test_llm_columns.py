@@ -251,4 +251,4 @@ def test_memory_is_bounded(monkeypatch, library):
     for k in range(5):
         rows = [[f" word{k}{j}".encode() for j in range(8)]]
         coder.learn_all(rows)
-        assert len(coder.memory) <= 10 and len(coder.found(rows[0])) == 8
+        assert len(coder.memory) <= 18 and len(coder.old) <= 18 and len(coder.found(rows[0])) == 8

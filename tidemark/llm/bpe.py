@@ -8,7 +8,8 @@ joined. Two kinds of place qualify:
   the left of the place looks past it;
 * between two ASCII letters: both sides lie in one run of letters, which the pre-tokeniser takes as it is, whole or halved.
 
-Fragments are mostly words, so each task remembers what a fragment became; the memory is bounded by CACHE fragments.
+Fragments are mostly words, so each task remembers what a fragment became. Once CACHE fragments are remembered they become the old
+generation, from which those met again are taken over; the generation before is forgotten. So memory is bounded.
 
 Null texts count as empty. An empty text has no ids. Very long texts without any cut are one fragment. Repeated rows are
 encoded each; an empty table gives an empty result, and other columns are neither read nor kept.
@@ -20,18 +21,20 @@ import hashlib
 import json
 import os
 import re
+import sys
+import types
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_view, slices, utf8
+from tidemark.llm.common import bounded, byte_view, release, slices, utf8
 
-#: Fragments that a task remembers before it starts afresh, and the longest that it remembers, in bytes.
-CACHE, LONGEST = 600_000, 48
+#: Fragments that a task remembers in each of two generations, and the longest that it remembers, in bytes.
+CACHE, LONGEST = 60_000, 48
 #: Bytes of text that are cut at once.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 
 def byte_of_char() -> dict[str, int]:
@@ -66,7 +69,27 @@ class Fragmenter:
         kind = (~space[left] & space[right]) | (letter[left] & letter[right])
         kind &= ~((left >= 28) & (left <= 31))  # also white space to some pre-tokenisers
         self.cut = kind & ~inside
+        self.quick = self._second_coder(spec, words, added)
         self.memory: dict[bytes, tuple[bytes, int, bytes]] = {}
+        self.old: dict[bytes, tuple[bytes, int, bytes]] = {}
+
+    def _second_coder(self, spec: dict, words: dict[int, bytes], added: dict[int, bytes]):
+        """A coder that takes a short fragment in a tenth of the time, where the vocabulary is known to make it agree: merges in the
+        order of their ids, the usual byte-level pre-tokeniser, no normaliser. It gets fragments of plain characters only (PLAIN), on
+        which pre-tokenisers don't differ. None where something is missing."""
+        try:
+            import tiktoken
+        except ImportError:
+            return None
+        ids = spec["model"]["vocab"]
+        made = [ids.get("".join(m if isinstance(m, list) else m.split(" "))) for m in spec["model"]["merges"]]
+        usual = spec.get("pre_tokenizer") or {}
+        if None in made or made != sorted(made) or spec.get("normalizer") or usual.get("type") != "ByteLevel" or usual.get("add_prefix_space") or not usual.get("use_regex", True):
+            return None
+        ranks = {w: i for i, w in words.items() if i not in added}
+        if any(bytes([b]) not in ranks for b in range(256)):
+            return None
+        return tiktoken.Encoding("fragments", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def cuts(self, buf: np.ndarray) -> np.ndarray:
         """Places k where bytes k - 1 and k are certainly apart."""
@@ -90,16 +113,29 @@ class Fragmenter:
 
     def learn_all(self, rows: list[list[bytes]]) -> None:
         """Encode the fragments of rows that aren't remembered."""
-        fresh = {f for row in rows for f in row if f not in self.memory and len(f) <= LONGEST}
-        if len(self.memory) + len(fresh) > CACHE:
-            self.memory.clear()
-            fresh = {f for row in rows for f in row if len(f) <= LONGEST}
-        held = list(fresh)
-        for part in range(0, len(held), 50_000):
-            some = held[part : part + 50_000]
+        need = {f for row in rows for f in row if len(f) <= LONGEST}
+        if len(self.memory) > CACHE:
+            self.old, self.memory = self.memory, {}
+        fresh = []
+        for f in need - self.memory.keys():
+            if f in self.old:
+                self.memory[f] = self.old[f]
+            else:
+                fresh.append(f)
+        held = []
+        for f in fresh:
+            if self.quick and PLAIN(f):
+                self.memory[f] = self.made(self.quick(f.decode()))
+            else:
+                held.append(f)
+        for part in range(0, len(held), 5_000):
+            some = held[part : part + 5_000]
             for f, got in zip(some, self.coder.encode_batch_fast([f.decode("utf-8", "replace") for f in some], add_special_tokens=False), strict=True):
                 self.memory[f] = self.made(got.ids)
 
+    def forget(self) -> None:
+        self.memory, self.old = {}, {}
+
     def found(self, fragments: list[bytes]) -> list[tuple[bytes, int, bytes]]:
         """What the fragments became; those too long to remember are encoded here."""
         known = self.memory
@@ -127,10 +163,25 @@ class Fragmenter:
         return [pieces[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
 
 
+#: Fixed value: the byte-level pre-tokeniser's pattern.
+_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Fragments of printable ASCII without brackets of special tokens, and of the accented letters U+00C0 to U+00FF.
+PLAIN = re.compile(rb"(?:[ !-;=?-{}~]|\xc3[\x80-\xbf])*").fullmatch
 #: UTF-8 of the three-byte white space characters.
 _WIDE_BLANKS = np.array([0xE19A80, *range(0xE28080, 0xE2808B), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080])
 
 
+def held_coder(model: str) -> Fragmenter:
+    """The worker's coder for a vocabulary: loaded once, with nothing remembered from earlier tasks."""
+    # functions come to a worker by value, so what is to outlive a task can't be a variable of this module
+    held = sys.modules.setdefault("_tidemark_worker", types.ModuleType("_tidemark_worker")).__dict__
+    name = hashlib.sha256(model.encode()).hexdigest()
+    if name not in held:
+        held[name] = Fragmenter(model)
+    held[name].forget()
+    return held[name]
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -143,15 +194,17 @@ def _columns(docs: DataFrame, vocabulary: str | None, work, schema: str) -> Data
         model = docs.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file: a fixed size
 
     def run(batches):
-        coder = Fragmenter(model.value)
+        coder = held_coder(model.value)
         for batch in batches:
             buf, at = byte_view(batch.column(1))
             for a, b in slices(len(batch), at, BLOCK):
                 cols = work(coder, buf[at[a] : at[b]], at[a : b + 1] - at[a])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *cols], names=names)
+        coder.forget()
+        release()
 
     names = [x.split()[0] for x in re.split(r",\s*", schema)]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("data")).mapInArrow(run, schema)
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("data")).mapInArrow(run, schema)
 
 
 def _digests(coder: Fragmenter, buf: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import bounded
+
 #: Kinds of line: within the declared article, open to differencing, or in a part that tags mark as no article.
 MAIN, OPEN, CHROME = "m", "o", "c"
 
@@ -190,7 +192,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "text", "n_chars"])
 
     url = F.coalesce("url", F.lit(""))
-    located = pages.select(
+    located = bounded(pages).select(
         F.col("page_id").cast("long").alias("page_id"),
         F.col("url").cast("string").alias("url"),
         F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)).alias("host"),

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_view, utf8
+from tidemark.llm.common import bounded, byte_view, utf8
 
 RATE_IN, RATE_OUT = 8000, 16000
 UNIT = 64
@@ -153,5 +153,5 @@ def document_audio(docs: DataFrame) -> DataFrame:
             cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("data"))
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("data"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_view, materialise, slices, utf8
+from tidemark.llm.common import bounded, byte_view, materialise, release, slices, utf8
 
 WORDS, PERCENT = 5, 85
 COORDINATES, TREES, BRANCHES, LEAF, DEPTH = 64, 6, 2, 2048, 4
 #: Minwise tokens of COORDINATES that must agree before full sets are compared; classes of a block of a large group.
 AGREE, GROUP = 32, 800
 #: Bytes of text that are hashed at once.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _ODD = [0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
 
@@ -161,8 +161,9 @@ def sketches(docs: DataFrame) -> DataFrame:
                     ],
                     names=["doc_id", "text_key", "n", "sig1", "sig2", "sketch", "roots"],
                 )
+        release()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), utf8().alias("data"))
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), utf8().alias("data"))
     return rows.mapInArrow(run, "doc_id long, text_key long, n long, sig1 long, sig2 long, sketch binary, roots array<long>")
 
 

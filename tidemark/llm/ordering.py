@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_view, materialise, utf8
+from tidemark.llm.common import bounded, byte_view, materialise, utf8
 
 #: Tokens of a sequence, sequences of a shard, the permutation's key.
 LENGTH, PER_SHARD, KEY = 1024, 4096, 20260101
@@ -73,7 +73,7 @@ def sequences(docs: DataFrame) -> DataFrame:
             pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(buf))]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(seq, pa.int64()), pieces], names=["doc_id", "seq_no", "piece"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("data"))
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("data"))
     return rows.mapInArrow(run, "doc_id long, seq_no long, piece binary")
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import bounded, materialise, release
 
 ORDER, CLASSES = 4, 32
 #: Languages with a model of their own; the quantile of trusted perplexities that is still good; room above it.
@@ -103,6 +103,7 @@ def count_grams(docs: DataFrame, trusted: DataFrame) -> DataFrame:
                     yield from summed(held)
                     held, size = {}, 0
         yield from summed(held)
+        release()
 
     def summed(held):
         for lang, texts in held.items():
@@ -110,7 +111,7 @@ def count_grams(docs: DataFrame, trusted: DataFrame) -> DataFrame:
             found, n = np.unique(np.concatenate([gram[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.astype(np.int32)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
-    rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit(POOLED)).alias("lang"), "text")
+    rows = bounded(docs).filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit(POOLED)).alias("lang"), "text")
     # the same join at every size: labels grow with the documents
     packed = rows.mapInArrow(pack, "doc_id long, lang string, data binary").join(trusted.hint("merge"), "doc_id", "left_semi")
     return packed.select("lang", "data").mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -200,8 +201,9 @@ def perplexities(docs: DataFrame, tables: dict[str, np.ndarray]) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(np.round(value, 6), pa.float64(), mask=np.isnan(value))],
                 names=["doc_id", "lang", "model", "n_symbols", "perplexity"],
             )
+        release()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(score, "doc_id long, lang string, model string, n_symbols long, perplexity double")
 
 
@@ -257,5 +259,6 @@ def _keeper(docs: DataFrame, tables: dict, at: dict, every: float | None):
                 mean = np.add.reduceat(bits[name][gram[starts[0] : ends[0]]].astype(np.float64), [0])[0] / len(text)
                 good.append(round(float(np.exp2(mean)), 6) <= round(limit, 6))
             yield batch.filter(pa.array(good, pa.bool_()))
+        release()
 
     return keep

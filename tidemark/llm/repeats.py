@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, shared_dir, utf8
+from tidemark.llm.common import bounded, materialise, release, shared_dir, utf8
 from tidemark.llm.neardup import _groups, mix, powers, prefix_hash
 
 WINDOW, ANCHOR, CLASS = 200, 72, 8
@@ -217,7 +217,7 @@ def stored_texts(docs: DataFrame) -> DataFrame:
             packed = pa.array([zlib.compress(t, 1) for t in batch.column(2).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], packed], names=["k1", "k2", "packed"])
 
-    rows = docs.select(*text_keys(), utf8().alias("data")).mapInArrow(pack, "k1 long, k2 long, packed binary")
+    rows = bounded(docs).select(*text_keys(), utf8().alias("data")).mapInArrow(pack, "k1 long, k2 long, packed binary")
     texts = rows.groupBy("k1", "k2").agg(F.first("packed").alias("packed"), F.count(F.lit(1)).alias("copies"))
     name = f"tidemark_texts_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -264,6 +264,7 @@ def _runs(batches):
                 ],
                 names=["k1", "k2", "route", "content", "shape", "copies"],
             )
+    release()
 
 
 def _bits(batches):
@@ -308,6 +309,7 @@ def _compare(batches):
             tables, size = [], 0
     if tables:
         yield flush(tables)
+    release()
 
 
 def repeated(texts: DataFrame) -> DataFrame:
