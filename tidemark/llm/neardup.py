@@ -240,6 +240,7 @@ def _compare_nodes(batches):
             yield stars(near, ids)
 
     yield from _link_batches(each())
+    release()
 
 
 def _branch(batches):
@@ -334,7 +335,7 @@ def similar(sets: list[np.ndarray]) -> np.ndarray:
     row, column = row[shared], column[shared]
     column = np.unique(column, return_inverse=True)[1] if len(column) else column
     both = np.zeros((m, m), np.float32)
-    width = max(1, (8 << 20) // max(m, 1))
+    width = max(1, (2 << 20) // max(m, 1))
     for a in range(0, int(column.max()) + 1 if len(column) else 0, width):
         part = (column >= a) & (column < a + width)
         held = np.zeros((m, width), np.float32)
@@ -352,6 +353,7 @@ def _confirm(batches):
                 yield stars(similar([np.frombuffer(h, np.uint64) for h in group.column("hashes").to_pylist()]), ids)
 
     yield from _link_batches(each())
+    release()
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
