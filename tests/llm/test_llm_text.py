@@ -146,6 +146,24 @@ def test_one_of_each(docs, rows, no_docs):
     assert neardup.one_of_each(no_docs).count() == 0
 
 
+def test_stage_links_at_eighty(spark):
+    """The pipeline's stage against brute force at 80 percent, with pairs between 80 and 85; the query still links at 85."""
+    rng, rows = random.Random(8), []
+    for _ in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        other = words[:]
+        for k in rng.sample(range(5, 95), rng.randrange(1, 4)):
+            other[k] = "changed"
+        rows += [(len(rows) + k, " ".join(t), "en", "s", 0) for k, t in enumerate((words, other))]
+    sets = [shingles(r[1]) for r in rows]
+    ratio = [100 * len(sets[k] & sets[k + 1]) / len(sets[k] | sets[k + 1]) for k in range(0, len(sets), 2)]
+    assert sum(80 <= x < 85 for x in ratio) > 5 and any(x < 80 for x in ratio)
+    df = spark.createDataFrame(rows, DOCS)
+    want = {rows[2 * k + j][0] for k, x in enumerate(ratio) for j in range(1 if x >= 80 else 2)}
+    assert {r["doc_id"] for r in neardup.one_of_each(df).collect()} == want
+    assert Counter(tuple(r) for r in neardup.document_components(df).collect()) == brute_components(rows)
+
+
 def test_star_rounds(spark):
     rng = random.Random(4)
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(200 + rng.randrange(30), 200 + rng.randrange(30)) for _ in range(60)] + [(7, 7)]

@@ -7,11 +7,13 @@ The join branches classes into trees. At a tree's root each class follows BRANCH
 minwise token at a chosen coordinate meet in a node. A node of at most LEAF classes is compared exhaustively on the minwise
 tokens; a larger one branches again, along coordinates that its path's hash chooses. Nodes that are still large after DEPTH levels
 are compared exhaustively too, dealt out as pairs of blocks, so nothing is capped. TREES independent trees bring the chance of
-missing a pair at similarity 0.85 to 0.15 ** (TREES * BRANCHES) at the first level, below one in a billion, and a little above
-that for pairs that meet in large nodes only; the cut on minwise tokens (half must agree, where 0.85 is expected) adds less.
+missing a pair at similarity 0.8 to 0.2 ** (TREES * BRANCHES) at the first level, below one in a hundred million, and to about
+5e-8 for pairs that meet in large nodes at all levels; the cut on minwise tokens (half must agree, where 0.8 is expected) adds 2e-8.
+At 0.85 these are below one in a billion, 9e-10 and 9e-12.
 
 A node only reports which of its classes hang together. The groups this gives are then confirmed on full shingle sets: each
-group's sets meet (large groups as pairs of blocks), and 100 * |intersection| >= 85 * |union| alone makes a link. Components of
+group's sets meet (large groups as pairs of blocks), and 100 * |intersection| >= percent * |union| alone makes a link:
+85 percent in the query, 80 in the pipeline. Components of
 links are found by alternating large-star and small-star rounds over tables in the shared folder.
 
 Words are hashed to 64 bits, and shingles from those, so sets are compared up to 64-bit collisions.
@@ -30,7 +32,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded, byte_view, materialise, release, slices, utf8
 
-WORDS, PERCENT = 5, 85
+WORDS = 5
+#: Similarity in percent that links documents: in the query, whose SQL fixes it, and in the pipeline's stage.
+PERCENT, STAGE_PERCENT = 85, 80
 COORDINATES, TREES, BRANCHES, LEAF, DEPTH = 64, 6, 2, 2048, 4
 #: Minwise tokens of COORDINATES that must agree before full sets are compared; classes of a block of a large group.
 AGREE, GROUP = 32, 800
@@ -322,8 +326,8 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(3)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["grp", "size", "cid", "hashes"])
 
 
-def similar(sets: list[np.ndarray]) -> np.ndarray:
-    """Which pairs of sets satisfy 100 * |intersection| >= PERCENT * |union|."""
+def similar(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs of sets satisfy 100 * |intersection| >= percent * |union|."""
     m = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
     flat, row = np.concatenate(sets), np.repeat(np.arange(m), size)
@@ -342,18 +346,21 @@ def similar(sets: list[np.ndarray]) -> np.ndarray:
         held[row[part], column[part] - a] = 1
         both += held @ held.T
     both = both.astype(np.int64)
-    return 100 * both >= PERCENT * (size[:, None] + size[None, :] - both)
+    return 100 * both >= percent * (size[:, None] + size[None, :] - both)
 
 
-def _confirm(batches):
-    def each():
-        for group in _groups(batches, 3):
-            ids = group.column("cid").to_numpy()
-            if len(ids) > 1:
-                yield stars(similar([np.frombuffer(h, np.uint64) for h in group.column("hashes").to_pylist()]), ids)
+def _confirm(percent: int):
+    def run(batches):
+        def each():
+            for group in _groups(batches, 3):
+                ids = group.column("cid").to_numpy()
+                if len(ids) > 1:
+                    yield stars(similar([np.frombuffer(h, np.uint64) for h in group.column("hashes").to_pylist()], percent), ids)
 
-    yield from _link_batches(each())
-    release()
+        yield from _link_batches(each())
+        release()
+
+    return run
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
@@ -362,7 +369,7 @@ def classes_of(rows: DataFrame) -> DataFrame:
     return materialise(some.select(F.monotonically_increasing_id().alias("cid"), "*"), "classes")
 
 
-def link_components(docs: DataFrame) -> DataFrame:
+def link_components(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id, root (names the component; null for empty sets): one row for each document."""
     rows = materialise(sketches(docs), "sketches")
     classes = classes_of(rows)
@@ -373,7 +380,7 @@ def link_components(docs: DataFrame) -> DataFrame:
     texts = docs.select(text_key().alias("text_key"), utf8().alias("data")).groupBy("text_key").agg(F.first("data").alias("data"))
     sets = need.join(texts, "text_key").select("grp", "size", "cid", "data").mapInArrow(_sets, "grp long, size long, cid long, hashes binary")
     dealt = block_pairs(sets, "grp", GROUP).repartition("grp", "one", "two").sortWithinPartitions("grp", "one", "two")
-    exact = components(dealt.mapInArrow(_confirm, "a long, b long"))
+    exact = components(dealt.mapInArrow(_confirm(percent), "a long, b long"))
     member = classes.select("cid", "sig1", "sig2", "rep").join(exact, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
     least = member.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = member.join(least, "root").select("sig1", "sig2", "component_id", "root")
@@ -384,12 +391,12 @@ def link_components(docs: DataFrame) -> DataFrame:
 
 def document_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (the component's own document)."""
-    return link_components(docs).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return link_components(docs, PERCENT).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of docs for each component, and all rows without words: that of the least doc_id (null last), whole."""
-    first = link_components(docs).filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("m"))
+    first = link_components(docs, STAGE_PERCENT).filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("m"))
     keep = first.select(F.col("m.doc_id").alias("kept_id"), F.col("m.text_key").alias("kept_key"))
     # a row travels as one struct, so its columns may have any names
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("own_id"), text_key().alias("own_key"))
