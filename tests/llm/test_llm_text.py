@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -85,6 +86,74 @@ def test_classify(docs, rows, labels, clashing, no_docs, spark):
     assert all(r["kept"] == (r["n_symbols"] > 0) for r in untaught)
 
 
+def brute_word_model(texts, bits):
+    """Interpolated modified Kneser-Ney over words, in dicts: probability of a word after the two before it."""
+    tables = {3: Counter(), 2: Counter(), 1: Counter()}
+    for words in texts:
+        w = ["<s>", "<s>", *words, "</s>"]
+        tables[3].update(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+    for k in (2, 1):
+        tables[k].update(g[1:] for g in tables[k + 1])
+
+    def discounts(t):
+        n = Counter(t.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
+        return [min(max(k - (k + 1) * y * n[k + 1] / n[k], quality.LEAST), float(k)) if n[1] and n[k] else k / 2 for k in (1, 2, 3)]
+
+    def p(g):
+        k = len(g)
+        own = [n for x, n in tables[k].items() if x[:-1] == g[:-1]]
+        below = 2.0 ** -bits(g[-1]) if k == 1 else p(g[1:])
+        if not own:
+            return below
+        d, n = discounts(tables[k]), tables[k].get(g, 0)
+        first = max(n - d[min(n, 3) - 1], 0) if n else 0
+        return (first + sum(d[min(x, 3) - 1] for x in own) * below) / sum(own)
+
+    return p
+
+
+def test_word_model_against_dicts(spark):
+    """Each document under the word n-grams of the other fold's trusted text, in more languages than spelling tables are kept for."""
+    rng = random.Random(11)
+    vocabulary = ["the", "of", "and", "Red", "house", "it's", "élan", "x1"]
+    langs = ["en", *(f"l{k}" for k in range(quality.MODELS + 3)), None]
+    rows = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 9))) + rng.choice([".", "", " ?!"]), langs[k % len(langs)], "s", 0) for k in range(12 * len(langs))]
+    rows += [(1000, "scum of the house", "en", "s", 0), (1001, "the house", "unheard", "s", 0), (1002, "  ", "en", "s", 0), rows[0], rows[0]]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(len(langs) * 10)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, DOCS).repartition(2)
+    trusted = quality.trusted_ids(labels)
+    good = {r["doc_id"] for r in trusted.collect()}
+    fold = {r["doc_id"]: r["f"] for r in docs.select("doc_id", quality.fold_of().alias("f")).collect()}
+    table = quality.spelling(quality.trusted_texts(docs, trusted))[""]
+
+    def bits(word):
+        if word == "</s>":
+            return quality.END_BITS
+        gram, a, b = quality.grams(["   " + word + " "])
+        return float(table[gram[a[0] + 3 : b[0]]].astype(float).sum())
+
+    def words(text):
+        return re.findall(r"[^\W_]+|[^\w\s]+", text.lower())
+
+    models = {}
+    for f in (0, 1):
+        for lang in {r[2] for r in rows}:
+            own = [words(r[1]) for r in rows if r[0] in good and fold[r[0]] != f and r[2] == lang and lang]
+            models[lang, f] = brute_word_model(own or [words(r[1]) for r in rows if r[0] in good and fold[r[0]] != f], bits), bool(own)
+    found = quality.perplexities(docs, trusted).collect()
+    assert Counter(r["doc_id"] for r in found) == Counter(r[0] for r in rows)
+    for r in found:
+        lang = r["lang"]
+        p, own = models[lang, fold[r["doc_id"]]]
+        assert r["model"] == (lang if own else "")
+        w = ["<s>", "<s>", *words(next(x[1] for x in rows if x[0] == r["doc_id"])), "</s>"]
+        want = 2 ** (-sum(math.log2(p(tuple(w[k : k + 3]))) for k in range(len(w) - 2)) / (len(w) - 2))
+        assert math.isclose(r["perplexity"], want, rel_tol=1e-4), (r, want)
+    named = {r["model"] for r in quality.limits(quality.perplexities(docs, trusted), trusted).collect()}
+    assert len([x for x in named if x]) > quality.MODELS  # no language goes with the others while it has trusted text
+
+
 def shingles(text):
     words = (text or "").encode().translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")).split()
     return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()

@@ -1,36 +1,44 @@
-"""Quality classifier: perplexity under an interpolated modified Kneser-Ney n-gram model of trusted text.
+"""Quality classifier: perplexity under an interpolated modified Kneser-Ney word n-gram model of trusted text.
 
-The model is over characters folded into 32 classes, of order 4, one for each of the MODELS languages with most trusted text and
-one for all trusted text together, which serves the other languages. All trusted documents are counted: tasks add up what they
-read, (language, n-gram) shards sum it, and joins of the count shards (n-grams with continuation counts, contexts and discounts)
-give every probability. A language has at most 32 ** 4 n-grams whatever the corpus, so the finished tables are at most
-(MODELS + 1) x 4 MB: that is the bound under which they are broadcast to score documents where they are read.
+The model is over words (runs of letters and digits, and of signs, in lower case), of order WORD_ORDER, one for each language with
+trusted text and, where a document needs it, one for all trusted text together, which serves the other languages. All n-grams of
+trusted texts are counted in shards, pre-aggregated where they are read, and joins of the shards (n-grams with continuation counts,
+contexts and discounts) give every probability. Nothing of this is broadcast: it grows with the trusted text. Below the single words
+stands their spelling, under a model of characters folded into 32 classes, of order 4, of all trusted text: a table of 4 MB.
 
-A document's perplexity is held against the QUANTILE of its language's trusted documents, times MARGIN. The quantiles are exact
-to a thousandth of a nat: perplexities are counted in bins of that width.
+A model is a table of (n-gram, value): log2 of what a seen n-gram gains over the shorter one's estimate, or of what its context
+leaves to that. An unseen n-gram gains nothing, so a document's score is a sum over the join of its distinct n-grams with that table.
+
+No document is scored by a model that has read it: documents are dealt into two folds by id, and the trusted text of one fold makes
+the models of the other. So what is trusted has no advantage, and its quantile holds for all documents. A document's perplexity (per
+word) is held against the QUANTILE of its language's trusted documents, times MARGIN. The quantiles are exact to a thousandth of a
+nat: perplexities are counted in bins of that width.
 
 Nulls: a null language goes with the model of all text; a null id is scored but never trusted. Null and empty texts have no
 perplexity and are rejected. Labels may repeat: a document is trusted if all its labels are good and none is toxic. Without any
-trusted text nothing is known, and every document that has text is kept. Repeated rows each give a row; other columns are
-neither read nor kept.
+trusted text nothing is known, and every document that has text is kept; without any in the other fold, spelling alone decides.
+Repeated rows each give a row; other columns are neither read nor kept. Words and n-grams are hashed to 64 bits.
 """
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded, materialise, release
+from tidemark.llm.neardup import _ODD, _room, mix, powers, prefix_hash
 
 ORDER, CLASSES = 4, 32
-#: Languages with a model of their own; the quantile of trusted perplexities that is still good; room above it.
+WORD_ORDER, FOLDS = 3, 2
+#: Languages with a spelling table of their own, where asked for; the quantile of trusted perplexities that is still good; room above it.
 MODELS, QUANTILE, MARGIN = 24, 0.995, 1.1
 #: Symbols that are counted or scored at once, and texts that are looked at together.
 BLOCK, ROWS = 1 << 20, 256
@@ -83,14 +91,22 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return each.filter("q >= 1 and t < 1").select("doc_id")
 
 
-def count_grams(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """lang, gram, n over all trusted text. Texts cross the join packed."""
+def trusted_texts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """doc_id, lang, data (packed) of all trusted text."""
 
     def pack(batches):
         for batch in (x.slice(a, ROWS) for x in batches for a in range(0, len(x), ROWS)):
             packed = [zlib.compress((t or "").encode("utf-8", "replace"), 1) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc_id", "lang", "data"])
 
+    rows = bounded(docs).filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit(POOLED)).alias("lang"), "text")
+    # the same join at every size: labels grow with the documents
+    return rows.mapInArrow(pack, "doc_id long, lang string, data binary").join(trusted.hint("merge"), "doc_id", "left_semi")
+
+
+def count_grams(texts: DataFrame) -> DataFrame:
+    """lang, gram, n over all trusted text."""
+
     def count(batches):
         held: dict[str, list[str]] = {}
         size = 0
@@ -111,10 +127,7 @@ def count_grams(docs: DataFrame, trusted: DataFrame) -> DataFrame:
             found, n = np.unique(np.concatenate([gram[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.astype(np.int32)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
-    rows = bounded(docs).filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit(POOLED)).alias("lang"), "text")
-    # the same join at every size: labels grow with the documents
-    packed = rows.mapInArrow(pack, "doc_id long, lang string, data binary").join(trusted.hint("merge"), "doc_id", "left_semi")
-    return packed.select("lang", "data").mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return texts.select("lang", "data").mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
@@ -146,13 +159,17 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
 
 
 def model(docs: DataFrame, trusted: DataFrame) -> dict[str, np.ndarray]:
+    return spelling(trusted_texts(docs, trusted), MODELS)
+
+
+def spelling(texts: DataFrame, languages: int = 0) -> dict[str, np.ndarray]:
     """Bits of every n-gram by language, as float32 tables of 32 ** 4; the pooled model is under POOLED. Empty without trusted text."""
-    counts = materialise(count_grams(docs, trusted), "grams")
+    counts = materialise(count_grams(texts), "grams")
     sizes = counts.filter(F.col("lang") != POOLED).groupBy("lang").agg(F.sum("n").alias("n"))
-    own = [r["lang"] for r in sizes.orderBy(F.desc("n"), "lang").limit(MODELS).collect()]
+    own = [r["lang"] for r in sizes.orderBy(F.desc("n"), "lang").limit(languages).collect()] if languages else []
     pooled = counts.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "gram", "n")
     shards = kneser_ney(counts.filter(F.col("lang").isin(own)).unionByName(pooled))
-    # at most (MODELS + 1) x (32 + 32 ** 2 + 32 ** 3 + 32 ** 4) rows, whatever the corpus
+    # at most (languages + 1) x (32 + 32 ** 2 + 32 ** 3 + 32 ** 4) rows, whatever the corpus
     rows = shards.toArrow()
     langs, order, gram, p, gamma = (rows.column(c).combine_chunks() for c in rows.column_names)
     order, gram, p, gamma = (c.to_numpy(zero_copy_only=False) for c in (order, gram, p, gamma))
@@ -172,39 +189,280 @@ def model(docs: DataFrame, trusted: DataFrame) -> dict[str, np.ndarray]:
     return out
 
 
-def perplexities(docs: DataFrame, tables: dict[str, np.ndarray]) -> DataFrame:
-    """doc_id, lang, model, n_symbols, perplexity (null without text or model)."""
-    held = docs.sparkSession.sparkContext.broadcast(tables)  # (MODELS + 1) x 4 MB at most
+def model_key(lang: str | None, fold: int) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{fold}{lang or POOLED}".encode("utf-8", "replace"), digest_size=8).digest(), "little")
+
+
+def fold_of() -> Column:
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FOLDS)).cast("int")
+
+
+def document_key() -> Column:
+    """What names a document: rows that are equal in it score alike."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
+
+
+#: Kind of each code point below 256: none (between words), a sign, or part of a word; those above are of words, but for a few spaces.
+_KIND = np.array([0 if chr(k).isspace() else 2 if k >= 128 or chr(k).isalnum() else 1 for k in range(256)], np.uint8)
+_SPACES = np.array([k for k in range(256, 0x3001) if chr(k).isspace()], np.uint32)
+#: Bits of the end of a text below the model, which has no spelling; stand-ins for what stands before a text and after it.
+END_BITS, _START, _END = 5.0, 1, 2
+
+
+def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all texts, first and last places of their words, the words' hashes, and how many words each text has."""
+    points = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "replace"), "<u4")
+    kind = np.where(points < 256, _KIND[np.minimum(points, 255)], np.uint8(2))
+    kind[np.isin(points, _SPACES)] = 0
+    before = np.concatenate([np.zeros(1, np.uint8), kind[:-1]])
+    first = np.flatnonzero((kind > 0) & (kind != before))
+    last = np.flatnonzero((before > 0) & (kind != before))
+    ends = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))
+    with np.errstate(over="ignore"):
+        p = prefix_hash(points)
+        h = mix((p[last] - p[first]) * powers(_room(len(points)))[1][first] + (last - first).astype(np.uint64) * np.uint64(_ODD[0]))
+    return points, first, last, h, np.diff(np.searchsorted(first, ends), prepend=0)
 
-    def score(batches):
-        bits = held.value
+
+def spelled(points: np.ndarray, first: np.ndarray, last: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Bits of each word's characters and of the space after it; three spaces stand before it."""
+    if not len(first):
+        return np.zeros(0)
+    n = last - first
+    code = np.where(points < 0x250, _LOW[np.minimum(points, 0x24F)], (1 + points % 26).astype(np.uint8))
+    starts = np.cumsum(n + 3) - n
+    held = np.full(int(starts[-1] + n[-1]) + 1, 27, np.uint32)
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    held[np.repeat(starts, n) + step] = code[np.repeat(first, n) + step]
+    gram = held.copy()
+    for k in range(1, ORDER):
+        gram[k:] += held[:-k] << np.uint32(5 * k)
+    each = np.append(bits[gram], np.float32(0)).astype(np.float64)
+    return np.add.reduceat(each, np.stack([starts, starts + n + 1], 1).ravel())[::2]
+
+
+def sequences(h: np.ndarray, n: np.ndarray, models: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of each text within its model, with WORD_ORDER - 1 starts before and an end after; the text of each; and which are words."""
+    room = n + WORD_ORDER
+    at = np.cumsum(room) - room
+    text = np.repeat(np.arange(len(n)), room)
+    out = np.full(int(room.sum()), _START, np.uint64)
+    out[at + room - 1] = _END
+    word = np.ones(len(out), bool)
+    word[at + room - 1] = False
+    for k in range(WORD_ORDER - 1):
+        word[at + k] = False
+    out[word] = h
+    with np.errstate(over="ignore"):
+        return mix(out + models[text] * np.uint64(_ODD[1])), text, word
+
+
+def gram_keys(words: list[np.ndarray]) -> np.ndarray:
+    """Keys of n-grams, given as columns of words."""
+    with np.errstate(over="ignore"):
+        out = np.full(len(words[0]), len(words), np.uint64)
+        for w in words:
+            out = mix(out * np.uint64(_ODD[2]) + w)
+    return out
+
+
+def blocks(texts: list[str]):
+    """Row ranges whose texts stay near BLOCK characters; a longer text stands alone."""
+    a = 0
+    while a < len(texts):
+        b, size = a, 0
+        while b < len(texts) and (b == a or size + len(texts[b]) <= BLOCK):
+            size += len(texts[b])
+            b += 1
+        yield a, b
+        a = b
+
+
+WORD_COLUMNS = [f"w{k}" for k in range(WORD_ORDER)]
+
+
+def word_counts(texts: DataFrame, table: np.ndarray, pooled: bool) -> DataFrame:
+    """m (model), the words of an n-gram of the highest order, bits (the last one's spelling), n: over all trusted text."""
+    held = texts.sparkSession.sparkContext.broadcast(table)  # 4 MB
+
+    def run(batches):
         for batch in (x.slice(a, ROWS) for x in batches for a in range(0, len(x), ROWS)):
-            langs, texts = batch.column(1).to_pylist(), [t or "" for t in batch.column(2).to_pylist()]
-            names = [lang if lang in bits else POOLED for lang in langs]
-            value = np.full(len(texts), np.nan)
-            for name in set(names) if bits else ():
-                rows = [k for k, x in enumerate(names) if x == name]
-                a = 0
-                while a < len(rows):
-                    b, size = a, 0
-                    while b < len(rows) and (b == a or size < BLOCK):
-                        size += len(texts[rows[b]])
-                        b += 1
-                    gram, starts, ends = grams([texts[k] for k in rows[a:b]])
-                    has = np.flatnonzero(ends > starts)
-                    if len(has):
-                        each = np.append(bits[name][gram], np.float32(0)).astype(np.float64)
-                        bounds = np.stack([starts[has], ends[has]], 1).ravel()
-                        value[np.array(rows)[a + has]] = np.exp2(np.add.reduceat(each, bounds)[::2] / (ends - starts)[has])
-                    a = b
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(np.round(value, 6), pa.float64(), mask=np.isnan(value))],
-                names=["doc_id", "lang", "model", "n_symbols", "perplexity"],
-            )
+            langs, folds = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            whole = [zlib.decompress(d).decode().lower() for d in batch.column(2).to_pylist()]
+            for a, b in blocks(whole):
+                some = [k for k in range(a, b) if whole[k]]
+                if not some:
+                    continue
+                points, first, last, h, n = words_of([whole[k] for k in some])
+                own_bits = spelled(points, first, last, held.value)
+                for own in (True, False) if pooled else (True,):
+                    # a text makes the models of the other folds
+                    for shift in range(1, FOLDS):
+                        models = np.array([model_key(langs[k] if own else POOLED, (folds[k] + shift) % FOLDS) for k in some], np.uint64)
+                        keep = np.array([not own or bool(langs[k]) for k in some])  # without a language only in the pooled model
+                        yield counted(h, n, models, own_bits, keep)
         release()
 
-    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(score, "doc_id long, lang string, model string, n_symbols long, perplexity double")
+    def counted(h, n, models, own_bits, keep):
+        seq, text, word = sequences(h, n, models)
+        bits = np.full(len(seq), END_BITS)
+        bits[word] = own_bits
+        r = WORD_ORDER - 1
+        same = np.flatnonzero((text[r:] == text[:-r]) & keep[text[r:]])
+        words = [seq[same + k] for k in range(WORD_ORDER)]
+        _, at, count = np.unique(gram_keys(words), return_index=True, return_counts=True)
+        cols = [models[text[same + r]][at].view(np.int64), *(w[at].view(np.int64) for w in words), bits[same + r][at], count.astype(np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["m", *WORD_COLUMNS, "bits", "n"])
+
+    rows = texts.select("lang", fold_of().alias("fold"), "data")
+    schema = ", ".join(["m long", *(f"{c} long" for c in WORD_COLUMNS), "bits double", "n long"])
+    return rows.mapInArrow(run, schema).groupBy("m", *WORD_COLUMNS).agg(F.max("bits").alias("bits"), F.sum("n").alias("n"))
+
+
+def discounted(table: DataFrame, context: list[str]) -> DataFrame:
+    """table (m, words, bits, n) with p, its n-grams' discounted shares, and gamma, what their contexts leave to shorter ones."""
+    of = table.groupBy("m").agg(*(F.sum(F.when(F.col("n") == k, 1).otherwise(0)).alias(f"n{k}") for k in (1, 2, 3, 4)))
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+
+    def discount(k: int):
+        raw = k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")
+        return F.when((F.col("n1") > 0) & (F.col(f"n{k}") > 0), F.least(F.greatest(raw, F.lit(LEAST)), F.lit(float(k)))).otherwise(k / 2.0).alias(f"d{k}")
+
+    of = F.broadcast(of.select("m", *(discount(k) for k in (1, 2, 3))))  # a row a language and fold
+    kinds = [F.sum(F.when((F.col("n") == k) if k < 3 else (F.col("n") >= 3), 1).otherwise(0)).alias(f"c{k}") for k in (1, 2, 3)]
+    group = table.groupBy("m", *context).agg(F.sum("n").alias("total"), *kinds).join(of, "m")
+    gamma = (F.col("d1") * F.col("c1") + F.col("d2") * F.col("c2") + F.col("d3") * F.col("c3")) / F.col("total")
+    group = group.select("m", *context, "total", "d1", "d2", "d3", gamma.alias("gamma"))
+    part = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    # without a context it is a row a language and fold
+    joined = table.join(group.hint("merge") if context else F.broadcast(group), ["m", *context])
+    return joined.withColumn("p", F.greatest(F.col("n") - part, F.lit(0.0)) / F.col("total")).drop("d1", "d2", "d3", "total")
+
+
+def word_model(counts: DataFrame) -> tuple[DataFrame, dict[int, float]]:
+    """key, value (bits gained) of all models' n-grams and contexts; and by model the bits that an unseen word costs besides its spelling."""
+    tables = [counts]
+    for k in range(1, WORD_ORDER):
+        tables.append(materialise(tables[-1].groupBy("m", *WORD_COLUMNS[k:]).agg(F.max("bits").alias("bits"), F.count(F.lit(1)).alias("n")), "continued"))
+    below, out, floor = None, None, {}
+    for k in range(WORD_ORDER - 1, -1, -1):
+        words = WORD_COLUMNS[k:]
+        each = discounted(tables[k], words[:-1])
+        if below is None:
+            base = F.pow(F.lit(2.0), -F.least("bits", F.lit(1000.0)))
+        else:
+            each, base = each.join(below.hint("merge"), ["m", *words[1:]]), F.col("below")
+        each = each.withColumn("base", base).withColumn("whole", F.col("p") + F.col("gamma") * F.col("base"))
+        each = materialise(each.select("m", *words, "gamma", "whole", (F.log2("whole") - F.log2("gamma") - F.log2("base")).alias("value")), "order")
+        found = keyed(each.select(*words, "value"), len(words))
+        if k == WORD_ORDER - 1:
+            floor = {r["m"]: -float(np.log2(r["gamma"])) for r in each.groupBy("m").agg(F.first("gamma").alias("gamma")).collect()}  # a number a language and fold
+        else:
+            left = each.groupBy("m", *words[:-1]).agg(F.first(F.log2("gamma")).alias("value")).select(*words[:-1], "value")
+            found = found.unionByName(keyed(left, len(words) - 1))
+        out = found if out is None else out.unionByName(found)
+        below = each.select("m", *words, F.col("whole").alias("below"))
+    return out, floor
+
+
+def keyed(rows: DataFrame, n: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            key = gram_keys([batch.column(k).to_numpy().view(np.uint64) for k in range(n)]) if len(batch) else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(n)], names=["key", "value"])
+
+    return rows.mapInArrow(run, "key long, value double")
+
+
+def _scored(docs: DataFrame) -> DataFrame:
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), document_key().alias("doc"), fold_of().alias("fold"))
+
+
+def own_model(lang: str | None, fold: int, floor: dict[int, float]) -> tuple[str, int]:
+    """Name and key of the model that scores a document."""
+    key = np.uint64(model_key(lang, fold)).astype(np.int64).item()
+    if lang and key in floor:
+        return lang, key
+    return POOLED, np.uint64(model_key(POOLED, fold)).astype(np.int64).item()
+
+
+def document_grams(docs: DataFrame, floor: dict[int, float]) -> DataFrame:
+    """doc, key, n: the distinct n-grams of all orders of each document, within its model."""
+
+    def run(batches):
+        for batch in (x.slice(a, ROWS) for x in batches for a in range(0, len(x), ROWS)):
+            langs, folds, texts = batch.column(1).to_pylist(), batch.column(4).to_pylist(), [t.lower() for t in batch.column(2).to_pylist()]
+            doc = batch.column(3).to_numpy()
+            for a, b in blocks(texts):
+                some = [k for k in range(a, b) if texts[k]]
+                if not some:
+                    continue
+                _, _, _, h, n = words_of([texts[k] for k in some])
+                models = np.array([own_model(langs[k], folds[k], floor)[1] for k in some], np.int64).view(np.uint64)
+                seq, text, _ = sequences(h, n, models)
+                keys, of = [], []
+                for size in range(1, WORD_ORDER + 1):
+                    # the shorter ones as they end at a word, at the end, or at the last start
+                    begin = np.flatnonzero(text[: len(text) - size + 1] == text[size - 1 :])
+                    if size < WORD_ORDER - 1:
+                        lead = np.cumsum(n + WORD_ORDER) - (n + WORD_ORDER)
+                        begin = begin[begin - lead[text[begin]] >= WORD_ORDER - 1 - size]
+                    keys.append(gram_keys([seq[begin + k] for k in range(size)]))
+                    of.append(text[begin])
+                key, of = np.concatenate(keys), np.concatenate(of)
+                order = np.lexsort((key, of))
+                key, of = key[order], of[order]
+                new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])]))
+                count = np.diff(np.append(new, len(key)))
+                yield pa.RecordBatch.from_arrays([pa.array(doc[some][of[new]]), pa.array(key[new].view(np.int64)), pa.array(count.astype(np.int32))], names=["doc", "key", "n"])
+        release()
+
+    return _scored(docs).mapInArrow(run, "doc long, key long, n int")
+
+
+def unseen_bits(docs: DataFrame, table: np.ndarray | None, floor: dict[int, float]) -> DataFrame:
+    """doc_id, lang, model, n_symbols, doc, n_words, bits: each row as if none of its n-grams were known. No bits without a table."""
+    held = docs.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches):
+        for batch in (x.slice(a, ROWS) for x in batches for a in range(0, len(x), ROWS)):
+            langs, folds, texts = batch.column(1).to_pylist(), batch.column(4).to_pylist(), batch.column(2).to_pylist()
+            own = [own_model(lang, fold, floor) for lang, fold in zip(langs, folds, strict=True)]
+            words, bits = np.zeros(len(texts), np.int64), np.full(len(texts), np.nan)
+            low = [t.lower() for t in texts]
+            for a, b in blocks(low):
+                points, first, last, _, n = words_of(low[a:b])
+                words[a:b] = n + 1
+                if held.value is not None:
+                    each = np.concatenate([[0.0], np.cumsum(spelled(points, first, last, held.value))])
+                    upto = np.cumsum(n)
+                    bits[a:b] = each[upto] - each[upto - n] + END_BITS + (n + 1) * np.array([floor.get(m, 0.0) for _, m in own[a:b]])
+            size = np.array([len(t) for t in texts], np.int64)
+            cols = [batch.column(0), batch.column(1), pa.array([x for x, _ in own], pa.string()), pa.array(size), batch.column(3), pa.array(words), pa.array(bits, mask=np.isnan(bits) | (size == 0))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang", "model", "n_symbols", "doc", "n_words", "bits"])
+        release()
+
+    return _scored(docs).mapInArrow(run, "doc_id long, lang string, model string, n_symbols long, doc long, n_words long, bits double")
+
+
+def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """doc_id, lang, model, n_symbols, perplexity (per word; null without text or trusted text), doc."""
+    texts = materialise(trusted_texts(docs, trusted), "texts")
+    table = spelling(texts).get(POOLED)
+    if table is None:
+        return unseen_bits(docs, None, {}).select("doc_id", "lang", "model", "n_symbols", F.col("bits").alias("perplexity"), "doc")
+    # a row a language and fold
+    known = {(r["lang"], (r["fold"] + k) % FOLDS) for r in texts.select("lang", fold_of().alias("fold")).distinct().collect() for k in range(1, FOLDS)}
+    asked = {(r["lang"] or POOLED, r["fold"]) for r in docs.select(F.col("lang").cast("string").alias("lang"), fold_of().alias("fold")).distinct().collect()}
+    pooled = any(not lang or (lang, fold) not in known for lang, fold in asked)
+    values, floor = word_model(materialise(word_counts(texts, table, pooled), "counts"))
+    base = materialise(unseen_bits(docs, table, floor), "bits")
+    # the same join at every size: the model grows with the documents
+    gained = document_grams(docs, floor).join(values.hint("merge"), "key").groupBy("doc").agg(F.sum(F.col("n") * F.col("value")).alias("gain"))
+    copies = base.groupBy("doc").agg(F.count(F.lit(1)).alias("copies"))  # equal rows have all added to the gain
+    out = base.join(gained.join(copies, "doc").select("doc", (F.col("gain") / F.col("copies")).alias("gain")), "doc", "left")
+    mean = F.when(F.col("bits").isNotNull(), F.least((F.col("bits") - F.coalesce("gain", F.lit(0.0))) / F.col("n_words"), F.lit(1000.0)))
+    return out.select("doc_id", "lang", "model", "n_symbols", F.round(F.pow(F.lit(2.0), mean), 6).alias("perplexity"), "doc")
 
 
 def limits(scores: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -217,48 +475,27 @@ def limits(scores: DataFrame, trusted: DataFrame) -> DataFrame:
     return found.select("model", (F.exp((F.col("bin") + 1) * _BIN) * MARGIN).alias("threshold"))
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, lang, n_symbols, perplexity, threshold, kept: one row for each document."""
+def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, lang, n_symbols, perplexity, threshold, kept, doc: one row for each document."""
     trusted = materialise(trusted_ids(labels), "trusted")
-    scores = materialise(perplexities(docs, model(docs, trusted)), "scores")
+    scores = materialise(perplexities(docs, trusted), "scores")
     at = limits(scores, trusted)
     every = at.filter("model is null").select(F.col("threshold").alias("_all"))
-    # MODELS + 2 rows at most
+    # a row a language
     out = scores.join(F.broadcast(at.filter("model is not null")), "model", "left").join(F.broadcast(every), how="left")
     out = out.withColumn("threshold", F.round(F.coalesce("threshold", "_all"), 6))
     kept = (F.col("n_symbols") > 0) & (F.col("perplexity").isNull() | F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
-    return out.select("doc_id", "lang", "n_symbols", "perplexity", "threshold", kept.alias("kept"))
+    return out.select("doc_id", "lang", "n_symbols", "perplexity", "threshold", kept.alias("kept"), "doc")
 
 
-def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the classifier keeps, as they are. The decision is made once for each row."""
-    trusted = materialise(trusted_ids(labels), "trusted")
-    tables = model(docs, trusted)
-    at = {r["model"]: r["threshold"] for r in limits(materialise(perplexities(docs, tables), "scores"), trusted).collect()}  # MODELS + 2 rows at most
-    every = at.pop(None, None)
-    keep = _keeper(docs, tables, at, every)
-    return docs.mapInArrow(keep, docs.schema)
-
-
-def _keeper(docs: DataFrame, tables: dict, at: dict, every: float | None):
-    held = docs.sparkSession.sparkContext.broadcast(tables)
-    lang_at, text_at = docs.columns.index("lang"), docs.columns.index("text")
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, lang, n_symbols, perplexity, threshold, kept: one row for each document."""
+    return judged(docs, labels).drop("doc")
 
-    def keep(batches):
-        bits = held.value
-        for batch in (x.slice(a, ROWS) for x in batches for a in range(0, len(x), ROWS)):
-            langs, texts = batch.column(lang_at).to_pylist(), batch.column(text_at).to_pylist()
-            good = []
-            for lang, text in zip(langs, texts, strict=True):
-                name = lang if lang in bits else POOLED
-                limit = at.get(name, every)
-                if not text or limit is None or not bits:
-                    good.append(bool(text))
-                    continue
-                gram, starts, ends = grams([text])
-                mean = np.add.reduceat(bits[name][gram[starts[0] : ends[0]]].astype(np.float64), [0])[0] / len(text)
-                good.append(round(float(np.exp2(mean)), 6) <= round(limit, 6))
-            yield batch.filter(pa.array(good, pa.bool_()))
-        release()
 
-    return keep
+def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that the classifier keeps, as they are."""
+    kept = judged(docs, labels).filter("kept").select("doc")
+    # a row travels as one struct, so its columns may have any names
+    keyed_rows = docs.select(F.struct(*docs.columns).alias("row"), document_key().alias("doc"))
+    return keyed_rows.join(kept, "doc", "left_semi").select("row.*")
