@@ -330,6 +330,13 @@ def test_shared_lines_go():
     assert html.main_text(one, one) == "Read more here\nFirst story\nCall us"  # a copy is no template
 
 
+def test_differencing_decides_beside_a_declared_article():
+    one, two = (html.lines_of(PAGE % f"<div><p>Read more here</p><p>Lead {t}</p></div><article><p>{t}</p><p>Shared</p></article><div><p>More {t}</p><p>Call us</p></div>") for t in ("one", "two"))
+    assert html.main_text(one, two) == "Lead one\none\nShared\nMore one"
+    part = html.lines_of(PAGE % "<div><p>Read more here</p><p>Story</p></div><main><p>Only a part</p></main>")
+    assert html.main_text(part, two) == "Story\nOnly a part"
+
+
 def test_longest_common_lines():
     rng = random.Random(2)
     for _ in range(200):

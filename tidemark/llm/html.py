@@ -5,8 +5,8 @@ are aligned by their longest common subsequence, and shared lines are deleted as
 
 One kind of line is safe from deletion: those inside an element that the page itself declares to be its article (article, main,
 role=main). Passages repeat across articles, and deleting what two articles share would lose text that belongs to them. Pages
-with such an element keep it, less the menus, forms, asides and so on within it; pages without one keep what neither
-differencing nor the tags for menus, headers, footers, sidebars, notices, adverts, forms and comments removes. A neighbour that
+keep such an element, less the menus, forms, asides and so on within it. Of their other lines, and of pages without one, they keep
+what neither differencing nor the tags for menus, headers, footers, sidebars, notices, adverts, forms and comments removes. A neighbour that
 holds all of a page's open lines is a copy, not a template, and deletes nothing.
 
 Sorting is a range partitioning by (host, path, page_id), so a host with a third of all pages spans many tasks. Its sampling reads
@@ -130,12 +130,11 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
 
 def main_text(page: list[tuple[str, str]], near: list[tuple[str, str]] | None) -> str:
     """The article of a page's lines, given those of the page nearest to it."""
-    declared = any(kind == MAIN for kind, _ in page)
     shared = common_lines([t for _, t in page], [t for _, t in near]) if near else set()
     free = {k for k, (kind, _) in enumerate(page) if kind == OPEN}
     if free and free <= shared:
         shared = set()
-    return "\n".join(t for k, (kind, t) in enumerate(page) if kind == MAIN or (kind == OPEN and not declared and k not in shared))
+    return "\n".join(t for k, (kind, t) in enumerate(page) if kind == MAIN or (kind == OPEN and k not in shared))
 
 
 def nearness(a: str, b: str) -> int:
