@@ -154,6 +154,15 @@ def test_word_model_against_dicts(spark):
     assert len([x for x in named if x]) > quality.MODELS  # no language goes with the others while it has trusted text
 
 
+def test_every_language_has_its_own_limit(spark):
+    rng = random.Random(12)
+    langs = [f"l{k}" for k in range(quality.MODELS + 4)]
+    rows = [(k, " ".join(prose(rng, 1) for _ in range(rng.randrange(10, 30))), langs[k % len(langs)], "s", 0) for k in range(12 * len(langs))]
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in rows], "doc_id long, quality int, toxic int")
+    found = quality.classify(spark.createDataFrame(rows, DOCS), labels).collect()
+    assert len({r["threshold"] for r in found}) == len({(r["lang"], r["threshold"]) for r in found}) == len(langs)
+
+
 def shingles(text):
     words = (text or "").encode().translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")).split()
     return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
