@@ -5,7 +5,9 @@ A document's key is u ** (1 / w), with u in (0, 1) from a hash of its id and w i
 takes as many complete epochs as fit, and the rest from the front of that order; the document at the edge is taken in part.
 
 The prefix sums need no sort of a whole source: keys fall into CELLS ranges, the sizes of (source, cell) are summed,
-and only within a cell are rows put in order. A source that holds a third of all rows is so spread over CELLS groups.
+and only within a cell are rows put in order. The ranges are even in the logarithm of the exponential key, where every weight's
+keys have the same spread: none holds more than 0.3% of a source in expectation, whatever the weights. So a source with a third of
+all rows is spread over many groups.
 
 Only DataFrame expressions. Nulls: a null source is a source of its own, last in order; a null text has size 0; a null id is
 an id like any other. Rows equal in id, source, size and weight are counted before the shuffle and expanded after it.
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialise
 
-#: Ranges of the sampling key for each source.
-CELLS = 1024
+#: Ranges of the sampling key for each source: SCALE a unit of the exponential key's logarithm, which starts at LOWEST.
+CELLS, SCALE, LOWEST = 4096, 128, -24
 #: Source weights, repeated along the sources in code point order; the share of all sizes that is dealt; most epochs.
 WEIGHTS, SHARE, EPOCHS = (3, 1, 2), 1.5, 2
 #: Copies of one row that a single array holds when repeated rows are expanded.
@@ -40,6 +42,12 @@ def sampling_key(doc_id: Column, weight: Column, seed: str = "mix") -> Column:
     return F.pow(u, 1.0 / weight)
 
 
+def cell_of(key: Column) -> Column:
+    """The range of a sampling key, rising as the key falls. The density of ln(-ln(u) / w) is 1 / e at most."""
+    place = F.floor((F.log(-F.log(key)) - LOWEST) * SCALE)
+    return F.coalesce(F.least(F.greatest(place, F.lit(0)), F.lit(CELLS - 1)), F.lit(0)).cast("int")
+
+
 def quality_weight(labels: DataFrame) -> DataFrame:
     """doc_id and weight: 2 for good documents, 0.5 for bad ones, a quarter of that for toxic ones (1 where unlabelled)."""
     each = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
@@ -73,7 +81,7 @@ def mix(rows: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     keyed = rows.select("doc_id", "source", "size", *more, sampling_key(F.col("doc_id"), F.col("weight")).alias("_v"))
     name = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))  # null and '' differ
     units = keyed.groupBy("doc_id", "source", "size", *more, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    units = materialise(units.withColumns({"_s": name, "_cell": F.floor((1 - F.col("_v")) * CELLS).cast("int"), "_words": F.col("size") * F.col("_n")}), "mix")
+    units = materialise(units.withColumns({"_s": name, "_cell": cell_of(F.col("_v")), "_words": F.col("size") * F.col("_n")}), "mix")
     cells = units.groupBy("_s", "_cell").agg(F.sum("_words").alias("_sum"), F.first("source").alias("source"))
     plan = targets(cells.groupBy("_s").agg(F.first("source").alias("source"), F.sum("_sum").alias("source_size")))
     plan = plan.withColumn("_budget", F.floor("target")).withColumn("_epochs", F.when(F.col("source_size") > 0, F.floor(F.col("_budget") / F.greatest("source_size", F.lit(1)))).otherwise(F.lit(0)))
