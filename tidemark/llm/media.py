@@ -1,11 +1,18 @@
 """Media columns: telephony audio.
 
 G.711 mu-law and A-law are expanded by 256-entry lookup tables, IMA ADPCM blocks are decoded step by step with numpy
-across all blocks at once, and samples are resampled and stored as 16-bit PCM in RIFF/WAVE form.
-
-Nulls are empty audio, never null; an empty value gives empty samples, and the stored form is then a header alone.
-Truncated or foreign containers raise ValueError, as does a WAVE form that is not mono 16-bit PCM. Rows are handled one by one
-within an Arrow batch, so equal values give equal results, and other columns are neither read nor kept.
+across all blocks at once, and samples are resampled and stored as 16-bit PCM in RIFF/WAVE form (RF64 from 4 GiB on).
+
+The documents' payloads are companded samples. One bit of a payload's checksum chooses between A-law, whose 256 levels all
+differ, and mu-law, whose two zeros are told apart because UTF-8 never holds one of them (a payload that does goes by A-law). So
+the stored PCM gives the payload back exactly. The payload's 64-byte units are also read as ADPCM blocks, and what that sounds
+like is part of the feature; ADPCM clips and can't be undone, so it isn't what is stored.
+
+Nulls are empty audio, never null; an empty value gives empty samples, and the stored form is then a header alone. A value that
+can't be decoded has a null form and the reason in an error column, and fails no other row. A form of more than LARGEST bytes is
+no value that Spark can hold: as a column it is null with the reason, while its digests are made all the same. Equal values give
+equal results, ties and repeated rows are rows like others, an empty table gives an empty result, and other columns are neither
+read nor kept by document_audio and kept as they are by decode_column.
 """
 
 from __future__ import annotations
@@ -19,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded, byte_view, utf8
+from tidemark.llm.common import bounded, byte_view, release, slices, utf8
 
 RATE_IN, RATE_OUT = 8000, 16000
 UNIT = 64
+#: Bytes of text that are decoded at once; most bytes of a form that is kept as a column; from where on a form is RF64.
+BLOCK, LARGEST, WIDE = 1 << 20, 1 << 30, (1 << 32) - 64
 
 
 def _a_law() -> np.ndarray:
@@ -40,8 +49,11 @@ def _mu_law() -> np.ndarray:
 
 A_LAW, MU_LAW = _a_law(), _mu_law()
 #: A-law has 256 different levels, so its expansion can be undone exactly; mu-law has two zeros.
-A_LAW_CODE = np.zeros(65536, np.uint8)
+A_LAW_CODE, MU_LAW_CODE = np.zeros(65536, np.uint8), np.zeros(65536, np.uint8)
 A_LAW_CODE[A_LAW.view(np.uint16)] = np.arange(256, dtype=np.uint8)
+#: Of mu-law's two zeros the code 0x7F; 0xFF stands in no UTF-8.
+MU_LAW_CODE[MU_LAW.view(np.uint16)[:255]] = np.arange(255, dtype=np.uint8)
+CODES = {"alaw": A_LAW_CODE, "mulaw": MU_LAW_CODE}
 
 # Fixed values of IMA ADPCM: the step grows by a tenth from 7, and the index moves by these amounts.
 _INDEX = np.array([-1, -1, -1, -1, 2, 4, 6, 8] * 2, np.int32)
@@ -98,31 +110,58 @@ def double_rate(samples: np.ndarray) -> np.ndarray:
     return out
 
 
-def wave(samples: np.ndarray, rate: int) -> bytes:
+def wave(samples: np.ndarray, rate: int, wide: int = WIDE) -> bytes:
+    """Mono 16-bit PCM as a WAVE form; of wide bytes or more as RF64, whose sizes have 64 bits."""
     body = samples.astype("<i2").tobytes()
-    return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(body), b"WAVE", b"fmt ", 16, 1, 1, rate, 2 * rate, 2, 16, b"data", len(body)) + body
+    fmt = struct.pack("<4sIHHIIHH", b"fmt ", 16, 1, 1, rate, 2 * rate, 2, 16)
+    if len(body) < wide:
+        return struct.pack("<4sI4s", b"RIFF", 36 + len(body), b"WAVE") + fmt + struct.pack("<4sI", b"data", len(body)) + body
+    far = struct.pack("<4sIQQQI", b"ds64", 28, 72 + len(body), len(body), len(samples), 0)
+    return struct.pack("<4sI4s", b"RF64", 0xFFFFFFFF, b"WAVE") + far + fmt + struct.pack("<4sI", b"data", 0xFFFFFFFF) + body
 
 
 def read_wave(data: bytes) -> tuple[np.ndarray, int]:
-    if len(data) < 44 or data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+    if len(data) < 44 or data[:4] not in (b"RIFF", b"RF64") or data[8:12] != b"WAVE":
         raise ValueError("not a WAVE form")
-    _, kind, channels, rate, _, _, bits, tag, size = struct.unpack("<IHHIIHH4sI", data[16:44])
-    if (kind, channels, bits, tag) != (1, 1, 16, b"data") or len(data) < 44 + size:
-        raise ValueError("not mono 16-bit PCM")
-    return np.frombuffer(data, "<i2", size // 2, 44), rate
+    at, size, rate = 12, None, 0
+    while at + 8 <= len(data):
+        tag, n = struct.unpack_from("<4sI", data, at)
+        if tag == b"ds64" and n >= 28 and at + 36 <= len(data):
+            size = struct.unpack_from("<Q", data, at + 16)[0]
+        elif tag == b"fmt " and n >= 16 and at + 24 <= len(data):
+            kind, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", data, at + 8)
+            if (kind, channels, bits) != (1, 1, 16):
+                raise ValueError("not mono 16-bit PCM")
+        elif tag == b"data":
+            n = size if n == 0xFFFFFFFF and size is not None else n
+            if not rate or len(data) < at + 8 + n:
+                raise ValueError("not a whole WAVE form")
+            return np.frombuffer(data, "<i2", n // 2, at + 8), rate
+        at += 8 + n + (n & 1)
+    raise ValueError("no samples in the form")
 
 
 def decode_column(df: DataFrame, column: str, codec: str, block: int = 256, out: str = "pcm") -> DataFrame:
-    """df plus a binary column with every value expanded, resampled to 16 kHz and stored as PCM."""
-    schema = df.withColumn(out, F.lit(b"")).schema
+    """df plus a binary column with every value expanded, resampled to 16 kHz and stored as PCM, and out_error where that failed."""
+    schema = df.withColumn(out, F.lit(b"")).withColumn(f"{out}_error", F.lit("")).schema
+    for name in (out, f"{out}_error"):
+        schema[name].nullable = True
     where = df.columns.index(column)
 
+    def one(value: bytes) -> tuple[bytes | None, str | None]:
+        try:
+            made = wave(double_rate(expand(value, codec, block)), RATE_OUT)
+            return (made, None) if len(made) <= LARGEST else (None, "the form is too large for a column")
+        except ValueError as e:
+            return None, str(e)
+
     def run(batches):
         for batch in batches:
-            made = [wave(double_rate(expand(v or b"", codec, block)), RATE_OUT) for v in batch.column(where).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=schema.names)
+            made = [one(v or b"") for v in batch.column(where).to_pylist()]
+            cols = [pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)
 
 
 def features(samples: np.ndarray) -> str:
@@ -132,26 +171,64 @@ def features(samples: np.ndarray) -> str:
     return f"n={len(wide)};energy={int((wide * wide).sum())};peak={int(np.abs(wide).max(initial=0))};crossings={int((signs[1:] != signs[:-1]).sum())}"
 
 
-def document_audio(docs: DataFrame) -> DataFrame:
-    """Every text's bytes, padded to a positive multiple of 64, as A-law telephony stored in 16 kHz PCM, and what is read back.
+def padded(raw: bytes) -> bytes:
+    """raw and zero bytes up to a positive multiple of UNIT."""
+    return raw.ljust(max(UNIT, -(-len(raw) // UNIT) * UNIT), b"\0")
+
+
+def codec_of(payload: bytes) -> str:
+    return "mulaw" if zlib.crc32(payload) & 1 and b"\xff" not in payload else "alaw"
+
+
+def store(payload: bytes, codec: str) -> bytes:
+    """A payload of 8-bit samples as 16 kHz PCM."""
+    return wave(double_rate(expand(payload, codec)), RATE_OUT)
+
+
+def load(form: bytes, codec: str) -> tuple[bytes, np.ndarray]:
+    """The payload that a stored form gives back, and its 8 kHz samples: those at the even places."""
+    samples = np.ascontiguousarray(read_wave(form)[0][0::2])
+    return CODES[codec][samples.view(np.uint16)].tobytes(), samples
+
 
-    The payload bytes are the 8-bit samples. The stored form is their expansion at twice the rate; reading takes the even
-    places and looks the codes up again, which is exact because A-law has no two equal levels.
+def adpcm_features(payloads: list[bytes]) -> list[str]:
+    """Energy and peak of every payload's units as ADPCM blocks; the blocks of all payloads advance together."""
+    n = np.array([len(p) // UNIT for p in payloads])
+    wide = adpcm_decode(b"".join(payloads), UNIT).reshape(int(n.sum()), -1).astype(np.int64)
+    starts = np.cumsum(n) - n
+    energy, peak = np.add.reduceat((wide * wide).sum(axis=1), starts), np.maximum.reduceat(np.abs(wide).max(axis=1), starts)
+    return [f"adpcm_energy={e};adpcm_peak={p}" for e, p in zip(energy.tolist(), peak.tolist(), strict=True)]
+
+
+DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def document_audio(docs: DataFrame, keep_media: bool = False) -> DataFrame:
+    """Every text's bytes, padded to a positive multiple of 64, as telephony stored in 16 kHz PCM, and what is read back.
+
+    doc_id, n_bytes, the payload's digests, the stored form's, feature; with keep_media also the form itself (media) and why it is
+    null (media_error).
     """
 
+    def rows_of(raws: list[bytes]):
+        payloads = list(map(padded, raws))
+        for raw, payload, more in zip(raws, payloads, adpcm_features(payloads), strict=True):
+            codec = codec_of(payload)
+            form = store(payload, codec)
+            back, samples = load(form, codec)
+            row = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(form), hashlib.sha256(form).hexdigest(), f"codec={codec};{features(samples)};{more}")
+            yield (*row, form if len(form) <= LARGEST else None, None if len(form) <= LARGEST else "the form is too large for a column") if keep_media else row
+
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *([pa.binary(), pa.string()] if keep_media else [])]
+    schema = DIGESTS + (", media binary, media_error string" if keep_media else "")
+    names = [c.split()[0] for c in schema.split(", ")]
+
     def run(batches):
         for batch in batches:
             buf, at = byte_view(batch.column(1))
-            rows = []
-            for k in range(len(batch)):
-                raw = buf[at[k] : at[k + 1]].tobytes()
-                stored = wave(double_rate(expand(raw.ljust(max(UNIT, -(-len(raw) // UNIT) * UNIT), b"\0"), "alaw")), RATE_OUT)
-                samples, _ = read_wave(stored)
-                back = A_LAW_CODE[samples[0::2].view(np.uint16)].tobytes()
-                rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), features(samples[0::2])))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("data"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+            for a, b in slices(len(batch), at, BLOCK):
+                rows = list(rows_of([buf[at[k] : at[k + 1]].tobytes() for k in range(a, b)]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))], names=names)
+        release()
+
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("data")).mapInArrow(run, schema)
