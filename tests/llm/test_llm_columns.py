@@ -8,7 +8,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-import xxhash
 from tokenizers import Tokenizer
 
 from tests.llm.conftest import same_rows
@@ -17,10 +16,7 @@ from tidemark.llm import bpe, media, mixing, ordering, sharding
 
 def brute_shard(doc_id, shards):
     def unit(s):
-        seed = 42
-        if doc_id is not None:
-            seed = xxhash.xxh64(struct.pack("<q", doc_id), seed=seed).intdigest()
-        return ((xxhash.xxh64(struct.pack("<q", s), seed=seed).intdigest() >> 11) + 0.5) / (1 << 53)
+        return (int(hashlib.md5(f"{s}:{'' if doc_id is None else f'={doc_id}'}".encode()).hexdigest()[:12], 16) + 0.5) / (1 << 48)
 
     return min((-math.log(unit(s)) / w, s) for s, w in shards.items())[1]
 
@@ -56,6 +52,14 @@ def test_many_equal_rows_get_gapless_slots(spark):
     assert sorted(r["slot"] for r in sharding.document_shards(df).collect()) == list(range(10000))
 
 
+def test_rows_of_one_key_are_numbered_in_many_cells(spark):
+    df = spark.range(3000).selectExpr("cast(null as long) as doc_id", "cast(id as string) as text")
+    got = sharding.document_shards(df).collect()
+    assert len({r["shard"] for r in got}) == 1 and sorted(r["slot"] for r in got) == list(range(3000))
+    order = [r["text_crc32"] for r in sorted(got, key=lambda r: r["slot"])]
+    assert order != sorted(order)
+
+
 def brute_targets(sizes):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
@@ -100,6 +104,17 @@ def test_mixed_documents_hold_the_words_taken(docs, labels, clashing):
     assert total(mixing.mixed_documents(clashing, labels)) == total(mixed)
 
 
+def test_cells_keep_the_order_and_spread_every_weight(spark):
+    from pyspark.sql import functions as F
+
+    for weight in (0.125, 1.0, 2.0):
+        rows = spark.range(40000).select(mixing.sampling_key(F.col("id"), F.lit(weight)).alias("v")).select("v", mixing.cell_of(F.col("v")).alias("cell"))
+        got = sorted(((r["v"], r["cell"]) for r in rows.collect()), reverse=True)
+        assert [c for _, c in got] == sorted(c for _, c in got)
+        assert max(Counter(c for _, c in got).values()) < 0.01 * len(got)
+    assert spark.range(1).select(mixing.cell_of(F.lit(1.0)).alias("c")).first()["c"] == 0
+
+
 def test_better_documents_come_first(spark):
     rows = spark.range(4000).selectExpr("id as doc_id", "case when id < 2 then 'b' else 'a' end as source", "10L as size", "case when id % 2 = 0 then 4.0d else 0.5d end as weight")
     twice = mixing.mix(rows.filter("source = 'a'").union(spark.range(4000).selectExpr("id + 9000", "'b'", "10L", "1d"))).filter("source = 'b' and taken = 10")
@@ -152,19 +167,73 @@ def test_decoded_column(spark):
     df = spark.createDataFrame([(1, b"\xd5\x55"), (2, None), (3, b"")], "id int, audio binary")
     got = {r["id"]: media.read_wave(bytes(r["pcm"])) for r in media.decode_column(df, "audio", "alaw").collect()}
     assert got[1][0].tolist() == [8, 0, -8, -8] and got[1][1] == 16000 and got[2][0].tolist() == got[3][0].tolist() == []
+    mu = {r["id"]: media.read_wave(bytes(r["pcm"]))[0].tolist() for r in media.decode_column(df, "audio", "mulaw").collect()}
+    assert mu[1] == [media.MU_LAW[0xD5], (int(media.MU_LAW[0xD5]) + int(media.MU_LAW[0x55])) >> 1, media.MU_LAW[0x55], media.MU_LAW[0x55]]
+
+
+def test_a_bad_value_fails_no_other_row(spark):
+    whole = bytes(range(36))
+    df = spark.createDataFrame([(1, b"ab"), (2, whole)], "id int, audio binary")
+    got = {r["id"]: r for r in media.decode_column(df, "audio", "adpcm", 36).collect()}
+    assert got[1]["pcm"] is None and "head" in got[1]["pcm_error"]
+    assert media.read_wave(bytes(got[2]["pcm"]))[0][0::2].tolist() == brute_adpcm(whole, 36) and got[2]["pcm_error"] is None
+
+
+def test_wide_form():
+    samples = np.arange(-50, 50, dtype=np.int16)
+    far = media.wave(samples, 8000, wide=100)
+    assert far[:4] == b"RF64" and media.read_wave(far)[0].tolist() == samples.tolist() and media.read_wave(far)[1] == 8000
+    assert media.read_wave(media.wave(samples, 8000))[0].tolist() == samples.tolist()
+    with pytest.raises(ValueError):
+        media.read_wave(far[:-2])
 
 
-def test_document_audio(docs, rows, clashing, no_docs):
+def brute_a_law(code):
+    code ^= 0x55
+    exponent, mantissa = code >> 4 & 7, code & 15
+    size = mantissa * 16 + 8 if exponent == 0 else (mantissa * 16 + 264) << (exponent - 1)
+    return size if code & 0x80 else -size
+
+
+def brute_mu_law(code):
+    code = 255 - code
+    size = (((code & 15) * 8 + 132) << (code >> 4 & 7)) - 132
+    return -size if code & 0x80 else size
+
+
+def brute_audio(text):
+    """All columns of a document, sample by sample."""
+    raw = (text or "").encode()
+    payload = raw + b"\0" * (max(64, (len(raw) + 63) // 64 * 64) - len(raw))
+    mu = zlib.crc32(payload) % 2 == 1
+    samples = [brute_mu_law(c) if mu else brute_a_law(c) for c in payload]
+    between = [(a + b) // 2 for a, b in zip(samples, samples[1:], strict=False)] + samples[-1:]
+    body = struct.pack(f"<{2 * len(samples)}h", *(x for pair in zip(samples, between, strict=True) for x in pair))
+    form = b"RIFF" + struct.pack("<I", 36 + len(body)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 16000, 32000, 2, 16) + b"data" + struct.pack("<I", len(body)) + body
+    crossings = sum((a < 0) != (b < 0) for a, b in zip(samples, samples[1:], strict=False))
+    block = brute_adpcm(payload, 64)
+    feature = f"codec={'mulaw' if mu else 'alaw'};n={len(samples)};energy={sum(x * x for x in samples)};peak={max(map(abs, samples))};crossings={crossings};adpcm_energy={sum(x * x for x in block)};adpcm_peak={max(map(abs, block))}"
+    return len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(form), hashlib.sha256(form).hexdigest(), feature
+
+
+def test_document_audio(docs, rows, clashing, no_docs, monkeypatch):
+    want = Counter((r[0], *brute_audio(r[1])) for r in rows)
     got = media.document_audio(docs).collect()
-    for r in got:
-        assert r["payload_bytes"] % 64 == 0 and r["media_bytes"] == 44 + 4 * r["payload_bytes"]
-    want = Counter()
-    for doc_id, text, *_ in rows:
-        data = (text or "").encode()
-        padded = data.ljust(max(64, -(-len(data) // 64) * 64), b"\0")
-        want[doc_id, len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:])] += 1
-    assert Counter((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in got) == want
+    assert Counter(map(tuple, got)) == want
+    assert {r["feature"].split(";")[0] for r in got} == {"codec=alaw", "codec=mulaw"}
     assert same_rows(media.document_audio(docs), media.document_audio(clashing)) and media.document_audio(no_docs).count() == 0
+    kept = media.document_audio(docs, keep_media=True).collect()
+    assert all(hashlib.sha256(bytes(r["media"])).hexdigest() == r["media_sha256"] and r["media_error"] is None for r in kept)
+    monkeypatch.setattr(media, "LARGEST", 1000)
+    small = media.document_audio(docs, keep_media=True).collect()
+    assert all((r["media"] is None) == (r["media_bytes"] > 1000) == (r["media_error"] is not None) for r in small) and Counter(tuple(r)[:8] for r in small) == want
+
+
+def test_stored_codes_come_back():
+    every = bytes(x for x in range(255))
+    for codec in ("alaw", "mulaw"):
+        assert media.load(media.store(every, codec), codec)[0] == every
+    assert media.codec_of(b"\xff" * 64) == "alaw"
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 16, 17, 1000, 65537])

@@ -387,12 +387,26 @@ def test_top_k(spark, monkeypatch):
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<double>, label int, length int").repartition(5)
     want = brute_top(rows)
     assert {tuple(r) for r in search.embedding_neighbours(df).collect()} == want
-    for name, value in (("BLOCK", 64), ("QUERIES", 2), ("STEP", 16), ("SEED", 20)):
+    for name, value in (("BLOCK", 64), ("QUERIES", 2), ("STEP", 16), ("SEED", 20), ("AT_ONCE", 1)):
         monkeypatch.setattr(search, name, value)
     assert {tuple(r) for r in search.embedding_neighbours(df).collect()} == want
     assert search.embedding_neighbours(df.limit(0)).count() == 0
-    with pytest.raises(Exception, match="too large"):
-        search.embedding_neighbours(spark.createDataFrame([(0, [1e9]), (1, [1.0])], "vec_id long, embedding array<double>")).collect()
+    found = search.embedding_neighbours(df)
+    found.collect()
+    plan = found._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_top_k_of_large_components(spark):
+    values = [(0, 70000.0), (1, 1e9), (2, 3e12), (3, 4e12), (4, -5e15), (100, 2e11), (5, 1e300), (6, -1.0)]
+    most = (1 << 63) - 1
+    got = sorted(map(tuple, search.embedding_neighbours(spark.createDataFrame([(k, [v]) for k, v in values], "vec_id long, embedding array<double>")).collect()))
+    whole = {k: max(-most - 1, min(most, math.floor(1024 * v))) for k, v in values}
+    want = []
+    for q in (0, 100):
+        best = sorted((-whole[k] * whole[q], k) for k in whole if k != q)
+        want += [(q, rank + 1, k, max(-most, min(most, -s))) for rank, (s, k) in enumerate(best)]
+    assert got == want
 
 
 def test_pruning_leaves_work_out():

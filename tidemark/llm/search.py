@@ -1,7 +1,8 @@
 """Exact top-k inner-product search over norm-sorted vectors.
 
-Candidates are range-partitioned by falling length and packed into blocks; queries are packed into blocks too, and every pair of
-blocks is one piece of work. Both are rotated by the right singular vectors of a bounded sample, so that the first HEAD rotated
+Candidates are range-partitioned by falling length and packed into blocks; queries are packed into blocks too, and a pair of
+blocks is one piece of work. Blocks meet by an equi-join on cells of their lengths: a query block asks for the cells from the
+least length that could still matter to it on up, so blocks that can't hold an answer move no vectors. Both are rotated by the right singular vectors of a bounded sample, so that the first HEAD rotated
 places hold most of an inner product. Within a piece, candidates go by falling length, and a query drops
 
 * all that follow, once its length times theirs cannot reach its k-th best score so far (Cauchy-Schwarz), and
@@ -11,13 +12,16 @@ What is left is scored exactly in 64-bit integers. A first pass over the longest
 from the start. Bounds carry a margin for rounding, and equal scores are never dropped, so results don't depend on the blocks.
 
 Vectors that are null or hold null or non-finite components take no part, nor do rows with a null id; a vector meets only vectors
-of its own number of components. Components beyond LARGEST after scaling raise an error, as their sums could leave 64 bits. Ties
+of its own number of components. Components saturate at 64 bits after scaling. Products that could leave 64 bits are summed in
+integers without limit and ranked by those (up to 38 digits); the score that is returned saturates at 64 bits. Ties
 go to smaller ids; repeated rows are candidates each, but a query meets no row with its own id, and a repeated query is answered
 once. Empty tables give empty results; other columns are neither read nor kept.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,11 +30,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialise
 
-#: Vectors of a block, queries of a block, vectors that are scored at once.
-BLOCK, QUERIES, STEP = 8192, 1024, 1024
+#: Vectors of a block, queries of a block, vectors and queries that are scored at once.
+BLOCK, QUERIES, STEP, AT_ONCE = 32_768, 4096, 1024, 1024
+#: Cells of lengths in each doubling, and parts that the blocks of a cell are dealt to.
+CELLS, DEALT = 16, 8
 #: Longest vectors of the first pass; rows of the sample that the rotation is fitted on; rotated places of the partial sum.
 SEED, SAMPLE, HEAD = 1024, 4096, 16
-LARGEST = 1 << 26
+#: Sums below this can't leave 64 bits; the largest numbers of 64 bits and of a decimal.
+SAFE, MOST, DIGITS = 1 << 62, (1 << 63) - 1, 10**38 - 1
 
 
 def quantised(embedding: Column, scale: int = 1024) -> Column:
@@ -53,12 +60,22 @@ class Best:
 
     def add(self, q: int, score: np.ndarray, ids: np.ndarray) -> None:
         s, i = np.concatenate([self.rows[q][0], score]), np.concatenate([self.rows[q][1], ids])
-        first = np.lexsort((i, -s))[: self.k]
+        if s.dtype == object:
+            first = np.array(sorted(range(len(s)), key=lambda x: (-s[x], i[x]))[: self.k], np.int64)
+        else:
+            first = np.lexsort((i, -s))[: self.k]
         self.rows[q] = s[first], i[first]
         if len(first) == self.k:
             self.floor[q] = max(self.floor[q], float(s[first[-1]]))
 
 
+def products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products as exact integers: of 64 bits where they can't leave those, else of any size."""
+    if float(np.abs(vectors.astype(np.float64)).max(initial=0.0)) * float(np.abs(query.astype(np.float64)).max(initial=0.0)) * len(query) < SAFE:
+        return vectors @ query
+    return vectors.astype(object) @ query.astype(object)
+
+
 def search_block(qid: np.ndarray, query: np.ndarray, floor: np.ndarray, vid: np.ndarray, vector: np.ndarray, turn: np.ndarray, k: int) -> Best:
     """Each query's best among the vectors, by falling length with both prunings; floor: scores to reach at least."""
     head = min(HEAD, vector.shape[1])
@@ -81,14 +98,13 @@ def search_block(qid: np.ndarray, query: np.ndarray, floor: np.ndarray, vid: np.
         near &= qid[alive, None] != vid[None, a:b]
         for row in np.flatnonzero(near.any(axis=1)):
             q, at = alive[row], a + np.flatnonzero(near[row])
-            best.add(q, vector[at] @ query[q], vid[at])
+            best.add(q, products(vector[at], query[q]), vid[at])
     return best
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     """(vec_id, values array<long>) -> query_id, rank, vec_id, score for the rows that are queries, against all others."""
     rows = vectors.filter("vec_id is not null and values is not null").select("vec_id", "values", F.size("values").alias("dim"))
-    rows = rows.withColumn("big", F.exists("values", lambda x: F.abs(x) > LARGEST)).withColumn("dim", F.when(F.col("big"), F.raise_error(F.lit("components too large for exact 64-bit scores"))).otherwise(F.col("dim")).cast("int")).drop("big")
     rows = rows.withColumn("length", F.sqrt(F.aggregate("values", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))))
     # blocks of falling length; ids part equal lengths, so that equal vectors spread
     placed = rows.repartitionByRange("dim", F.desc("length"), "vec_id").sortWithinPartitions("dim", F.desc("length"), "vec_id")
@@ -106,7 +122,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
         found = part if found is None else found.unionByName(part)
     if found is None:
         return held.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = W.partitionBy("query_id").orderBy(F.desc(F.coalesce("wide", F.col("score").cast("decimal(38,0)"))), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
@@ -128,24 +144,39 @@ def _one_length(held: DataFrame, is_query: Column, k: int, dim: int, turn: np.nd
     def pieces(frame: pd.DataFrame) -> pd.DataFrame:
         turn = shared.value[0]
         ask, have = frame[frame["side"] == 0], frame[frame["side"] == 1]
-        if not len(ask) or not len(have):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        best = search_block(ask["vec_id"].to_numpy(np.int64), matrix(ask["values"]), ask["floor"].to_numpy(float), have["vec_id"].to_numpy(np.int64), matrix(have["values"]), turn, k)
-        ids = [np.full(len(s), q, np.int64) for q, (s, _) in zip(ask["vec_id"], best.rows, strict=True)]
-        return pd.DataFrame({"query_id": np.concatenate(ids), "vec_id": np.concatenate([i for _, i in best.rows]), "score": np.concatenate([s for s, _ in best.rows])})
+        vid, vector = have["vec_id"].to_numpy(np.int64), matrix(have["values"])
+        out = []
+        for a in range(0, len(ask) if len(have) else 0, AT_ONCE):
+            some = ask.iloc[a : a + AT_ONCE]
+            best = search_block(some["vec_id"].to_numpy(np.int64), matrix(some["values"]), some["floor"].to_numpy(float), vid, vector, turn, k)
+            out += [(q, int(i), int(s)) for q, (scores, ids) in zip(some["vec_id"].tolist(), best.rows, strict=True) for s, i in zip(scores, ids, strict=True)]
+        made = pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype=object)
+        over = made["score"].map(lambda s: Decimal(max(-DIGITS, min(DIGITS, s))) if abs(s) > MOST else None)
+        kept = made["score"].map(lambda s: max(-MOST, min(MOST, s)))
+        return pd.DataFrame({"query_id": made["query_id"].astype("int64"), "vec_id": made["vec_id"].astype("int64"), "score": kept.astype("int64"), "wide": over.astype(object)})
 
     queries = held.filter(is_query).groupBy("vec_id").agg(F.min(F.struct("values", "length")).alias("v")).select("vec_id", "v.*")
     asked = materialise(queries.select("vec_id", "values", "length").mapInPandas(floors, "vec_id long, values array<long>, length double, floor double"), "queries")
     n = max(1, -(-asked.count() // QUERIES))
     asked = asked.withColumn("qblock", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
-    # blocks whose longest vector can't reach a query block's easiest score are never paired with it
     need = asked.groupBy("qblock").agg(F.min(F.col("floor") - 1e-9 * (1 + F.abs("floor"))).alias("least"), F.max("length").alias("reach"))
-    blocks = held.groupBy("part", "block").agg(F.max("length").alias("longest"))
-    # a pair of blocks, not of rows: rows / QUERIES x rows / BLOCK of them
-    pairs = blocks.join(need, F.col("longest") * F.col("reach") * (1 + 1e-9) + 1e-9 >= F.col("least")).select("part", "block", "qblock")
-    left = asked.join(pairs, "qblock").select("part", "block", "qblock", F.lit(0).alias("side"), "vec_id", "values", "floor")
-    right = held.join(pairs, ["part", "block"]).select("part", "block", "qblock", F.lit(1).alias("side"), "vec_id", "values", F.lit(0.0).alias("floor"))
-    return left.unionByName(right).groupBy("part", "block", "qblock").applyInPandas(pieces, "query_id long, vec_id long, score long")
+    blocks = held.groupBy("part", "block").agg(F.max("length").alias("longest")).withColumn("cell", length_cell(F.col("longest")))
+    blocks = blocks.withColumn("dealt", F.pmod(F.xxhash64("part", "block"), F.lit(DEALT)).cast("int"))
+    edges = blocks.agg(F.min("cell").alias("low"), F.max("cell").alias("high")).first()  # two numbers
+    # a query block reaches the cells from the least length whose product with its own longest could suffice
+    shortest = F.when((F.col("least") <= 0) | (F.col("reach") <= 0), F.lit(edges["low"])).otherwise(length_cell(F.col("least") / F.col("reach") * (1 - 1e-9)))
+    cells = F.filter(F.sequence(F.lit(edges["low"]), F.lit(edges["high"])), lambda c: c >= F.least(shortest, F.lit(edges["high"] + 1)))
+    asking = need.select("qblock", "least", "reach", F.explode(cells).alias("cell")).select("*", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))).alias("dealt"))
+    reached = F.col("longest") * F.col("reach") * (1 + 1e-9) + 1e-9 >= F.col("least")
+    pairs = blocks.join(asking.hint("merge"), ["cell", "dealt"]).filter(reached).select("part", "block", "qblock")
+    left = asked.join(pairs.hint("merge"), "qblock").select("part", "block", "qblock", F.lit(0).alias("side"), "vec_id", "values", "floor")
+    right = held.join(pairs.hint("merge"), ["part", "block"]).select("part", "block", "qblock", F.lit(1).alias("side"), "vec_id", "values", F.lit(0.0).alias("floor"))
+    return left.unionByName(right).groupBy("part", "block", "qblock").applyInPandas(pieces, "query_id long, vec_id long, score long, wide decimal(38,0)")
+
+
+def length_cell(length: Column) -> Column:
+    """The cell of a vector's length: CELLS in each doubling, all that are nearly zero in the lowest."""
+    return F.floor(F.log2(F.greatest(length, F.lit(1e-6))) * CELLS).cast("int")
 
 
 def embedding_neighbours(embeddings: DataFrame, k: int = 10) -> DataFrame:
