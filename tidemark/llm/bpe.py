@@ -8,10 +8,14 @@ joined. Two kinds of place qualify:
   the left of the place looks past it;
 * between two ASCII letters: both sides lie in one run of letters, which the pre-tokeniser takes as it is, whole or halved.
 
-Fragments are mostly words, so each task remembers what a fragment became. Once CACHE fragments are remembered they become the old
-generation, from which those met again are taken over; the generation before is forgotten. So memory is bounded.
+A fragment of plain characters (PLAIN_BYTES) is split as the pre-tokeniser does by comparing neighbouring characters' kinds, and all
+different pieces of a block are merged together in numpy: each round, every piece merges its pair of least rank at all its places.
+A fragment that holds anything else, and a piece of more than LONGEST bytes, goes to the tokenizers library as it is. Texts are taken
+in blocks of about BLOCK bytes, cut at certain boundaries, so memory is bounded by a block and a row's ids.
 
-Null texts count as empty. An empty text has no ids. Very long texts without any cut are one fragment. Repeated rows are
+Only byte-level BPE vocabularies without a normaliser are taken; others raise ValueError.
+
+Null texts count as empty. An empty text has no ids. A very long text without any cut is one fragment. Repeated rows are
 encoded each; an empty table gives an empty result, and other columns are neither read nor kept.
 """
 
@@ -31,10 +35,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded, byte_view, release, slices, utf8
 
-#: Fragments that a task remembers in each of two generations, and the longest that it remembers, in bytes.
-CACHE, LONGEST = 60_000, 48
-#: Bytes of text that are cut at once.
-BLOCK = 1 << 20
+#: Longest piece that is merged here, in bytes; bytes of text that are taken at once; ids whose decimals are made at once.
+LONGEST, BLOCK, IDS = 64, 1 << 20, 1 << 20
+#: No merge; slots of the table of merges (a power of two), and the odd number that spreads pairs over them.
+NEVER, SLOTS, SPREAD = np.int32(2**31 - 1), 1 << 19, np.uint64(0x9E3779B97F4A7C15)
+EMPTY = np.uint64(2**64 - 1)
+#: Kinds of bytes as the pre-tokeniser tells them apart: white space, letters, digits, signs.
+SPACE, LETTER, DIGIT, SIGN = 0, 1, 2, 3
 
 
 def byte_of_char() -> dict[str, int]:
@@ -44,6 +51,29 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """Kind of each byte, and whether it is plain: ASCII but for control characters, apostrophes (contractions) and <, >, | (special
+    tokens), and the two bytes of U+00C0 to U+00FF, which are letters but for two signs that Fragmenter.kinds looks for."""
+    byte = np.arange(256)
+    kind = np.full(256, SIGN, np.uint8)
+    kind[np.isin(byte, [9, 10, 11, 12, 13, 32])] = SPACE
+    kind[((byte | 32) >= 97) & ((byte | 32) <= 122) & (byte < 128)] = LETTER
+    kind[(byte >= 48) & (byte <= 57)] = DIGIT
+    kind[(byte >= 0x80) & (byte < 0xC0) | (byte == 0xC3)] = LETTER
+    plain = (byte >= 32) & (byte < 127) | (byte >= 9) & (byte <= 13) | (byte >= 0x80) & (byte < 0xC0) | (byte == 0xC3)
+    plain[[ord(c) for c in "'<>|"]] = False
+    return kind, plain
+
+
+KIND, PLAIN_BYTES = _kinds()
+
+
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """All places of the runs that start at starts and have counts places each."""
+    upto = np.cumsum(counts)
+    return np.repeat(starts - (upto - counts), counts) + np.arange(int(upto[-1]) if len(upto) else 0)
+
+
 class Fragmenter:
     """Cuts UTF-8 bytes at certain boundaries, and encodes and decodes with a vocabulary file."""
 
@@ -51,45 +81,73 @@ class Fragmenter:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        spec = json.loads(model)
+        usual, bpe = spec.get("pre_tokenizer") or {}, spec["model"]
+        odd = spec.get("normalizer") or usual.get("type") != "ByteLevel" or usual.get("add_prefix_space") or not usual.get("use_regex", True)
+        if odd or bpe.get("type", "BPE") != "BPE" or bpe.get("dropout") or bpe.get("ignore_merges"):
+            raise ValueError("not a plain byte-level BPE vocabulary")
         self.coder = Tokenizer.from_str(model)
         self.coder.no_truncation()
         self.coder.no_padding()
-        spec = json.loads(model)
         of = byte_of_char()
         added = {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
-        words = {i: bytes(of[c] for c in t) for t, i in spec["model"]["vocab"].items() if i not in added} | added
+        words = {i: bytes(of[c] for c in t) for t, i in bpe["vocab"].items() if i not in added} | added
         self.word = [words.get(i, b"") for i in range(max(words) + 1)]
         inside = np.zeros(65536, bool)
         for w in words.values():
             held = np.frombuffer(w, np.uint8).astype(np.int32)
             inside[held[:-1] << 8 | held[1:]] = True
         byte = np.arange(256)
-        space, letter = np.isin(byte, [9, 10, 11, 12, 13, 32]), ((byte | 32) >= 97) & ((byte | 32) <= 122)
+        space, letter = KIND == SPACE, (KIND == LETTER) & (byte < 128)
         left, right = np.arange(65536) >> 8, np.arange(65536) & 255
         kind = (~space[left] & space[right]) | (letter[left] & letter[right])
         kind &= ~((left >= 28) & (left <= 31))  # also white space to some pre-tokenisers
         self.cut = kind & ~inside
-        self.quick = self._second_coder(spec, words, added)
-        self.memory: dict[bytes, tuple[bytes, int, bytes]] = {}
-        self.old: dict[bytes, tuple[bytes, int, bytes]] = {}
-
-    def _second_coder(self, spec: dict, words: dict[int, bytes], added: dict[int, bytes]):
-        """A coder that takes a short fragment in a tenth of the time, where the vocabulary is known to make it agree: merges in the
-        order of their ids, the usual byte-level pre-tokeniser, no normaliser. It gets fragments of plain characters only (PLAIN), on
-        which pre-tokenisers don't differ. None where something is missing."""
-        try:
-            import tiktoken
-        except ImportError:
-            return None
-        ids = spec["model"]["vocab"]
-        made = [ids.get("".join(m if isinstance(m, list) else m.split(" "))) for m in spec["model"]["merges"]]
-        usual = spec.get("pre_tokenizer") or {}
-        if None in made or made != sorted(made) or spec.get("normalizer") or usual.get("type") != "ByteLevel" or usual.get("add_prefix_space") or not usual.get("use_regex", True):
-            return None
-        ranks = {w: i for i, w in words.items() if i not in added}
-        if any(bytes([b]) not in ranks for b in range(256)):
-            return None
-        return tiktoken.Encoding("fragments", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self._tables(bpe, of)
+
+    def _tables(self, bpe: dict, of: dict[str, int]) -> None:
+        """Ids of the bytes, the merges as an open-addressed table, and the ids' bytes and decimals as arrays."""
+        ids = bpe["vocab"]
+        self.byte_id = np.zeros(256, np.int32)
+        for c, b in of.items():
+            self.byte_id[b] = ids[c]
+        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in bpe["merges"]]
+        left, right = (np.array([ids[p[k]] for p in pairs], np.uint64) for k in (0, 1))
+        made = np.array([ids[a + b] for a, b in pairs], np.int32)
+        key = left << np.uint64(32) | right
+        self.keys, self.ranks, self.made = np.full(SLOTS, EMPTY), np.full(SLOTS, NEVER, np.int32), made
+        todo, at = np.arange(len(key)), self._slot(key)
+        while len(todo):  # of those that want a free slot the first gets it, the others look further
+            free = np.flatnonzero(self.keys[at[todo]] == EMPTY)
+            first = free[np.unique(at[todo[free]], return_index=True)[1]]
+            self.keys[at[todo[first]]], self.ranks[at[todo[first]]] = key[todo[first]], todo[first]
+            todo = np.delete(todo, first)
+            at[todo] = (at[todo] + 1) % SLOTS
+        self.size = np.array([len(w) for w in self.word], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(self.word), np.uint8)
+        text = [f"{i}," for i in range(len(self.word))]
+        self.width = np.array([len(t) for t in text], np.int64)
+        self.decimal = np.frombuffer("".join(t.ljust(8) for t in text).encode(), np.uint8).reshape(-1, 8)
+
+    @staticmethod
+    def _slot(key: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (key * SPREAD >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+    def rank(self, key: np.ndarray) -> np.ndarray:
+        """Ranks of pairs (left id << 32 | right id), NEVER where they don't merge."""
+        at = self._slot(key)
+        found = self.keys[at]
+        out = np.where(found == key, self.ranks[at], NEVER)
+        far = np.flatnonzero((found != key) & (found != EMPTY))
+        while len(far):
+            at[far] = (at[far] + 1) % SLOTS
+            found = self.keys[at[far]]
+            hit = found == key[far]
+            out[far[hit]] = self.ranks[at[far[hit]]]
+            far = far[~hit & (found != EMPTY)]
+        return out
 
     def cuts(self, buf: np.ndarray) -> np.ndarray:
         """Places k where bytes k - 1 and k are certainly apart."""
@@ -104,81 +162,155 @@ class Fragmenter:
             at = at[~(wide & blank)]
         return at
 
-    def encode(self, fragment: bytes) -> list[int]:
-        return self.coder.encode(fragment.decode("utf-8", "replace"), add_special_tokens=False).ids
-
-    def made(self, ids: list[int]) -> tuple[bytes, int, bytes]:
-        """Of a fragment: its ids in decimal, their number, and the bytes that they decode to."""
-        return b",".join(b"%d" % i for i in ids), len(ids), b"".join([self.word[i] for i in ids])
-
-    def learn_all(self, rows: list[list[bytes]]) -> None:
-        """Encode the fragments of rows that aren't remembered."""
-        need = {f for row in rows for f in row if len(f) <= LONGEST}
-        if len(self.memory) > CACHE:
-            self.old, self.memory = self.memory, {}
-        fresh = []
-        for f in need - self.memory.keys():
-            if f in self.old:
-                self.memory[f] = self.old[f]
-            else:
-                fresh.append(f)
-        held = []
-        for f in fresh:
-            if self.quick and PLAIN(f):
-                self.memory[f] = self.made(self.quick(f.decode()))
-            else:
-                held.append(f)
-        for part in range(0, len(held), 5_000):
-            some = held[part : part + 5_000]
-            for f, got in zip(some, self.coder.encode_batch_fast([f.decode("utf-8", "replace") for f in some], add_special_tokens=False), strict=True):
-                self.memory[f] = self.made(got.ids)
-
-    def forget(self) -> None:
-        self.memory, self.old = {}, {}
-
-    def found(self, fragments: list[bytes]) -> list[tuple[bytes, int, bytes]]:
-        """What the fragments became; those too long to remember are encoded here."""
-        known = self.memory
-        try:
-            return [known[f] for f in fragments]
-        except KeyError:
-            return [known[f] if f in known else self.made(self.encode(f)) for f in fragments]
-
-    def digest(self, fragments: list[bytes]) -> tuple[int, str, str]:
+    def fragments(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Ends of the fragments of all rows."""
+        edge = np.zeros(len(buf) + 1, bool)
+        edge[self.cuts(buf)] = True
+        edge[offsets[1:]] = True
+        edge[0] = False
+        return np.flatnonzero(edge)
+
+    def pieces(self, buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ends of the pieces of fragments, and whether a piece is plain; other fragments stay whole."""
+        starts = np.concatenate([[0], ends[:-1]])
+        plain = PLAIN_BYTES[buf]
+        tail = buf == 0xC3
+        after = np.append(buf[1:], np.uint8(0))
+        plain &= ~tail | (after >= 0x80) & (after < 0xC0) & (after != 0x97) & (after != 0xB7)
+        plain &= (buf < 0x80) | (buf >= 0xC0) | np.concatenate([[False], tail[:-1]])
+        whole = np.logical_and.reduceat(plain, starts)
+        kind = KIND[buf]
+        first = np.zeros(len(buf) + 1, bool)
+        first[starts] = True
+        first[-1] = True
+        space = kind == SPACE
+        before, now, blank = kind[:-1], kind[1:], space[:-1]
+        apart = np.where(space[1:], ~blank | ~np.append(space[2:], True) & ~first[2:], np.where(blank, buf[:-1] != 32, before != now))
+        first[1:-1] |= apart & np.repeat(whole, ends - starts)[1:]
+        out = np.flatnonzero(first)
+        return out[1:], np.repeat(whole, ends - starts)[out[:-1]]
+
+    def merged(self, ids: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Byte ids of pieces (numbered in order), merged: the ids of all pieces in order, and how many each has."""
+        n, done = int(piece[-1]) + 1 if len(piece) else 0, []
+        while len(ids):
+            starts = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))
+            room = np.diff(np.append(starts, len(ids)))
+            rank = np.full(len(ids), NEVER)
+            pair = np.flatnonzero(piece[1:] == piece[:-1])
+            rank[pair] = self.rank(ids[pair].astype(np.uint64) << np.uint64(32) | ids[pair + 1].astype(np.uint64))
+            least = np.minimum.reduceat(rank, starts)
+            ended = least == NEVER
+            if ended.any():
+                out = np.repeat(ended, room)
+                done.append((ids[out], piece[out]))
+                ids, piece, rank, least, room = ids[~out], piece[~out], rank[~out], least[~ended], room[~ended]
+            at = np.flatnonzero(rank == np.repeat(least, room))
+            if len(at) > 1:  # x x x: of places that overlap every other from the left
+                step = np.arange(len(at))
+                at = at[(step - np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, step, 0))) % 2 == 0]
+            ids[at] = self.made[rank[at]]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids, piece = ids[keep], piece[keep]
+        ids, piece = np.concatenate([np.zeros(0, np.int32), *(d[0] for d in done)]), np.concatenate([np.zeros(0, np.int64), *(d[1] for d in done)])
+        order = np.argsort(piece, kind="stable")
+        return ids[order], np.bincount(piece, minlength=n)
+
+    def encode_block(self, buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a block's fragments, and the number of ids up to each piece's end, given the fragments' ends."""
+        upto, plain = self.pieces(buf, ends)
+        starts = np.concatenate([[0], upto[:-1]])
+        size = upto - starts
+        pool, of, count = [], np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+        held = 0
+
+        def give(rows: np.ndarray, which: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+            nonlocal held
+            at = held + np.cumsum(counts) - counts
+            of[rows], count[rows] = at[which], counts[which]
+            pool.append(ids)
+            held += len(ids)
+
+        short = np.flatnonzero(plain & (size <= 16))
+        if len(short):
+            # a piece of 16 bytes or less as two numbers: equal pieces are equal numbers
+            step = np.arange(16)
+            own = np.where(step < size[short, None], buf[np.minimum(starts[short, None] + step, len(buf) - 1)], np.uint8(0))
+            two = np.ascontiguousarray(own).view("<u8")
+            with np.errstate(over="ignore"):
+                mark = (two[:, 0] ^ two[:, 1] * SPREAD) * SPREAD + size[short].astype(np.uint64)
+            order = np.argsort(mark)
+            new = np.concatenate([[True], mark[order[1:]] != mark[order[:-1]]])
+            one, which = order[new], np.empty(len(order), np.int64)
+            which[order] = np.cumsum(new) - 1
+            far = np.flatnonzero((two[one[which]] != two).any(axis=1) | (size[short[one[which]]] != size[short]))
+            if len(far):  # pieces that only share a mark
+                which[far] = len(one) + np.arange(len(far))
+                one = np.append(one, far)
+            give(short, which, *self._merged_at(buf, starts[short[one]], size[short[one]]))
+        long = np.flatnonzero(plain & (size > 16) & (size <= LONGEST))
+        rest = np.flatnonzero(~plain | (size > LONGEST))
+        for rows, mine in ((long, True), (rest, False)):
+            if len(rows):
+                kinds: dict[bytes, int] = {}
+                which = np.array([kinds.setdefault(buf[a:b].tobytes(), len(kinds)) for a, b in zip(starts[rows].tolist(), upto[rows].tolist(), strict=True)])
+                if mine:
+                    one = np.unique(which, return_index=True)[1]
+                    give(rows, which, *self._merged_at(buf, starts[rows[one]], size[rows[one]]))
+                else:
+                    found = [e.ids for e in self.coder.encode_batch_fast([k.decode("utf-8", "replace") for k in kinds], add_special_tokens=False)]
+                    give(rows, which, np.array([i for f in found for i in f], np.int32), np.array(list(map(len, found)), np.int64))
+        ids = np.concatenate(pool)[spread(of, count)] if pool else np.zeros(0, np.int32)
+        return ids, np.cumsum(count)[np.searchsorted(upto, ends)]
+
+    def _merged_at(self, buf: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.merged(self.byte_id[buf[spread(starts, size)]], np.repeat(np.arange(len(size)), size))
+
+    def encode_rows(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows, and where each row's ids start (one more than rows)."""
+        ends = self.fragments(buf, offsets)
+        out, upto, at, a = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0, 0
+        while a < len(ends):
+            b = max(a + 1, int(np.searchsorted(ends, at + BLOCK, "right")))
+            ids, n = self.encode_block(buf[at : ends[b - 1]], ends[a:b] - at)
+            out.append(ids)
+            upto.append(n + upto[-1][-1])
+            at, a = int(ends[b - 1]), b
+        place = np.concatenate(upto)  # number of ids up to each fragment's end
+        return np.concatenate(out), place[np.searchsorted(ends, offsets, "right")]
+
+    def decimals(self, ids: np.ndarray) -> bytes:
+        """Decimal ids, each with a comma after it."""
+        held = self.decimal[ids]
+        return held[np.arange(8) < self.width[ids][:, None]].tobytes()
+
+    def decoded(self, ids: np.ndarray) -> bytes:
+        """The bytes that ids stand for."""
+        return self.data[spread(self.start[ids], self.size[ids])].tobytes()
+
+    def digest(self, ids: np.ndarray) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids, SHA-256 of the decoded text."""
-        if not fragments:
-            empty = hashlib.sha256(b"").hexdigest()
-            return 0, empty, empty
-        ids, counts, back = zip(*self.found(fragments), strict=True)
-        decoded = b"".join(back).decode("utf-8", "replace").encode()
-        return sum(counts), hashlib.sha256(b",".join(ids)).hexdigest(), hashlib.sha256(decoded).hexdigest()
-
-    def fragments(self, buf: np.ndarray, offsets: np.ndarray) -> list[list[bytes]]:
-        """The fragments of each row."""
-        ends = np.union1d(self.cuts(buf), offsets[1:])
-        ends = ends[ends > 0]
-        data, starts = buf.tobytes(), np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-        pieces = [data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        upto = np.searchsorted(ends, offsets, "right")
-        return [pieces[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
-
-
-#: Fixed value: the byte-level pre-tokeniser's pattern.
-_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Fragments of printable ASCII without brackets of special tokens, and of the accented letters U+00C0 to U+00FF.
-PLAIN = re.compile(rb"(?:[ !-;=?-{}~]|\xc3[\x80-\xbf])*").fullmatch
+        whole, back = hashlib.sha256(), []
+        for a in range(0, len(ids), IDS):
+            some = ids[a : a + IDS]
+            text = self.decimals(some)
+            whole.update(text if a + IDS < len(ids) else text[:-1])
+            back.append(self.decoded(some))
+        return len(ids), whole.hexdigest(), hashlib.sha256(b"".join(back).decode("utf-8", "replace").encode()).hexdigest()
+
+
 #: UTF-8 of the three-byte white space characters.
 _WIDE_BLANKS = np.array([0xE19A80, *range(0xE28080, 0xE2808B), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080])
 
 
 def held_coder(model: str) -> Fragmenter:
-    """The worker's coder for a vocabulary: loaded once, with nothing remembered from earlier tasks."""
+    """The worker's coder for a vocabulary: loaded once."""
     # functions come to a worker by value, so what is to outlive a task can't be a variable of this module
     held = sys.modules.setdefault("_tidemark_worker", types.ModuleType("_tidemark_worker")).__dict__
     name = hashlib.sha256(model.encode()).hexdigest()
     if name not in held:
         held[name] = Fragmenter(model)
-    held[name].forget()
     return held[name]
 
 
@@ -189,7 +321,7 @@ def default_vocabulary() -> str:
 
 
 def _columns(docs: DataFrame, vocabulary: str | None, work, schema: str) -> DataFrame:
-    """Rows of (key, UTF-8) through work(fragmenter, buf, offsets) -> columns beside doc_id."""
+    """Rows' ids through work(fragmenter, ids, where each row's start) -> columns beside doc_id."""
     with open(vocabulary or default_vocabulary(), encoding="utf-8") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file: a fixed size
 
@@ -198,29 +330,21 @@ def _columns(docs: DataFrame, vocabulary: str | None, work, schema: str) -> Data
         for batch in batches:
             buf, at = byte_view(batch.column(1))
             for a, b in slices(len(batch), at, BLOCK):
-                cols = work(coder, buf[at[a] : at[b]], at[a : b + 1] - at[a])
+                cols = work(coder, *coder.encode_rows(buf[at[a] : at[b]], at[a : b + 1] - at[a]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *cols], names=names)
-        coder.forget()
         release()
 
     names = [x.split()[0] for x in re.split(r",\s*", schema)]
     return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("data")).mapInArrow(run, schema)
 
 
-def _digests(coder: Fragmenter, buf: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
-    rows = coder.fragments(buf, offsets)
-    coder.learn_all(rows)
-    n, ids, back = zip(*map(coder.digest, rows), strict=True)
-    return [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())]
+def _digests(coder: Fragmenter, ids: np.ndarray, at: np.ndarray) -> list[pa.Array]:
+    rows = [coder.digest(ids[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
 
 
-def _ids(coder: Fragmenter, buf: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
-    rows = coder.fragments(buf, offsets)
-    coder.learn_all(rows)
-    parts = [coder.found(row) for row in rows]
-    flat = [i for row in parts for f in row if f[0] for i in map(int, f[0].split(b","))]
-    n = np.array([sum(f[1] for f in row) for row in parts], np.int64)
-    return [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat, pa.int32()))]
+def _ids(coder: Fragmenter, ids: np.ndarray, at: np.ndarray) -> list[pa.Array]:
+    return [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))]
 
 
 def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -235,4 +359,4 @@ def digest_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFram
 
 def decode_ids(ids: list[int], coder: Fragmenter) -> str:
     """The text of ids, as the vocabulary's byte-level decoder gives it."""
-    return b"".join(coder.word[i] for i in ids).decode("utf-8", "replace")
+    return coder.decoded(np.array(ids, np.int64)).decode("utf-8", "replace")
