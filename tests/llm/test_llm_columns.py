@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 from tests.llm.conftest import same_rows
@@ -244,41 +245,81 @@ def test_feistel_permutes(n):
         assert got.tolist() != list(range(n)) and got.tolist() != ordering.feistel(np.arange(n), n, 6).tolist()
 
 
-def test_training_order(docs, rows, clashing, no_docs):
-    got = ordering.document_order(docs).collect()
-    want = Counter()
+def brute_feistel(x, n, key):
+    """The same permutation, number by number."""
+    mask64 = (1 << 64) - 1
+
+    def mix(v):
+        v = (v ^ v >> 30) * 0xBF58476D1CE4E5B9 & mask64
+        v = (v ^ v >> 27) * 0x94D049BB133111EB & mask64
+        return v ^ v >> 31
+
+    half = max(1, (max(1, (n - 1).bit_length()) + 1) // 2)
+    while True:
+        left, right = x >> half, x & (1 << half) - 1
+        for k in range(1, ordering.ROUNDS + 1):
+            left, right = right, left ^ mix(right + mix(k * 0x9E3779B97F4A7C15 + key & mask64) & mask64) & (1 << half) - 1
+        x = left << half | right
+        if x < n:
+            return x
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def brute_order(rows, library):
+    """Slot of every sequence by sorting documents on the driver."""
+    docs = []
     for doc_id, text, *_ in rows:
-        tokens = [*(text or "").encode(), ordering.END]
-        for k in range(0, len(tokens), ordering.LENGTH):
-            part = tokens[k : k + ordering.LENGTH]
-            record = np.array(part + [ordering.PAD] * (ordering.LENGTH - len(part)), "<u2").tobytes()
-            want[doc_id, k // ordering.LENGTH, len(part), zlib.crc32(record)] += 1
-    assert Counter((r["doc_id"], r["seq_no"], r["n_tokens"], r["record_crc32"]) for r in got) == want
-    assert sorted(r["slot"] for r in got) == list(range(len(got)))
-    assert all(r["shard"] == r["slot"] // ordering.PER_SHARD and r["byte_offset"] == r["slot"] % ordering.PER_SHARD * ordering.STRIDE for r in got)
-    assert ordering.document_order(clashing).count() == len(got) and ordering.document_order(no_docs).count() == 0
-
-
-def test_exact_multiple_of_length(spark):
-    df = spark.createDataFrame([(1, "x" * ordering.LENGTH)], "doc_id long, text string")
+        data = (text or "").encode()
+        k1, k2 = (signed(xxhash.xxh64(data, seed=seed).intdigest()) for seed in (42, xxhash.xxh64(struct.pack("<i", 1), seed=42).intdigest()))
+        h = 42
+        for v in (doc_id, k1, k2):
+            h = h if v is None else xxhash.xxh64(struct.pack("<q", v), seed=h).intdigest()
+        docs.append((signed(h) % ordering.BUCKETS, doc_id is not None, doc_id or 0, k1, k2, doc_id, [*library.encode(text or "", add_special_tokens=False).ids, 50256]))
+    pieces = [(doc_id, k // ordering.LENGTH, tokens[k : k + ordering.LENGTH]) for *_, doc_id, tokens in sorted(docs, key=lambda d: d[:5]) for k in range(0, len(tokens), ordering.LENGTH)]
+    out = {}
+    for number, (doc_id, seq, part) in enumerate(pieces):
+        record = np.array(part + [ordering.PAD] * (ordering.LENGTH - len(part)), "<u2").tobytes()
+        out[brute_feistel(number, len(pieces), ordering.KEY)] = (doc_id, seq, len(part), zlib.crc32(record))
+    return out
+
+
+def test_training_order(docs, rows, clashing, no_docs, library):
+    want = brute_order(rows, library)
+    for stored in (docs, docs.repartition(1), docs.repartition(7), clashing):
+        got = ordering.document_order(stored).collect()
+        assert sorted(r["slot"] for r in got) == list(range(len(want)))
+        # copies of a row are interchangeable, and equal in all that is compared
+        assert {r["slot"]: (r["doc_id"], r["seq_no"], r["n_tokens"], r["record_crc32"]) for r in got} == want
+        assert all(r["shard"] == r["slot"] // ordering.PER_SHARD and r["byte_offset"] == r["slot"] % ordering.PER_SHARD * ordering.STRIDE for r in got)
+    assert ordering.document_order(no_docs).count() == 0
+
+
+def test_exact_multiple_of_length(spark, library):
+    text = " a" * ordering.LENGTH
+    assert len(library.encode(text).ids) == ordering.LENGTH
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert sorted(r["n_tokens"] for r in ordering.document_order(df).collect()) == [1, ordering.LENGTH]
 
 
-def test_shards_resume(spark, docs, tmp_path):
-    path = str(tmp_path / "shards")
-    ordered = ordering.training_order(docs)
-    ordering.write_shards(ordered, path, 8)
+def test_shards_resume(spark, docs, rows, library, tmp_path):
+    path, part = str(tmp_path / "shards"), str(tmp_path / "part")
+    ordering.write_shards(docs, path, per_shard=8)
     whole = {r["shard"]: r["sha256"] for r in spark.read.parquet(path).collect()}
-    ordering.write_shards(ordered, path, 8)
+    assert sorted(whole) == list(range(len(whole)))
+    ordering.write_shards(docs, path, per_shard=8)
     assert spark.read.parquet(path).count() == len(whole)
-    part = str(tmp_path / "part")
-    ordering.shards(ordered, 8).filter("shard % 2 = 0").write.parquet(part)
-    ordering.write_shards(ordered, part, 8)
-    assert {r["shard"]: r["sha256"] for r in spark.read.parquet(part).collect()} == whole
-    pieces = {r["slot"]: bytes(r["piece"]) for r in ordered.collect()}
-    for r in ordering.read_slots(spark, path, 5, 9, 8).collect():
-        assert bytes(r["record"]) == ordering._record(pieces[r["slot"]])
-    assert ordering.read_slots(spark, path, 5, 9, 8).count() == 9
+    spark.read.parquet(path).filter("shard % 3 = 0").write.parquet(part)
+    ordering.write_shards(docs.repartition(5), part, per_shard=8)  # taken up from another layout
+    assert sorted((r["shard"], r["sha256"]) for r in spark.read.parquet(part).collect()) == sorted(whole.items())
+    bits = ordering.held_shards(spark, part)
+    left = ordering.training_order(docs, per_shard=8, done=bits)
+    assert left.count() == 0
+    want = brute_order(rows, library)
+    got = ordering.read_slots(spark, part, 5, 9, 8).collect()
+    assert {r["slot"]: zlib.crc32(bytes(r["record"])) for r in got} == {s: want[s][3] for s in range(5, 14)}
 
 
 @pytest.fixture(scope="module")
@@ -298,26 +339,46 @@ def test_bpe(docs, rows, clashing, no_docs, library):
     assert all(ids[r[0]] == library.encode(r[1] or "", add_special_tokens=False).ids for r in rows if (r[0] or 0) >= 300)
 
 
-def test_cuts_never_change_ids(library):
+@pytest.fixture(scope="module")
+def coder():
+    with open(bpe.default_vocabulary(), encoding="utf-8") as f:
+        return bpe.Fragmenter(f.read())
+
+
+def encoded(coder, texts):
+    data = [t.encode() for t in texts]
+    ids, at = coder.encode_rows(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    return [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def test_cuts_never_change_ids(library, coder):
     import random
 
     rng = random.Random(5)
-    coder = bpe.Fragmenter(open(bpe.default_vocabulary(), encoding="utf-8").read())
-    alphabet = ["a", "b", "z", "q", "x", "J", "'", "'s", "'ll", "re", " ", "  ", "\n", "\t", "\r\n", " ", "　", " ", "\x85", "\x1c", "1", "23", ".", "!!", "é", "à", "日", "🙂", "<|endoftext|>", "_", "&"]
-    for _ in range(400):
-        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 40)))
-        buf = np.frombuffer(text.encode(), np.uint8)
-        row = coder.fragments(buf, np.array([0, len(buf)]))[0]
-        assert b"".join(row) == text.encode()
-        ids = [i for f in row for i in coder.encode(f)]
-        assert ids == library.encode(text, add_special_tokens=False).ids, text
+    alphabet = ["a", "b", "z", "q", "x", "J", "'", "'s", "'ll", "re", " ", "  ", "\n", "\t", "\r\n", " ", "\u3000", "\xa0", "\x85", "\x1c", "1", "23", ".", "!!", "é", "à", "×", "÷", "ß", "ª", "日", "🙂", "<|endoftext|>", "_", "&"]
+    plain = ["a", "the", "ing", "Q", " ", "  ", "\n", "\t", "é", "ß", "1", "23", ".", "!!", ",", "aaaa", "x" * 20, "zq", "=" * 5, "\x0b"]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randrange(0, 40))) for _ in range(1500) for some in (alphabet, plain)]
+    texts += ["y" * 700, "ab" * 5000, " " * 300, " " * 300 + "x", "\n" * 40 + "x", "the " * 4000, "", "'", "don't", "a'", "é" * 90]
+    for text, ids in zip(texts, encoded(coder, texts), strict=True):
+        assert ids == library.encode(text, add_special_tokens=False).ids, repr(text)
         assert bpe.decode_ids(ids, coder) == library.decode(ids, skip_special_tokens=False)
 
 
-def test_memory_is_bounded(monkeypatch, library):
-    coder = bpe.Fragmenter(open(bpe.default_vocabulary(), encoding="utf-8").read())
-    monkeypatch.setattr(bpe, "CACHE", 10)
-    for k in range(5):
-        rows = [[f" word{k}{j}".encode() for j in range(8)]]
-        coder.learn_all(rows)
-        assert len(coder.memory) <= 18 and len(coder.old) <= 18 and len(coder.found(rows[0])) == 8
+def test_blocks_are_cut_within_long_texts(library, coder, monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choice(["th", "er", "on", "qu", "é", "日", ","]) for _ in range(rng.randrange(1, 9))) for _ in range(n)) for n in (0, 700, 1, 3000)]
+    monkeypatch.setattr(bpe, "BLOCK", 500)
+    monkeypatch.setattr(bpe, "IDS", 300)
+    for text, ids in zip(texts, encoded(coder, texts), strict=True):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert ids == want
+        assert coder.digest(np.array(ids, np.int32)) == (len(want), hashlib.sha256(",".join(map(str, want)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_other_vocabularies_are_refused():
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f, pytest.raises(ValueError):
+        bpe.Fragmenter(f.read())

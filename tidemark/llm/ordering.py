@@ -1,33 +1,40 @@
 """Training-order materialisation of fixed-length token sequences.
 
-A text's tokens are its UTF-8 bytes as 16-bit ids and an end mark; they are cut into sequences of LENGTH tokens, the last one
-padded. The sequences are stored once, and numbered by their place in that stored table. A keyed Feistel permutation of
-the numbers, with cycle-walking down to their exact count, gives every sequence a global slot. A range partitioning by
-shard then brings each shard's sequences together in slot order, and a shard is written as one run of fixed-stride records:
-slot s lies in shard s // PER_SHARD at byte (s % PER_SHARD) * stride. Shards that a destination already holds are not written again.
+A text's tokens are its ids under a BPE vocabulary and an end mark, 16 bits each; they are cut into sequences of LENGTH tokens, the
+last one padded. Sequences are numbered in the order of (bucket of the document's hash, doc_id, hashes of the text, number within the
+text): a hash exchange brings buckets together, the sums of the BUCKETS buckets are broadcast (a fixed size), and within a bucket rows
+are sorted. So a number depends on what is in the table alone, not on how it is stored or dealt to tasks. A keyed Feistel permutation
+of the numbers, with cycle-walking down to their exact count, gives every sequence a global slot. A second exchange brings each range
+of PER_SHARD slots together, and a task writes it as one shard of fixed-stride records: slot s lies in shard s // PER_SHARD at byte
+(s % PER_SHARD) * stride. Shards that a destination already holds are left out before that exchange: the destination says which, in a
+bit for each (1.5 MB for a hundred terabytes of tokens).
 
-The permutation deals slots evenly whatever the input, so no key can make a shard large.
+The permutation deals slots evenly whatever the input, so no key can make a shard large. Equal rows are counted where they are read.
 
 Null texts count as empty; an empty text is one sequence that holds the end mark alone. Very long texts are many sequences. Null
-ids stay null. Repeated rows are sequences of their own; an empty table gives none. Other columns are neither read nor kept.
+ids stay null. Repeated rows are sequences of their own, in any order among themselves; an empty table gives none. Other columns are
+neither read nor kept. Vocabularies of more than 65,535 ids raise ValueError.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded, byte_view, materialise, utf8
+from tidemark.llm.bpe import BLOCK, default_vocabulary, held_coder
+from tidemark.llm.common import bounded, byte_view, release, shared_dir, slices, utf8
 
 #: Tokens of a sequence, sequences of a shard, the permutation's key.
 LENGTH, PER_SHARD, KEY = 1024, 4096, 20260101
-END, PAD = 256, 257
+#: What fills up a last sequence; buckets of documents.
+PAD, BUCKETS = 65_535, 1 << 16
 STRIDE = 2 * LENGTH
 ROUNDS = 6
 
@@ -58,88 +65,167 @@ def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame) -> DataFrame:
-    """doc_id, seq_no, piece: the bytes of each sequence; the last of a document has fewer than LENGTH, to leave room for the end mark."""
+def end_mark(word: list[bytes]) -> int:
+    """The id that ends a document: the vocabulary's own, else the next free one."""
+    found = word.index(b"<|endoftext|>") if b"<|endoftext|>" in word else len(word)
+    if found >= PAD or len(word) > PAD:
+        raise ValueError("ids need more than 16 bits")
+    return found
 
-    def run(batches):
-        for batch in batches:
-            buf, at = byte_view(batch.column(1))
-            sizes = np.diff(at)
-            n = sizes // LENGTH + 1
-            row = np.repeat(np.arange(len(batch)), n)
-            seq = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            starts = at[:-1][row] + seq * LENGTH
-            bounds = np.append(starts, at[-1])  # pieces follow each other without gaps
-            pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(buf))]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(seq, pa.int64()), pieces], names=["doc_id", "seq_no", "piece"])
-
-    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("data"))
-    return rows.mapInArrow(run, "doc_id long, seq_no long, piece binary")
 
+def token_rows(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """bucket, doc_id, k1, k2 (hashes of the text), copies, n (sequences), packed (the tokens): equal rows of a batch are one."""
+    with open(vocabulary or default_vocabulary(), encoding="utf-8") as f:
+        model = docs.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file: a fixed size
 
-def training_order(docs: DataFrame, key: int = KEY) -> DataFrame:
-    """doc_id, seq_no, piece, slot: every sequence with its global slot."""
-    stored = materialise(sequences(docs).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_place")), "order")
-    counts = [tuple(r) for r in stored.groupBy("_part").count().orderBy("_part").collect()]  # one row for each task that wrote
-    n = sum(c for _, c in counts)
-    first = dict(zip([p for p, _ in counts], np.cumsum([0, *(c for _, c in counts)]).tolist(), strict=False))
-    width = max(first, default=0) + 1
-    base = np.zeros(width, np.int64)
-    base[list(first)] = list(first.values())
-
-    @F.pandas_udf("long")
-    def slot(part: pd.Series, place: pd.Series) -> pd.Series:
-        return pd.Series(feistel(base[part.to_numpy()] + place.to_numpy(), n, key))
+    def run(batches):
+        coder = held_coder(model.value)
+        end = np.array([end_mark(coder.word)], "<u2")
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True))
+            copies: dict[tuple, int] = {}
+            for key in keys:
+                copies[key] = copies.get(key, 0) + 1
+            first = {key: k for k, key in reversed(list(enumerate(keys)))}
+            own = pa.array(sorted(first.values()), pa.int64())
+            some = batch.take(own)
+            buf, at = byte_view(some.column(4))
+            for a, b in slices(len(some), at, BLOCK):
+                ids, upto = coder.encode_rows(buf[at[a] : at[b]], at[a : b + 1] - at[a])
+                packed = [zlib.compress(np.append(ids[x:y].astype("<u2"), end).tobytes(), 1) for x, y in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
+                many = [copies[keys[k]] for k in own[a:b].to_pylist()]
+                n = np.diff(upto) // LENGTH + 1
+                yield pa.RecordBatch.from_arrays([*(some.column(k).slice(a, b - a) for k in range(4)), pa.array(many, pa.int64()), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], names=names)
+        release()
+
+    names = ["bucket", "doc_id", "k1", "k2", "copies", "n", "packed"]
+    k1, k2 = F.xxhash64(utf8()), F.xxhash64(F.lit(1), utf8())
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), utf8().alias("data"))
+    rows = rows.select(F.pmod(F.xxhash64("doc_id", "k1", "k2"), F.lit(BUCKETS)).cast("int").alias("bucket"), "doc_id", "k1", "k2", "data")
+    return rows.mapInArrow(run, "bucket int, doc_id long, k1 long, k2 long, copies long, n long, packed binary")
+
+
+def numbered(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """doc_id, packed, copies, n, first (number of the row's first sequence), total (of all sequences)."""
+
+    def place(batches):
+        """Sorted rows, equal ones as one, with the number of sequences before them in their bucket."""
+        held, bucket, before, out, size = None, None, 0, [], 0
+
+        def ended():
+            nonlocal bucket, before, size
+            if held[0] != bucket:
+                bucket, before = held[0], 0
+            out.append((bucket, held[1], before, held[4], held[5], held[6]))
+            before += held[4] * held[5]
+            size += len(held[6])
+
+        def made():
+            cols = [pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+            return pa.RecordBatch.from_arrays(cols, names=["bucket", "doc_id", "before", "copies", "n", "packed"])
 
-    return stored.select("doc_id", "seq_no", "piece", slot("_part", "_place").alias("slot"))
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[:4] == row[:4]:
+                    held = (*held[:4], held[4] + row[4], *held[5:])
+                    continue
+                if held:
+                    ended()
+                held = row
+            if size > BLOCK:
+                yield made()
+                out, size = [], 0
+        if held:
+            ended()
+        if out:
+            yield made()
 
+    # both uses read the one exchange: Python takes all its columns, so none is pruned from either
+    met = token_rows(docs, vocabulary).repartition("bucket").sortWithinPartitions("bucket", "doc_id", "k1", "k2")
+    placed = met.mapInArrow(place, "bucket int, doc_id long, before long, copies long, n long, packed binary")
+    sums = placed.groupBy("bucket").agg(F.max(F.col("before") + F.col("copies") * F.col("n")).alias("size"))
+    ahead = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)  # BUCKETS rows at most, and so is the broadcast
+    starts = sums.select("bucket", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("start"), F.sum("size").over(W.partitionBy()).alias("total"))
+    return placed.join(F.broadcast(starts), "bucket").select("doc_id", "packed", "copies", "n", (F.col("start") + F.col("before")).alias("first"), "total")
 
-def _record(piece: bytes) -> bytes:
-    """A sequence's tokens as little-endian 16-bit ids of a fixed stride."""
-    out = np.full(LENGTH, PAD, "<u2")
-    out[: len(piece)] = np.frombuffer(piece, np.uint8)
-    if len(piece) < LENGTH:
-        out[len(piece)] = END
-    return out.tobytes()
 
+def training_order(docs: DataFrame, key: int = KEY, vocabulary: str | None = None, per_shard: int = PER_SHARD, done: np.ndarray | None = None) -> DataFrame:
+    """shard, slot, doc_id, seq_no, piece (its tokens) of every sequence; done: packed bits of the shards to leave out."""
 
-def _by_shard(ordered: DataFrame, per_shard: int, work, schema: str) -> DataFrame:
-    """work(shard, its rows in slot order, the shard's bytes) -> record batch, for every shard."""
+    def run(batches):
+        for batch in batches:
+            for doc_id, packed, copies, n, first, total in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tokens = zlib.decompress(packed)
+                for a in range(0, copies * n, 1 << 14):  # of many copies some at a time
+                    number = np.arange(a, min(a + (1 << 14), copies * n))
+                    slot = feistel(first + number, total, key)
+                    shard, seq = slot // per_shard, number % n
+                    if done is not None:
+                        new = ~((done[np.minimum(shard >> 3, len(done) - 1)] >> (shard & 7) & 1).astype(bool) & (shard >> 3 < len(done)))
+                        slot, shard, seq = slot[new], shard[new], seq[new]
+                    pieces = [tokens[s * STRIDE : (s + 1) * STRIDE] for s in seq.tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(slot), pa.array([doc_id] * len(slot), pa.int64()), pa.array(seq), pa.array(pieces, pa.binary())], names=["shard", "slot", "doc_id", "seq_no", "piece"])
+        release()
+
+    def joined(batches):
+        """Small batches as larger ones."""
+        held, size = [], 0
+        for batch in run(batches):
+            held.append(batch)
+            size += len(batch)
+            if size >= 1000:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+        if size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    return numbered(docs, vocabulary).mapInArrow(joined, "shard long, slot long, doc_id long, seq_no long, piece binary")
+
+
+def shards(ordered: DataFrame) -> DataFrame:
+    """One row a shard: shard, first_slot, n_sequences, stride, sha256, payload, and the doc_id and seq_no of each record."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+    names = ["shard", "first_slot", "n_sequences", "stride", "sha256", "payload", "doc_ids", "seq_nos"]
+
+    def made(shard, rows):
+        data = b"".join(piece.ljust(STRIDE, b"\xff") for _, _, _, piece in rows)
+        row = (shard, rows[0][0], len(rows), STRIDE, hashlib.sha256(data).hexdigest(), data, [r[1] for r in rows], [r[2] for r in rows])
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
 
     def run(batches):
-        held: list[tuple] = []
+        shard, held = None, []
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[0][4] != row[4]:
-                    yield work(held[0][4], held, b"".join(_record(r[2]) for r in held))
+            for at, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and at != shard:
+                    yield made(shard, held)
                     held = []
+                shard = at
                 held.append(row)
         if held:
-            yield work(held[0][4], held, b"".join(_record(r[2]) for r in held))
-
-    placed = ordered.select("doc_id", "seq_no", "piece", "slot", F.floor(F.col("slot") / per_shard).alias("shard"))
-    return placed.repartitionByRange("shard").sortWithinPartitions("shard", "slot").mapInArrow(run, schema)
-
+            yield made(shard, held)
+        release()
 
-def shards(ordered: DataFrame, per_shard: int = PER_SHARD) -> DataFrame:
-    """One row a shard: shard, first_slot, n_sequences, stride, sha256, payload."""
+    schema = "shard long, first_slot long, n_sequences long, stride long, sha256 string, payload binary, doc_ids array<long>, seq_nos array<long>"
+    return ordered.repartition("shard").sortWithinPartitions("shard", "slot").mapInArrow(run, schema)
 
-    def work(shard, rows, data):
-        row = (shard, rows[0][3], len(rows), STRIDE, hashlib.sha256(data).hexdigest(), data)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["shard", "first_slot", "n_sequences", "stride", "sha256", "payload"])
 
-    return _by_shard(ordered, per_shard, work, "shard long, first_slot long, n_sequences long, stride long, sha256 string, payload binary")
+def held_shards(spark: SparkSession, path: str) -> np.ndarray | None:
+    """Which shards a destination holds, a bit for each; None if there is no destination."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at) or not any(f.getPath().getName().endswith(".parquet") for f in files.listStatus(at)):
+        return None
+    words = spark.read.parquet(path).select(F.floor(F.col("shard") / 32).cast("long").alias("word"), F.expr("shiftleft(1L, cast(shard % 32 as int))").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(int(found["word"].max()) + 1 if len(found) else 1, "<u4")
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return out.view(np.uint8)
 
 
-def write_shards(ordered: DataFrame, path: str, per_shard: int = PER_SHARD) -> None:
-    """Add the shards that path lacks; a run that was cut off is taken up again by calling this once more."""
-    made = shards(ordered, per_shard)
-    spark = ordered.sparkSession
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        made = made.join(spark.read.schema(made.schema).parquet(path).select("shard"), "shard", "left_anti")
-    made.write.mode("append").parquet(path)
+def write_shards(docs: DataFrame, path: str, key: int = KEY, vocabulary: str | None = None, per_shard: int = PER_SHARD) -> None:
+    """Add the shards that path lacks; a run that was cut off is taken up again by calling this once more, on the same documents."""
+    made = shards(training_order(docs, key, vocabulary, per_shard, held_shards(docs.sparkSession, path)))
+    made.write.mode("append").option("compression", "zstd").parquet(path)
 
 
 def read_slots(spark: SparkSession, path: str, start: int, n: int, per_shard: int = PER_SHARD) -> DataFrame:
@@ -150,12 +236,29 @@ def read_slots(spark: SparkSession, path: str, start: int, n: int, per_shard: in
     return each.filter(F.col("slot").between(start, start + n - 1)).select("slot", record.alias("record"))
 
 
-def document_order(docs: DataFrame) -> DataFrame:
-    """Every sequence as its shard holds it: slot, shard, byte_offset, doc_id, seq_no, n_tokens, record_crc32."""
+def shard_records(stored: DataFrame) -> DataFrame:
+    """Every record of stored shards: slot, shard, byte_offset, doc_id, seq_no, n_tokens, record_crc32."""
     names = ["slot", "shard", "byte_offset", "doc_id", "seq_no", "n_tokens", "record_crc32"]
 
-    def work(shard, rows, data):
-        made = [(r[3], shard, k * STRIDE, r[0], r[1], min(len(r[2]) + 1, LENGTH), zlib.crc32(data[k * STRIDE : (k + 1) * STRIDE])) for k, r in enumerate(rows)]
-        return pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], pa.int64()) for k in range(7)], names=names)
+    def run(batches):
+        for batch in (x.slice(k, 1) for x in batches for k in range(len(x))):
+            shard, first, n, stride, payload, docs, seqs = (c[0].as_py() for c in batch.columns)
+            n_tokens = (np.frombuffer(payload, "<u2").reshape(n, -1) != PAD).sum(axis=1)
+            at = np.arange(n, dtype=np.int64)
+            crc = [zlib.crc32(payload[k * stride : (k + 1) * stride]) for k in range(n)]
+            cols = (first + at, np.full(n, shard), at * stride, docs, seqs, n_tokens, crc)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
+        release()
+
+    rows = stored.select("shard", "first_slot", "n_sequences", "stride", "payload", "doc_ids", "seq_nos")
+    return rows.mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
-    return _by_shard(training_order(docs), PER_SHARD, work, ", ".join(f"{x} long" for x in names))
+
+def document_order(docs: DataFrame) -> DataFrame:
+    """All sequences in training order, written as shards into the shared folder, and the records as they are read back."""
+    spark = docs.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/order-{uuid.uuid4().hex}"
+    write_shards(docs, path)
+    # a shard is a row of PER_SHARD records: few go to Python at once
+    kinds = "shard long, first_slot long, n_sequences long, stride long, sha256 string, payload binary, doc_ids array<long>, seq_nos array<long>"
+    return shard_records(spark.read.schema(kinds).parquet(path))
