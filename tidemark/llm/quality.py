@@ -1,472 +1,476 @@
-"""Quality classifier: perplexity under an interpolated modified Kneser-Ney word n-gram model of trusted text.
-
-The model is over words (runs of letters and digits, and of signs, in lower case), of order WORD_ORDER, one for each language with
-trusted text and, where a document needs it, one for all trusted text together, which serves the other languages. All n-grams of
-trusted texts are counted in shards, pre-aggregated where they are read, and joins of the shards (n-grams with continuation counts,
-contexts and discounts) give every probability. Nothing of this is broadcast: it grows with the trusted text. Below the single words
-stands their spelling, under a model of characters folded into 32 classes, of order 4, of all trusted text: a table of 4 MB.
-
-A model is a table of (n-gram, value): log2 of what a seen n-gram gains over the shorter one's estimate, or of what its context
-leaves to that. An unseen n-gram gains nothing, so a document's score is a sum over the join of its distinct n-grams with that table.
+"""Quality classifier: perplexity under an interpolated modified Kneser-Ney n-gram model of trusted text.
+
+The model is over characters as they are, of order ORDER, one for each language with trusted text and, where a document needs it, one
+for all trusted text together, which serves the other languages. What it counts grows with the trusted text and is nowhere held whole:
+the n-grams of each order are dealt to shards by the hash of their context, and a shard's row holds them packed, with their counts.
+
+1. Texts are stored once, in blocks of one language and fold of about BLOCK characters, as a table that is bucketed by block. A block
+   is a row, so nothing is shuffled for that, and what is found for a block joins it without moving it again.
+2. Labels meet the blocks' ids, and the places of trusted texts the blocks. Each block's n-grams of the highest order are counted,
+   and the counts of a shard are joined and summed where the shard is. The n-grams of a shard give the continuation counts of their
+   suffixes, which go to the shards of the order below, and so on.
+3. Each block asks every shard for its own different n-grams of each order, once for all its documents: the requests are joined with
+   the shards, which answer with the discounted share of each n-gram and with what its context leaves to the shorter one.
+4. The answers of a block are joined with its texts, and interpolated from the shortest order up, which gives every document's
+   perplexity (per character).
 
 No document is scored by a model that has read it: documents are dealt into two folds by id, and the trusted text of one fold makes
-the models of the other. So what is trusted has no advantage, and its quantile holds for all documents. A document's perplexity (per
-word) is held against the QUANTILE of its language's trusted documents, times MARGIN. The quantiles are exact to a thousandth of a
+the models of the other. So what is trusted has no advantage, and its quantile holds for all documents. A document's perplexity is
+held against the QUANTILE of its language's trusted documents, times MARGIN. The quantiles are exact to a thousandth of a
 nat: perplexities are counted in bins of that width.
 
 Nulls: a null language goes with the model of all text; a null id is scored but never trusted. Null and empty texts have no
 perplexity and are rejected. Labels may repeat: a document is trusted if all its labels are good and none is toxic. Without any
-trusted text nothing is known, and every document that has text is kept; without any in the other fold, spelling alone decides.
-Repeated rows each give a row; other columns are neither read nor kept. Words and n-grams are hashed to 64 bits.
+trusted text in the other fold nothing is known, and every document that has text is kept. Repeated rows each give a row; an empty
+table gives an empty result; other columns are neither read nor kept by classify and kept as they are by filter_documents. A very
+long text is a block of its own. Within a shard n-grams are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
-import unicodedata
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded, materialise, release
-from tidemark.llm.neardup import _ODD, _room, mix, powers, prefix_hash
+from tidemark.llm.common import bounded, materialise, release, shared_dir
+from tidemark.llm.neardup import mix
 
-ORDER, CLASSES = 4, 32
-WORD_ORDER, FOLDS = 3, 2
-#: Languages with a spelling table of their own, where asked for; the quantile of trusted perplexities that is still good; room above it.
-MODELS, QUANTILE, MARGIN = 24, 0.995, 1.1
-#: Symbols that are counted or scored at once, and texts that are looked at together.
-BLOCK, ROWS = 1 << 20, 256
+ORDER, FOLDS = 4, 2
+#: Shards of each order's n-grams.
+SHARDS = {1: 1, 2: 4, 3: 16, 4: 64, 5: 256}
+#: The quantile of trusted perplexities that is still good; room above it.
+QUANTILE, MARGIN = 0.995, 1.1
+#: Characters that a task packs into blocks at once; n-grams that are merged at once.
+BLOCK, MERGED = 24 << 20, 1 << 20
 POOLED = ""
 #: Least discount: whatever the counts, something is left for unseen symbols.
 LEAST = 0.1
 _BIN = 0.001
+#: Symbols before and after a text, beyond all characters.
+START, END = 0x110000, 0x110001
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    each = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
+    return each.filter("q >= 1 and t < 1").select("doc_id")
+
+
+def model_key(lang: str | None, fold: int) -> int:
+    """The number of a language's model for the documents of a fold."""
+    return int.from_bytes(hashlib.blake2b(f"{fold}{lang or POOLED}".encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def _classes() -> np.ndarray:
-    """Class of each code point below U+0250; those above count as letters by their number."""
-    out = np.full(0x250, 31, np.uint8)
-    for cp in range(0x250):
-        c = unicodedata.normalize("NFD", chr(cp))[0]
-        if chr(cp).isupper():
-            out[cp] = 0
-        elif "a" <= c <= "z":
-            out[cp] = ord(c) - 96
-        elif chr(cp).isalpha():
-            out[cp] = 1 + cp % 26
-        elif c in " \t":
-            out[cp] = 27
-        elif c in "\n\r":
-            out[cp] = 28
-        elif c.isdigit():
-            out[cp] = 29
-        elif c in ".,":
-            out[cp] = 30
+def fold_of() -> Column:
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FOLDS)).cast("int")
+
+
+def document_key() -> Column:
+    """What names a document: rows that are equal in it score alike."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
+
+
+# -- n-grams ---------------------------------------------------------------------------------------------------------------
+
+
+def symbols_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of all texts, each with ORDER - 1 starts before and an end after it, and where each text's symbols begin (one more)."""
+    size = np.array([len(t) for t in texts], np.int64) + ORDER
+    at = np.concatenate([[0], np.cumsum(size)])
+    out = np.full(int(at[-1]), START, np.uint32)
+    own = np.ones(len(out), bool)
+    own[at[1:] - 1] = False
+    for k in range(ORDER - 1):
+        own[at[:-1] + k] = False
+    out[own] = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), "<u4")
+    out[at[1:] - 1] = END
+    return out, at
+
+
+def different(symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different n-grams of the highest order that end at given places: as rows of symbols in order, their counts, and which one
+    each place has."""
+    seen = np.flatnonzero(np.bincount(symbols, minlength=1))
+    width = max(1, int(len(seen) - 1).bit_length())
+    if width * ORDER > 64:  # so many kinds of characters that n-grams fit no number
+        rows = np.stack([symbols[ends - k] for k in range(ORDER - 1, -1, -1)], 1)
+        grams, which, counts = np.unique(rows, axis=0, return_inverse=True, return_counts=True)
+        return grams, counts, which.ravel()
+    place = np.zeros(int(seen[-1]) + 1, np.uint64)
+    place[seen] = np.arange(len(seen), dtype=np.uint64)
+    code = place[symbols]
+    key = np.zeros(len(ends), np.uint64)
+    for k in range(ORDER - 1, -1, -1):
+        key = key << np.uint64(width) | code[ends - k]
+    found, which, counts = np.unique(key, return_inverse=True, return_counts=True)
+    mask = np.uint64((1 << width) - 1)
+    grams = np.stack([seen[(found >> np.uint64(width * k) & mask).astype(np.int64)] for k in range(ORDER - 1, -1, -1)], 1).astype(np.uint32)
+    return grams, counts, which
+
+
+def marks(grams: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of symbols."""
+    out = np.full(len(grams), grams.shape[1], np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(grams.shape[1]):
+            out = mix(out * _STEP + grams[:, k].astype(np.uint64) + np.uint64(1))
     return out
 
 
-_LOW = _classes()
+def shard_of(grams: np.ndarray) -> np.ndarray:
+    """The shard of each n-gram: by its context, so that an n-gram and all of its context are together."""
+    return (marks(grams[:, :-1]) % np.uint64(SHARDS[grams.shape[1]])).astype(np.int32)
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The n-gram that ends at each character of all texts, and where each text's n-grams start and end; line ends stand before a text."""
-    pad = "\n" * (ORDER - 1)
-    points = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le", "replace"), "<u4")
-    code = np.where(points < 0x250, _LOW[np.minimum(points, 0x24F)], (1 + points % 26).astype(np.uint8)).astype(np.uint32)
-    n = np.array([len(t) for t in texts], np.int64)
-    ends = np.cumsum(n + ORDER - 1)
-    gram = code[ORDER - 1 :].copy()
-    for k in range(1, ORDER):
-        gram += code[ORDER - 1 - k : len(code) - k] << np.uint32(5 * k)
-    return gram, ends - n - (ORDER - 1), ends - (ORDER - 1)  # gram[p] ends at character p + ORDER - 1
+def merge(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal rows as one, with the sum of their counts, in the order of their hashes."""
+    _, one, which = np.unique(marks(grams), return_index=True, return_inverse=True)
+    total = np.zeros(len(one), np.int64)
+    np.add.at(total, which, counts)
+    return grams[one], total
 
 
-def trusted_ids(labels: DataFrame) -> DataFrame:
-    each = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
-    return each.filter("q >= 1 and t < 1").select("doc_id")
+def pack(numbers: np.ndarray) -> bytes:
+    """32-bit numbers by planes of bytes, column by column, compressed."""
+    flat = np.ascontiguousarray(numbers.T).astype("<u4").view(np.uint8).reshape(-1, 4)
+    return zlib.compress(np.ascontiguousarray(flat.T).tobytes(), 1)
 
 
-def trusted_texts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """doc_id, lang, data (packed) of all trusted text."""
+def unpack(data: bytes, columns: int) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(columns, -1).T
 
-    def pack(batches):
-        for batch in (x.slice(a, ROWS) for x in batches for a in range(0, len(x), ROWS)):
-            packed = [zlib.compress((t or "").encode("utf-8", "replace"), 1) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc_id", "lang", "data"])
 
-    rows = bounded(docs).filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit(POOLED)).alias("lang"), "text")
-    # the same join at every size: labels grow with the documents
-    return rows.mapInArrow(pack, "doc_id long, lang string, data binary").join(trusted.hint("merge"), "doc_id", "left_semi")
+def by_shard(grams: np.ndarray):
+    """(shard, places of its n-grams) for the shards that have any."""
+    shard = shard_of(grams)
+    order = np.argsort(shard, kind="stable")
+    cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
+    yield from ((int(shard[part[0]]), part) for part in np.split(order, cuts[1:])) if len(order) else ()
+
 
+# -- blocks ----------------------------------------------------------------------------------------------------------------
 
-def count_grams(texts: DataFrame) -> DataFrame:
-    """lang, gram, n over all trusted text."""
 
-    def count(batches):
-        held: dict[str, list[str]] = {}
+def stored_blocks(docs: DataFrame) -> DataFrame:
+    """All documents as blocks: block, lang, fold, ids, docs (keys), packed (their texts), bucketed by block."""
+    spark = docs.sparkSession
+    kinds = [pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+    names = ["block", "lang", "fold", "ids", "docs", "packed"]
+
+    def run(batches):
+        held: dict[tuple, list] = {}
         size = 0
+
+        def made():
+            for (lang, fold), rows in held.items():
+                texts = [r[2] for r in rows]
+                upto = np.array([len(t) for t in texts], "<i8").tobytes()
+                row = (uuid.uuid4().int >> 65, lang, fold, [r[0] for r in rows], [r[1] for r in rows], zlib.compress(upto + "".join(texts).encode("utf-8", "replace"), 6))
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
+
         for batch in batches:
-            for lang, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text = zlib.decompress(data).decode()
-                held.setdefault(lang, []).append(text)
+            for doc_id, lang, text, doc, fold in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault((lang, fold), []).append((doc_id, doc, text))
                 size += len(text)
-                if size > BLOCK:
-                    yield from summed(held)
+                if size >= BLOCK:
+                    yield from made()
                     held, size = {}, 0
-        yield from summed(held)
+        yield from made()
         release()
 
-    def summed(held):
-        for lang, texts in held.items():
-            gram, starts, ends = grams(texts)
-            found, n = np.unique(np.concatenate([gram[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.astype(np.int32)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), document_key().alias("doc"), fold_of().alias("fold"))
+    blocks = rows.mapInArrow(run, "block long, lang string, fold int, ids array<long>, docs array<long>, packed binary")
+    name = f"tidemark_blocks_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks.write.bucketBy(buckets, "block").option("path", f"{shared_dir(spark).rstrip('/')}/{name}").option("compression", "none").saveAsTable(name)
+    return spark.table(name)
 
-    return texts.select("lang", "data").mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
+def texts_of(packed: bytes, n: int) -> list[str]:
+    data = zlib.decompress(packed)
+    whole, upto = data[8 * n :].decode(), np.cumsum(np.frombuffer(data, "<i8", n)).tolist()
+    return [whole[a:b] for a, b in zip([0, *upto[:-1]], upto, strict=True)]
 
-def kneser_ney(counts: DataFrame) -> DataFrame:
-    """(lang, gram, n) of the highest order -> lang, order, gram, p, gamma for the seen n-grams of all orders.
 
-    p is an n-gram's discounted share, gamma what its context leaves to the shorter context. Lower orders count the different
-    symbols before an n-gram. The n-gram shards are joined with their contexts' totals, and those with the three discounts of
-    their order.
-    """
-    size = F.pow(F.lit(CLASSES), "order").cast("int")
-    each = counts.select("lang", "gram", "n", F.explode(F.sequence(F.lit(1), F.lit(ORDER))).alias("order"))
-    each = each.select("lang", "order", (F.col("gram") % size).alias("gram"), F.when(F.col("order") < ORDER, F.col("gram") % (size * CLASSES)).otherwise(0).alias("longer"), "n")
-    table = each.groupBy("lang", "order", "gram", "longer").agg(F.sum("n").alias("n")).groupBy("lang", "order", "gram")
-    table = table.agg(F.when(F.col("order") < ORDER, F.count(F.lit(1))).otherwise(F.sum("n")).alias("n")).withColumn("context", F.floor(F.col("gram") / CLASSES).cast("int"))
-    of = table.groupBy("lang", "order").agg(*(F.sum(F.when(F.col("n") == k, 1).otherwise(0)).alias(f"n{k}") for k in (1, 2, 3, 4)))
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+def trusted_places(blocks: DataFrame, trusted: DataFrame) -> DataFrame:
+    """block, places of its trusted documents."""
+    each = blocks.select("block", F.posexplode("ids").alias("place", "doc_id")).filter("doc_id is not null")
+    # the same join at every size: labels grow with the documents
+    return each.join(trusted.hint("merge"), "doc_id").groupBy("block").agg(F.collect_list("place").alias("places"))  # within one block
 
-    def discount(k: int):
-        raw = k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")
-        return F.when((F.col("n1") > 0) & (F.col(f"n{k}") > 0), F.least(F.greatest(raw, F.lit(LEAST)), F.lit(float(k)))).otherwise(k / 2.0).alias(f"d{k}")
 
-    of = of.select("lang", "order", *(discount(k) for k in (1, 2, 3)))
-    kinds = [F.sum(F.when((F.col("n") == k) if k < 3 else (F.col("n") >= 3), 1).otherwise(0)).alias(f"c{k}") for k in (1, 2, 3)]
-    group = table.groupBy("lang", "order", "context").agg(F.sum("n").alias("total"), *kinds).join(of, ["lang", "order"])
-    part = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    gamma = (F.col("d1") * F.col("c1") + F.col("d2") * F.col("c2") + F.col("d3") * F.col("c3")) / F.col("total")
-    p = F.greatest(F.col("n") - part, F.lit(0.0)) / F.col("total")
-    return table.join(group, ["lang", "order", "context"]).select("lang", "order", "gram", p.alias("p"), gamma.alias("gamma"))
-
-
-def model(docs: DataFrame, trusted: DataFrame) -> dict[str, np.ndarray]:
-    return spelling(trusted_texts(docs, trusted), MODELS)
-
-
-def spelling(texts: DataFrame, languages: int = 0) -> dict[str, np.ndarray]:
-    """Bits of every n-gram by language, as float32 tables of 32 ** 4; the pooled model is under POOLED. Empty without trusted text."""
-    counts = materialise(count_grams(texts), "grams")
-    sizes = counts.filter(F.col("lang") != POOLED).groupBy("lang").agg(F.sum("n").alias("n"))
-    own = [r["lang"] for r in sizes.orderBy(F.desc("n"), "lang").limit(languages).collect()] if languages else []
-    pooled = counts.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "gram", "n")
-    shards = kneser_ney(counts.filter(F.col("lang").isin(own)).unionByName(pooled))
-    # at most (languages + 1) x (32 + 32 ** 2 + 32 ** 3 + 32 ** 4) rows, whatever the corpus
-    rows = shards.toArrow()
-    langs, order, gram, p, gamma = (rows.column(c).combine_chunks() for c in rows.column_names)
-    order, gram, p, gamma = (c.to_numpy(zero_copy_only=False) for c in (order, gram, p, gamma))
-    out: dict[str, np.ndarray] = {}
-    for lang in [*own, POOLED] if len(rows) else []:
-        mine = pc.equal(langs, lang).to_numpy(zero_copy_only=False)
-        below = np.full(1, 1.0 / CLASSES)
-        for k in range(1, ORDER + 1):
-            here = mine & (order == k)
-            weight = np.ones(CLASSES ** (k - 1))
-            weight[gram[here] // CLASSES] = gamma[here]
-            table = np.zeros(CLASSES**k)
-            table[gram[here]] = p[here]
-            table += np.repeat(weight, CLASSES) * (below[0] if k == 1 else np.tile(below, CLASSES))
-            below = table
-        out[lang] = -np.log2(np.maximum(below, 1e-12)).astype(np.float32)
-    return out
+# -- model -----------------------------------------------------------------------------------------------------------------
 
+TABLE = "m long, shard int, grams binary, counts binary"
+_NAMES = ["m", "shard", "grams", "counts"]
+_KINDS = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
 
-def model_key(lang: str | None, fold: int) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{fold}{lang or POOLED}".encode("utf-8", "replace"), digest_size=8).digest(), "little")
 
+def packed_rows(m: int, grams: np.ndarray, counts: np.ndarray):
+    """Rows of TABLE: n-grams and counts of a model, by shard."""
+    rows = []
+    for shard, part in by_shard(grams):
+        part = part[np.lexsort(grams[part].T[::-1])]
+        rows.append((m, shard, pack(grams[part]), pack(np.minimum(counts[part], 0xFFFFFFFF)[:, None])))
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(_KINDS)], names=_NAMES)
 
-def fold_of() -> Column:
-    return F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FOLDS)).cast("int")
 
+def summed(parts: DataFrame, order: int) -> DataFrame:
+    """Rows of TABLE as one row for each model and shard: what different tasks counted meets where the shard is."""
 
-def document_key() -> Column:
-    """What names a document: rows that are equal in it score alike."""
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
+    def run(batches):
+        at, grams, counts, size = None, [], [], 0
 
+        def joined():
+            nonlocal grams, counts, size
+            g, n = merge(np.concatenate(grams), np.concatenate(counts))
+            grams, counts, size = [g], [n], 0
 
-#: Kind of each code point below 256: none (between words), a sign, or part of a word; those above are of words, but for a few spaces.
-_KIND = np.array([0 if chr(k).isspace() else 2 if k >= 128 or chr(k).isalnum() else 1 for k in range(256)], np.uint8)
-_SPACES = np.array([k for k in range(256, 0x3001) if chr(k).isspace()], np.uint32)
-#: Bits of the end of a text below the model, which has no spelling; stand-ins for what stands before a text and after it.
-END_BITS, _START, _END = 5.0, 1, 2
+        for batch in batches:
+            for m, shard, g, n in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
+                if at is not None and at != (m, shard):
+                    joined()
+                    yield from packed_rows(at[0], grams[0], counts[0])
+                    grams, counts = [], []
+                at = m, shard
+                grams.append(unpack(g, order))
+                counts.append(unpack(n, 1)[:, 0].astype(np.int64))
+                size += len(counts[-1])
+                if size > MERGED:
+                    joined()
+        if at is not None:
+            joined()
+            yield from packed_rows(at[0], grams[0], counts[0])
+        release()
 
+    return parts.repartition("m", "shard").sortWithinPartitions("m", "shard").mapInArrow(run, TABLE)
 
-def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of all texts, first and last places of their words, the words' hashes, and how many words each text has."""
-    points = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "replace"), "<u4")
-    kind = np.where(points < 256, _KIND[np.minimum(points, 255)], np.uint8(2))
-    kind[np.isin(points, _SPACES)] = 0
-    before = np.concatenate([np.zeros(1, np.uint8), kind[:-1]])
-    first = np.flatnonzero((kind > 0) & (kind != before))
-    last = np.flatnonzero((before > 0) & (kind != before))
-    ends = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))
-    with np.errstate(over="ignore"):
-        p = prefix_hash(points)
-        h = mix((p[last] - p[first]) * powers(_room(len(points)))[1][first] + (last - first).astype(np.uint64) * np.uint64(_ODD[0]))
-    return points, first, last, h, np.diff(np.searchsorted(first, ends), prepend=0)
-
-
-def spelled(points: np.ndarray, first: np.ndarray, last: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Bits of each word's characters and of the space after it; three spaces stand before it."""
-    if not len(first):
-        return np.zeros(0)
-    n = last - first
-    code = np.where(points < 0x250, _LOW[np.minimum(points, 0x24F)], (1 + points % 26).astype(np.uint8))
-    starts = np.cumsum(n + 3) - n
-    held = np.full(int(starts[-1] + n[-1]) + 1, 27, np.uint32)
-    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    held[np.repeat(starts, n) + step] = code[np.repeat(first, n) + step]
-    gram = held.copy()
-    for k in range(1, ORDER):
-        gram[k:] += held[:-k] << np.uint32(5 * k)
-    each = np.append(bits[gram], np.float32(0)).astype(np.float64)
-    return np.add.reduceat(each, np.stack([starts, starts + n + 1], 1).ravel())[::2]
-
-
-def sequences(h: np.ndarray, n: np.ndarray, models: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of each text within its model, with WORD_ORDER - 1 starts before and an end after; the text of each; and which are words."""
-    room = n + WORD_ORDER
-    at = np.cumsum(room) - room
-    text = np.repeat(np.arange(len(n)), room)
-    out = np.full(int(room.sum()), _START, np.uint64)
-    out[at + room - 1] = _END
-    word = np.ones(len(out), bool)
-    word[at + room - 1] = False
-    for k in range(WORD_ORDER - 1):
-        word[at + k] = False
-    out[word] = h
-    with np.errstate(over="ignore"):
-        return mix(out + models[text] * np.uint64(_ODD[1])), text, word
 
+def counted(blocks: DataFrame, places: DataFrame, pooled: bool) -> DataFrame:
+    """The n-grams of the highest order of all trusted text, as rows of TABLE for every block."""
 
-def gram_keys(words: list[np.ndarray]) -> np.ndarray:
-    """Keys of n-grams, given as columns of words."""
-    with np.errstate(over="ignore"):
-        out = np.full(len(words[0]), len(words), np.uint64)
-        for w in words:
-            out = mix(out * np.uint64(_ODD[2]) + w)
-    return out
+    def run(batches):
+        for batch in batches:
+            for lang, fold, ids, packed, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                texts = texts_of(packed, len(ids))
+                some = [texts[k] for k in places if texts[k]]
+                if not some:
+                    continue
+                symbols, at = symbols_of(some)
+                grams, counts, _ = different(symbols, np.flatnonzero(symbols != START))
+                for other in range(FOLDS):  # a text makes the models of the other folds
+                    for name in {lang or POOLED, POOLED if pooled else lang or POOLED} if other != fold else ():
+                        yield from packed_rows(model_key(name, other), grams, counts)
+        release()
 
+    return blocks.join(places.hint("merge"), "block").select("lang", "fold", "ids", "packed", "places").mapInArrow(run, TABLE)
 
-def blocks(texts: list[str]):
-    """Row ranges whose texts stay near BLOCK characters; a longer text stands alone."""
-    a = 0
-    while a < len(texts):
-        b, size = a, 0
-        while b < len(texts) and (b == a or size + len(texts[b]) <= BLOCK):
-            size += len(texts[b])
-            b += 1
-        yield a, b
-        a = b
 
+def continued(table: DataFrame, order: int) -> DataFrame:
+    """Of a table of an order, the suffixes with the number of different symbols before them, as rows of TABLE of the order below."""
 
-WORD_COLUMNS = [f"w{k}" for k in range(WORD_ORDER)]
+    def run(batches):
+        for batch in batches:
+            for m, _, grams, _ in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
+                suffix = unpack(grams, order)[:, 1:]
+                yield from packed_rows(m, *merge(suffix, np.ones(len(suffix), np.int64)))
+        release()
 
+    return table.select("m", "shard", "grams", "counts").mapInArrow(run, TABLE)
 
-def word_counts(texts: DataFrame, table: np.ndarray, pooled: bool) -> DataFrame:
-    """m (model), the words of an n-gram of the highest order, bits (the last one's spelling), n: over all trusted text."""
-    held = texts.sparkSession.sparkContext.broadcast(table)  # 4 MB
 
-    def run(batches):
-        for batch in (x.slice(a, ROWS) for x in batches for a in range(0, len(x), ROWS)):
-            langs, folds = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            whole = [zlib.decompress(d).decode().lower() for d in batch.column(2).to_pylist()]
-            for a, b in blocks(whole):
-                some = [k for k in range(a, b) if whole[k]]
-                if not some:
-                    continue
-                points, first, last, h, n = words_of([whole[k] for k in some])
-                own_bits = spelled(points, first, last, held.value)
-                for own in (True, False) if pooled else (True,):
-                    # a text makes the models of the other folds
-                    for shift in range(1, FOLDS):
-                        models = np.array([model_key(langs[k] if own else POOLED, (folds[k] + shift) % FOLDS) for k in some], np.uint64)
-                        keep = np.array([not own or bool(langs[k]) for k in some])  # without a language only in the pooled model
-                        yield counted(h, n, models, own_bits, keep)
-        release()
+def count_tables(blocks: DataFrame, places: DataFrame, pooled: bool) -> dict[int, DataFrame]:
+    """TABLE of every order: counts at the highest, continuation counts below."""
+    out = {ORDER: materialise(summed(counted(blocks, places, pooled), ORDER), f"grams{ORDER}")}
+    for order in range(ORDER - 1, 0, -1):
+        out[order] = materialise(summed(continued(out[order + 1], order + 1), order), f"grams{order}")
+    return out
+
+
+def discounts(tables: dict[int, DataFrame]) -> DataFrame:
+    """m, ord, d1, d2, d3 (the discounts of n-grams that were counted once, twice, more often) and kinds (how many there are)."""
 
-    def counted(h, n, models, own_bits, keep):
-        seq, text, word = sequences(h, n, models)
-        bits = np.full(len(seq), END_BITS)
-        bits[word] = own_bits
-        r = WORD_ORDER - 1
-        same = np.flatnonzero((text[r:] == text[:-r]) & keep[text[r:]])
-        words = [seq[same + k] for k in range(WORD_ORDER)]
-        _, at, count = np.unique(gram_keys(words), return_index=True, return_counts=True)
-        cols = [models[text[same + r]][at].view(np.int64), *(w[at].view(np.int64) for w in words), bits[same + r][at], count.astype(np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["m", *WORD_COLUMNS, "bits", "n"])
-
-    rows = texts.select("lang", fold_of().alias("fold"), "data")
-    schema = ", ".join(["m long", *(f"{c} long" for c in WORD_COLUMNS), "bits double", "n long"])
-    return rows.mapInArrow(run, schema).groupBy("m", *WORD_COLUMNS).agg(F.max("bits").alias("bits"), F.sum("n").alias("n"))
-
-
-def discounted(table: DataFrame, context: list[str]) -> DataFrame:
-    """table (m, words, bits, n) with p, its n-grams' discounted shares, and gamma, what their contexts leave to shorter ones."""
-    of = table.groupBy("m").agg(*(F.sum(F.when(F.col("n") == k, 1).otherwise(0)).alias(f"n{k}") for k in (1, 2, 3, 4)))
+    def run(batches):
+        for batch in batches:
+            rows = [(m, np.bincount(np.minimum(unpack(n, 1)[:, 0], 5), minlength=6)[1:].tolist()) for m, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[1][k] for r in rows], pa.int64()) for k in range(5))], names=["m", "n1", "n2", "n3", "n4", "n5"])
+
+    parts = None
+    for order, table in tables.items():
+        part = table.select("m", "counts").mapInArrow(run, "m long, n1 long, n2 long, n3 long, n4 long, n5 long").withColumn("ord", F.lit(order))
+        parts = part if parts is None else parts.unionByName(part)
+    of = parts.groupBy("m", "ord").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(1, 6)))
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
 
     def discount(k: int):
         raw = k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")
         return F.when((F.col("n1") > 0) & (F.col(f"n{k}") > 0), F.least(F.greatest(raw, F.lit(LEAST)), F.lit(float(k)))).otherwise(k / 2.0).alias(f"d{k}")
 
-    of = F.broadcast(of.select("m", *(discount(k) for k in (1, 2, 3))))  # a row a language and fold
-    kinds = [F.sum(F.when((F.col("n") == k) if k < 3 else (F.col("n") >= 3), 1).otherwise(0)).alias(f"c{k}") for k in (1, 2, 3)]
-    group = table.groupBy("m", *context).agg(F.sum("n").alias("total"), *kinds).join(of, "m")
-    gamma = (F.col("d1") * F.col("c1") + F.col("d2") * F.col("c2") + F.col("d3") * F.col("c3")) / F.col("total")
-    group = group.select("m", *context, "total", "d1", "d2", "d3", gamma.alias("gamma"))
-    part = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    # without a context it is a row a language and fold
-    joined = table.join(group.hint("merge") if context else F.broadcast(group), ["m", *context])
-    return joined.withColumn("p", F.greatest(F.col("n") - part, F.lit(0.0)) / F.col("total")).drop("d1", "d2", "d3", "total")
-
-
-def word_model(counts: DataFrame) -> tuple[DataFrame, dict[int, float]]:
-    """key, value (bits gained) of all models' n-grams and contexts; and by model the bits that an unseen word costs besides its spelling."""
-    tables = [counts]
-    for k in range(1, WORD_ORDER):
-        tables.append(materialise(tables[-1].groupBy("m", *WORD_COLUMNS[k:]).agg(F.max("bits").alias("bits"), F.count(F.lit(1)).alias("n")), "continued"))
-    below, out, floor = None, None, {}
-    for k in range(WORD_ORDER - 1, -1, -1):
-        words = WORD_COLUMNS[k:]
-        each = discounted(tables[k], words[:-1])
-        if below is None:
-            base = F.pow(F.lit(2.0), -F.least("bits", F.lit(1000.0)))
-        else:
-            each, base = each.join(below.hint("merge"), ["m", *words[1:]]), F.col("below")
-        each = each.withColumn("base", base).withColumn("whole", F.col("p") + F.col("gamma") * F.col("base"))
-        each = materialise(each.select("m", *words, "gamma", "whole", (F.log2("whole") - F.log2("gamma") - F.log2("base")).alias("value")), "order")
-        found = keyed(each.select(*words, "value"), len(words))
-        if k == WORD_ORDER - 1:
-            floor = {r["m"]: -float(np.log2(r["gamma"])) for r in each.groupBy("m").agg(F.first("gamma").alias("gamma")).collect()}  # a number a language and fold
-        else:
-            left = each.groupBy("m", *words[:-1]).agg(F.first(F.log2("gamma")).alias("value")).select(*words[:-1], "value")
-            found = found.unionByName(keyed(left, len(words) - 1))
-        out = found if out is None else out.unionByName(found)
-        below = each.select("m", *words, F.col("whole").alias("below"))
-    return out, floor
-
-
-def keyed(rows: DataFrame, n: int) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            key = gram_keys([batch.column(k).to_numpy().view(np.uint64) for k in range(n)]) if len(batch) else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(n)], names=["key", "value"])
+    return of.select("m", "ord", *(discount(k) for k in (1, 2, 3)), sum(F.col(f"n{k}") for k in range(1, 6)).alias("kinds"))
+
 
-    return rows.mapInArrow(run, "key long, value double")
+class Shard:
+    """One model's n-grams of a shard: each one's discounted share, and what each context leaves."""
 
+    def __init__(self, order: int, grams: np.ndarray, counts: np.ndarray, discount: tuple[float, float, float], kinds: int):
+        _, first, context = np.unique(marks(grams[:, :-1]), return_index=True, return_inverse=True)
+        d = np.array([0.0, *discount])
+        total = np.zeros(len(first))
+        np.add.at(total, context, counts.astype(np.float64))
+        left = np.zeros(len(first))
+        np.add.at(left, context, d[np.minimum(counts, 3)])
+        share = np.maximum(counts - d[np.minimum(counts, 3)], 0.0) / total[context]
+        left /= total
+        if order == 1:  # what is left is shared by all characters that there are, and one that isn't known
+            left /= kinds + 1
+        self.gram, self.share = self._sorted(marks(grams), share)
+        self.context, self.left = self._sorted(marks(grams[first, :-1]), left)
 
-def _scored(docs: DataFrame) -> DataFrame:
-    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), document_key().alias("doc"), fold_of().alias("fold"))
+    @staticmethod
+    def _sorted(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(key)
+        return key[order], value[order].astype(np.float32)
 
+    @staticmethod
+    def _found(key: np.ndarray, value: np.ndarray, asked: np.ndarray, other: float) -> np.ndarray:
+        at = np.minimum(np.searchsorted(key, asked), len(key) - 1)
+        return np.where(key[at] == asked, value[at], np.float32(other))
 
-def own_model(lang: str | None, fold: int, floor: dict[int, float]) -> tuple[str, int]:
-    """Name and key of the model that scores a document."""
-    key = np.uint64(model_key(lang, fold)).astype(np.int64).item()
-    if lang and key in floor:
-        return lang, key
-    return POOLED, np.uint64(model_key(POOLED, fold)).astype(np.int64).item()
+    def answer(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Share of each n-gram (0 if unseen), and what its context leaves (1 if unseen)."""
+        return self._found(self.gram, self.share, marks(grams), 0.0), self._found(self.context, self.left, marks(grams[:, :-1]), 1.0)
 
 
-def document_grams(docs: DataFrame, floor: dict[int, float]) -> DataFrame:
-    """doc, key, n: the distinct n-grams of all orders of each document, within its model."""
+def requests(blocks: DataFrame, known: dict[str, int], pooled: dict[int, int]) -> DataFrame:
+    """m, ord, shard, block, grams: the different n-grams of each block, by shard; blocks whose language has no model ask the pooled one."""
 
     def run(batches):
-        for batch in (x.slice(a, ROWS) for x in batches for a in range(0, len(x), ROWS)):
-            langs, folds, texts = batch.column(1).to_pylist(), batch.column(4).to_pylist(), [t.lower() for t in batch.column(2).to_pylist()]
-            doc = batch.column(3).to_numpy()
-            for a, b in blocks(texts):
-                some = [k for k in range(a, b) if texts[k]]
-                if not some:
+        for batch in batches:
+            for block, lang, fold, ids, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                m = known.get((lang, fold), pooled.get(fold))
+                some = [t for t in texts_of(packed, len(ids)) if t]
+                if m is None or not some:
                     continue
-                _, _, _, h, n = words_of([texts[k] for k in some])
-                models = np.array([own_model(langs[k], folds[k], floor)[1] for k in some], np.int64).view(np.uint64)
-                seq, text, _ = sequences(h, n, models)
-                keys, of = [], []
-                for size in range(1, WORD_ORDER + 1):
-                    # the shorter ones as they end at a word, at the end, or at the last start
-                    begin = np.flatnonzero(text[: len(text) - size + 1] == text[size - 1 :])
-                    if size < WORD_ORDER - 1:
-                        lead = np.cumsum(n + WORD_ORDER) - (n + WORD_ORDER)
-                        begin = begin[begin - lead[text[begin]] >= WORD_ORDER - 1 - size]
-                    keys.append(gram_keys([seq[begin + k] for k in range(size)]))
-                    of.append(text[begin])
-                key, of = np.concatenate(keys), np.concatenate(of)
-                order = np.lexsort((key, of))
-                key, of = key[order], of[order]
-                new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])]))
-                count = np.diff(np.append(new, len(key)))
-                yield pa.RecordBatch.from_arrays([pa.array(doc[some][of[new]]), pa.array(key[new].view(np.int64)), pa.array(count.astype(np.int32))], names=["doc", "key", "n"])
+                rows = []
+                for grams in orders(symbols_of(some)[0])[0]:
+                    rows += [(m, grams.shape[1], shard, block, pack(grams[part])) for shard, part in by_shard(grams)]
+                cols = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(cols)], names=["m", "ord", "shard", "block", "grams"])
         release()
 
-    return _scored(docs).mapInArrow(run, "doc long, key long, n int")
-
-
-def unseen_bits(docs: DataFrame, table: np.ndarray | None, floor: dict[int, float]) -> DataFrame:
-    """doc_id, lang, model, n_symbols, doc, n_words, bits: each row as if none of its n-grams were known. No bits without a table."""
-    held = docs.sparkSession.sparkContext.broadcast(table)
+    return blocks.select("block", "lang", "fold", "ids", "packed").mapInArrow(run, "m long, ord int, shard int, block long, grams binary")
+
+
+def orders(symbols: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
+    """The different n-grams of all orders from the highest down, each order's places of suffixes in the next, the places in the text
+    where n-grams end, and which one of the highest order each has."""
+    ends = np.flatnonzero(symbols != START)
+    grams, _, which = different(symbols, ends)
+    out, suffixes = [grams], []
+    for _ in range(ORDER - 1):
+        rows = out[-1][:, 1:]
+        _, first, place = np.unique(marks(rows), return_index=True, return_inverse=True)
+        inverse = np.lexsort(rows[first].T[::-1])  # in the order of their symbols, so that they pack well
+        rank = np.empty(len(first), np.int64)
+        rank[inverse] = np.arange(len(first))
+        out.append(rows[first[inverse]])
+        suffixes.append(rank[place])
+    return out, suffixes, ends, which
+
+
+def answers(asked: DataFrame, tables: dict[int, DataFrame], of: DataFrame) -> DataFrame:
+    """block, ord, shard, share, left: the requests joined with the model's shards."""
+    model = None
+    for order, table in tables.items():
+        part = table.withColumn("ord", F.lit(order))
+        model = part if model is None else model.unionByName(part)
+    # a row a model and shard; a row a model and order
+    model = model.join(of.hint("merge"), ["m", "ord"]).select("m", "ord", "shard", F.lit(None).cast("long").alias("block"), "grams", "counts", "d1", "d2", "d3", "kinds")
+    empty = {"counts": "binary", "d1": "double", "d2": "double", "d3": "double", "kinds": "long"}
+    both = model.unionByName(asked.select("*", *(F.lit(None).cast(t).alias(c) for c, t in empty.items())))
 
     def run(batches):
-        for batch in (x.slice(a, ROWS) for x in batches for a in range(0, len(x), ROWS)):
-            langs, folds, texts = batch.column(1).to_pylist(), batch.column(4).to_pylist(), batch.column(2).to_pylist()
-            own = [own_model(lang, fold, floor) for lang, fold in zip(langs, folds, strict=True)]
-            words, bits = np.zeros(len(texts), np.int64), np.full(len(texts), np.nan)
-            low = [t.lower() for t in texts]
-            for a, b in blocks(low):
-                points, first, last, _, n = words_of(low[a:b])
-                words[a:b] = n + 1
-                if held.value is not None:
-                    each = np.concatenate([[0.0], np.cumsum(spelled(points, first, last, held.value))])
-                    upto = np.cumsum(n)
-                    bits[a:b] = each[upto] - each[upto - n] + END_BITS + (n + 1) * np.array([floor.get(m, 0.0) for _, m in own[a:b]])
-            size = np.array([len(t) for t in texts], np.int64)
-            cols = [batch.column(0), batch.column(1), pa.array([x for x, _ in own], pa.string()), pa.array(size), batch.column(3), pa.array(words), pa.array(bits, mask=np.isnan(bits) | (size == 0))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang", "model", "n_symbols", "doc", "n_words", "bits"])
+        at, shard = None, None
+        for batch in batches:
+            rows = []
+            for m, order, s, block, grams, counts, d1, d2, d3, kinds in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block is None:
+                    at, shard = (m, order, s), Shard(order, unpack(grams, order), unpack(counts, 1)[:, 0].astype(np.int64), (d1, d2, d3), kinds)
+                    continue
+                mine = unpack(grams, order)
+                if at == (m, order, s):
+                    share, left = shard.answer(mine)
+                else:  # the model has no n-gram there
+                    share, left = np.zeros(len(mine), np.float32), np.ones(len(mine), np.float32)
+                rows.append((block, order, s, pack(share.view("<u4")[:, None]), pack(left.view("<u4")[:, None])))
+            cols = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(cols)], names=["block", "ord", "shard", "share", "left"])
         release()
 
-    return _scored(docs).mapInArrow(run, "doc_id long, lang string, model string, n_symbols long, doc long, n_words long, bits double")
+    met = both.repartition("m", "ord", "shard").sortWithinPartitions("m", "ord", "shard", F.asc_nulls_first("block"))
+    return met.mapInArrow(run, "block long, ord int, shard int, share binary, left binary")
+
+
+def bits_of(symbols: np.ndarray, given: dict[tuple[int, int], tuple[bytes, bytes]]) -> np.ndarray:
+    """Bits of every place of a block at which a symbol ends, by interpolation over the orders that the answers give; 0 for starts."""
+    grams, suffixes, ends, which = orders(symbols)
+    below = None
+    for k in range(ORDER - 1, -1, -1):
+        n = len(grams[k])
+        share, left = np.zeros(n, np.float32), np.ones(n, np.float32)
+        for shard, part in by_shard(grams[k]):
+            a, b = given[ORDER - k, shard]
+            share[part], left[part] = unpack(a, 1)[:, 0].view("<f4"), unpack(b, 1)[:, 0].view("<f4")
+        below = share.astype(np.float64) + left.astype(np.float64) * (1.0 if below is None else below[suffixes[k]])
+    out = np.zeros(len(symbols))
+    out[ends] = -np.log2(np.maximum(below, 1e-300))[which]
+    return out
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """doc_id, lang, model, n_symbols, perplexity (per word; null without text or trusted text), doc."""
-    texts = materialise(trusted_texts(docs, trusted), "texts")
-    table = spelling(texts).get(POOLED)
-    if table is None:
-        return unseen_bits(docs, None, {}).select("doc_id", "lang", "model", "n_symbols", F.col("bits").alias("perplexity"), "doc")
+    """doc_id, lang, model, n_symbols, perplexity (per character; null without text or trusted text), doc."""
+    blocks = stored_blocks(docs)
+    places = materialise(trusted_places(blocks, trusted), "places")
     # a row a language and fold
-    known = {(r["lang"], (r["fold"] + k) % FOLDS) for r in texts.select("lang", fold_of().alias("fold")).distinct().collect() for k in range(1, FOLDS)}
-    asked = {(r["lang"] or POOLED, r["fold"]) for r in docs.select(F.col("lang").cast("string").alias("lang"), fold_of().alias("fold")).distinct().collect()}
-    pooled = any(not lang or (lang, fold) not in known for lang, fold in asked)
-    values, floor = word_model(materialise(word_counts(texts, table, pooled), "counts"))
-    base = materialise(unseen_bits(docs, table, floor), "bits")
-    # the same join at every size: the model grows with the documents
-    gained = document_grams(docs, floor).join(values.hint("merge"), "key").groupBy("doc").agg(F.sum(F.col("n") * F.col("value")).alias("gain"))
-    copies = base.groupBy("doc").agg(F.count(F.lit(1)).alias("copies"))  # equal rows have all added to the gain
-    out = base.join(gained.join(copies, "doc").select("doc", (F.col("gain") / F.col("copies")).alias("gain")), "doc", "left")
-    mean = F.when(F.col("bits").isNotNull(), F.least((F.col("bits") - F.coalesce("gain", F.lit(0.0))) / F.col("n_words"), F.lit(1000.0)))
-    return out.select("doc_id", "lang", "model", "n_symbols", F.round(F.pow(F.lit(2.0), mean), 6).alias("perplexity"), "doc")
+    made = {(r["lang"], (r["fold"] + k) % FOLDS) for r in blocks.join(places, "block", "left_semi").select("lang", "fold").distinct().collect() for k in range(1, FOLDS)}
+    asked = {(r["lang"], r["fold"]) for r in blocks.select("lang", "fold").distinct().collect()}
+    known = {(lang, fold): model_key(lang, fold) for lang, fold in made if lang}
+    pooled = {fold: model_key(POOLED, fold) for _, fold in made}
+    tables = count_tables(blocks, places, any(key not in known for key in asked))
+    found = answers(requests(blocks, known, pooled), tables, discounts(tables))
+    found = found.groupBy("block").agg(F.collect_list(F.struct("ord", "shard", "share", "left")).alias("given"))  # a block's own answers
+
+    def run(batches):
+        for batch in batches:
+            for lang, fold, ids, keys, packed, given in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                texts = texts_of(packed, len(ids))
+                score = np.full(len(texts), np.nan)
+                some = [k for k, t in enumerate(texts) if t]
+                if given and some:
+                    symbols, at = symbols_of([texts[k] for k in some])
+                    bits = np.add.reduceat(bits_of(symbols, {(g["ord"], g["shard"]): (g["share"], g["left"]) for g in given}), at[:-1])
+                    score[some] = np.minimum(bits / (np.diff(at) - ORDER + 1), 1000.0)
+                size = pa.array([len(t) for t in texts], pa.int64())
+                name = lang if (lang, fold) in known else POOLED
+                cols = [pa.array(ids, pa.int64()), pa.array([lang] * len(texts), pa.string()), pa.array([name] * len(texts), pa.string()), size, pa.array(np.exp2(score), mask=np.isnan(score)), pa.array(keys, pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang", "model", "n_symbols", "perplexity", "doc"])
+        release()
+
+    rows = blocks.join(found.hint("merge"), "block", "left").select("lang", "fold", "ids", "docs", "packed", "given")
+    scored = rows.mapInArrow(run, "doc_id long, lang string, model string, n_symbols long, perplexity double, doc long")
+    return scored.withColumn("perplexity", F.round("perplexity", 6))
 
 
 def limits(scores: DataFrame, trusted: DataFrame) -> DataFrame:
-    """model -> threshold: the quantile of trusted perplexities, and over all of them for POOLED."""
+    """model -> threshold: the quantile of trusted perplexities, and over all of them for a null model."""
     own = scores.filter("perplexity is not null").join(trusted, "doc_id", "left_semi").select("model", F.floor(F.log("perplexity") / _BIN).alias("bin")).groupBy("model", "bin").count()
     both = own.unionByName(own.groupBy("bin").agg(F.sum("count").alias("count")).select(F.lit(None).cast("string").alias("model"), "bin", "count"))
     w = W.partitionBy("model")  # a few thousand bins each
@@ -479,11 +483,11 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, n_symbols, perplexity, threshold, kept, doc: one row for each document."""
     trusted = materialise(trusted_ids(labels), "trusted")
     scores = materialise(perplexities(docs, trusted), "scores")
-    at = limits(scores, trusted)
-    every = at.filter("model is null").select(F.col("threshold").alias("_all"))
+    at = materialise(limits(scores, trusted), "limits")
+    every = [r["threshold"] for r in at.filter("model is null").collect()]  # one number
     # a row a language
-    out = scores.join(F.broadcast(at.filter("model is not null")), "model", "left").join(F.broadcast(every), how="left")
-    out = out.withColumn("threshold", F.round(F.coalesce("threshold", "_all"), 6))
+    out = scores.join(at.filter("model is not null").hint("merge"), "model", "left")
+    out = out.withColumn("threshold", F.round(F.coalesce("threshold", F.lit(every[0] if every else None).cast("double")), 6))
     kept = (F.col("n_symbols") > 0) & (F.col("perplexity").isNull() | F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
     return out.select("doc_id", "lang", "n_symbols", "perplexity", "threshold", kept.alias("kept"), "doc")
 
