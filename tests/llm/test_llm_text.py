@@ -15,16 +15,14 @@ from tidemark.llm import html, mixing, neardup, quality, repeats, search
 
 
 def brute_model(texts):
-    """Interpolated modified Kneser-Ney over the folded characters, in dicts: probability of a symbol after its context."""
-    order, classes = quality.ORDER, quality.CLASSES
-    grams = Counter()
+    """Interpolated modified Kneser-Ney over characters, in dicts: probability of a symbol after its context."""
+    order = quality.ORDER
+    tables = {order: Counter()}
     for t in texts:
-        gram, a, b = quality.grams([t])
-        grams.update(gram[a[0] : b[0]].tolist())
-    tables = {order: dict(grams)}
+        w = [quality.START] * (order - 1) + [*map(ord, t), quality.END]
+        tables[order].update(tuple(w[k : k + order]) for k in range(len(t) + 1))
     for k in range(order - 1, 0, -1):
-        kinds = {g % classes ** (k + 1) for g in tables[order]} if k == order - 1 else {g % classes ** (k + 1) for g in grams}
-        tables[k] = Counter(g % classes**k for g in kinds)
+        tables[k] = Counter(g[1:] for g in tables[k + 1])
 
     def discounts(t):
         n = Counter(t.values())
@@ -35,37 +33,82 @@ def brute_model(texts):
     context = {k: defaultdict(list) for k in tables}
     for k, t in tables.items():
         for g, n in t.items():
-            context[k][g // classes].append(n)
+            context[k][g[:-1]].append(n)
 
-    def p(g, k):
-        if k == 0:
-            return 1 / classes
-        g %= classes**k
-        own = context[k].get(g // classes)
+    def p(g):
+        k = len(g)
+        below = 1 / (len(tables[1]) + 1) if k == 1 else p(g[1:])
+        own = context[k].get(g[:-1])
         if not own:
-            return p(g, k - 1)
+            return below
         n = tables[k].get(g, 0)
-        total = sum(own)
-        first = max(n - d[k][min(n, 3) - 1], 0) / total if n else 0
-        return first + sum(d[k][min(x, 3) - 1] for x in own) / total * p(g, k - 1)
-
-    return lambda g: p(g, order)
+        first = max(n - d[k][min(n, 3) - 1], 0) if n else 0
+        return (first + sum(d[k][min(x, 3) - 1] for x in own) * below) / sum(own)
+
+    def perplexity(t):
+        w = [quality.START] * (order - 1) + [*map(ord, t), quality.END]
+        bits = [-math.log2(p(tuple(w[k : k + order]))) for k in range(len(t) + 1)]
+        return 2 ** (sum(bits) / len(bits))
+
+    return perplexity
+
+
+def brute_judged(rows, trusted, fold):
+    """doc_id -> perplexity, threshold, kept of every row with text, given the trusted ids and the folds."""
+    models, score, own = {}, [], defaultdict(list)
+    for doc_id, text, lang, *_ in rows:
+        others = [r for r in rows if r[0] in trusted and fold[r[0]] != fold[doc_id] and r[1]]
+        mine = [r[1] for r in others if r[2] == lang and lang]
+        name = lang if mine else ""
+        key = name, fold[doc_id]
+        if key not in models:
+            models[key] = brute_model(mine or [r[1] for r in others]) if others else None
+        found = models[key](text) if text and models[key] else None
+        score.append((doc_id, name, found))
+        if found and doc_id in trusted:
+            own[name].append(found)
+            own[None].append(found)
+
+    def limit(values):
+        bins = sorted(math.floor(math.log(round(v, 6)) / 0.001) for v in values)
+        at = next(b for k, b in enumerate(bins) if sum(x <= b for x in bins) >= quality.QUANTILE * len(bins))
+        return math.exp((at + 1) * 0.001) * quality.MARGIN
+
+    limits = {name: limit(v) for name, v in own.items()}
+    return [(doc_id, found, limits.get(name, limits.get(None))) for doc_id, name, found in score]
+
+
+def test_perplexity_and_threshold_against_dicts(spark, monkeypatch):
+    """All languages that have trusted text, in any script, have models and limits of their own; the others go by all trusted text."""
+    rng = random.Random(11)
+    scripts = ["the of and Red", "дом и сад на", "το και σπίτι", "日本語の本を読む", "ab ba abba", "🙂 x 🙃"]
+    langs = [*(f"l{k}" for k in range(27)), None]
+    rows = [(k, " ".join(rng.choice(scripts[k % len(langs) % 6].split()) for _ in range(rng.randrange(1, 9))), langs[k % len(langs)], "s", 0) for k in range(8 * len(langs))]
+    rows += [(1000, "scum of the house", "l0", "s", 0), (1001, "the Red", "unheard", "s", 0), (1002, "", "l0", "s", 0), (1003, None, "l1", "s", 0), rows[0], rows[0], (1004, "the " * 900, "l0", "s", 0)]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(6 * len(langs))] + [(1002, 1, 0), (1001, 0, 0), (5000, 1, 0)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, DOCS).repartition(2)
+    trusted = {r["doc_id"] for r in quality.trusted_ids(labels).collect()}
+    fold = {r["doc_id"]: r["f"] for r in docs.select("doc_id", quality.fold_of().alias("f")).collect()}
+    want = brute_judged(rows, trusted, fold)
+    monkeypatch.setattr(quality, "BLOCK", 2000)  # several blocks a task
+    found = quality.classify(docs, labels).collect()
+    assert Counter(r["doc_id"] for r in found) == Counter(r[0] for r in rows)
+    got = {r["doc_id"]: r for r in found}
+    for doc_id, perplexity, threshold in want:
+        r = got[doc_id]
+        assert (r["perplexity"] is None) == (perplexity is None) and math.isclose(r["threshold"], threshold, rel_tol=2e-3)
+        if perplexity is not None:
+            assert math.isclose(r["perplexity"], perplexity, rel_tol=1e-4)
+        assert r["kept"] == (perplexity is not None and r["perplexity"] <= r["threshold"])
+    assert len({r["threshold"] for r in found}) > 20
 
 
-def test_kneser_ney_against_dicts(docs, rows, labels):
-    trusted = quality.trusted_ids(labels)
-    good = {r["doc_id"] for r in trusted.collect()}
-    assert good == {*range(12), *range(300, 305)}
-    tables = quality.model(docs, trusted)
-    assert set(tables) == {"en", ""}
-    texts = [r[1] for r in rows if r[0] in good]
-    p = brute_model(texts)
-    rng = np.random.default_rng(1)
-    seen, _, _ = quality.grams(texts[:2])
-    for g in [*seen[:200].tolist(), *rng.integers(0, 32**4, 200).tolist()]:
-        assert math.isclose(2.0 ** -float(tables[""][g]), p(g), rel_tol=1e-4)
-    some = np.exp2(-tables[""].astype(np.float64)).reshape(-1, 32).sum(1)
-    assert np.allclose(some, 1, atol=1e-3)
+def test_more_kinds_of_characters_than_numbers_hold():
+    rng = np.random.default_rng(2)
+    symbols = rng.integers(0, 0x110000, 80_000).astype(np.uint32)
+    symbols[-8:] = symbols[:8]
+    grams, counts, which = quality.different(symbols, np.arange(3, len(symbols)))
+    assert (grams[which] == np.stack([symbols[k : len(symbols) - 3 + k] for k in range(4)], 1)).all() and counts.sum() == len(which) and counts.max() == 2
 
 
 def test_classify(docs, rows, labels, clashing, no_docs, spark):
@@ -86,83 +129,6 @@ def test_classify(docs, rows, labels, clashing, no_docs, spark):
     assert all(r["kept"] == (r["n_symbols"] > 0) for r in untaught)
 
 
-def brute_word_model(texts, bits):
-    """Interpolated modified Kneser-Ney over words, in dicts: probability of a word after the two before it."""
-    tables = {3: Counter(), 2: Counter(), 1: Counter()}
-    for words in texts:
-        w = ["<s>", "<s>", *words, "</s>"]
-        tables[3].update(tuple(w[k : k + 3]) for k in range(len(w) - 2))
-    for k in (2, 1):
-        tables[k].update(g[1:] for g in tables[k + 1])
-
-    def discounts(t):
-        n = Counter(t.values())
-        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
-        return [min(max(k - (k + 1) * y * n[k + 1] / n[k], quality.LEAST), float(k)) if n[1] and n[k] else k / 2 for k in (1, 2, 3)]
-
-    def p(g):
-        k = len(g)
-        own = [n for x, n in tables[k].items() if x[:-1] == g[:-1]]
-        below = 2.0 ** -bits(g[-1]) if k == 1 else p(g[1:])
-        if not own:
-            return below
-        d, n = discounts(tables[k]), tables[k].get(g, 0)
-        first = max(n - d[min(n, 3) - 1], 0) if n else 0
-        return (first + sum(d[min(x, 3) - 1] for x in own) * below) / sum(own)
-
-    return p
-
-
-def test_word_model_against_dicts(spark):
-    """Each document under the word n-grams of the other fold's trusted text, in more languages than spelling tables are kept for."""
-    rng = random.Random(11)
-    vocabulary = ["the", "of", "and", "Red", "house", "it's", "élan", "x1"]
-    langs = ["en", *(f"l{k}" for k in range(quality.MODELS + 3)), None]
-    rows = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 9))) + rng.choice([".", "", " ?!"]), langs[k % len(langs)], "s", 0) for k in range(12 * len(langs))]
-    rows += [(1000, "scum of the house", "en", "s", 0), (1001, "the house", "unheard", "s", 0), (1002, "  ", "en", "s", 0), rows[0], rows[0]]
-    labels = spark.createDataFrame([(k, 1, 0) for k in range(len(langs) * 10)], "doc_id long, quality int, toxic int")
-    docs = spark.createDataFrame(rows, DOCS).repartition(2)
-    trusted = quality.trusted_ids(labels)
-    good = {r["doc_id"] for r in trusted.collect()}
-    fold = {r["doc_id"]: r["f"] for r in docs.select("doc_id", quality.fold_of().alias("f")).collect()}
-    table = quality.spelling(quality.trusted_texts(docs, trusted))[""]
-
-    def bits(word):
-        if word == "</s>":
-            return quality.END_BITS
-        gram, a, b = quality.grams(["   " + word + " "])
-        return float(table[gram[a[0] + 3 : b[0]]].astype(float).sum())
-
-    def words(text):
-        return re.findall(r"[^\W_]+|[^\w\s]+", text.lower())
-
-    models = {}
-    for f in (0, 1):
-        for lang in {r[2] for r in rows}:
-            own = [words(r[1]) for r in rows if r[0] in good and fold[r[0]] != f and r[2] == lang and lang]
-            models[lang, f] = brute_word_model(own or [words(r[1]) for r in rows if r[0] in good and fold[r[0]] != f], bits), bool(own)
-    found = quality.perplexities(docs, trusted).collect()
-    assert Counter(r["doc_id"] for r in found) == Counter(r[0] for r in rows)
-    for r in found:
-        lang = r["lang"]
-        p, own = models[lang, fold[r["doc_id"]]]
-        assert r["model"] == (lang if own else "")
-        w = ["<s>", "<s>", *words(next(x[1] for x in rows if x[0] == r["doc_id"])), "</s>"]
-        want = 2 ** (-sum(math.log2(p(tuple(w[k : k + 3]))) for k in range(len(w) - 2)) / (len(w) - 2))
-        assert math.isclose(r["perplexity"], want, rel_tol=1e-4), (r, want)
-    named = {r["model"] for r in quality.limits(quality.perplexities(docs, trusted), trusted).collect()}
-    assert len([x for x in named if x]) > quality.MODELS  # no language goes with the others while it has trusted text
-
-
-def test_every_language_has_its_own_limit(spark):
-    rng = random.Random(12)
-    langs = [f"l{k}" for k in range(quality.MODELS + 4)]
-    rows = [(k, " ".join(prose(rng, 1) for _ in range(rng.randrange(10, 30))), langs[k % len(langs)], "s", 0) for k in range(12 * len(langs))]
-    labels = spark.createDataFrame([(r[0], 1, 0) for r in rows], "doc_id long, quality int, toxic int")
-    found = quality.classify(spark.createDataFrame(rows, DOCS), labels).collect()
-    assert len({r["threshold"] for r in found}) == len({(r["lang"], r["threshold"]) for r in found}) == len(langs)
-
-
 def shingles(text):
     words = (text or "").encode().translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")).split()
     return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
