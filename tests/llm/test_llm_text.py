@@ -288,21 +288,54 @@ def test_removed_texts(docs, rows, no_docs):
 PAGE = '<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li>Home</li></ul></nav><div class="ad">Buy</div>%s<footer>&copy; x</footer></body></html>'
 
 
+def plain(page):
+    return html.main_text(html.lines_of(page), None)
+
+
 def test_article_of_a_page():
     article = "<article><h1>A &amp; B</h1><p><b>One\n two<br><p>th<i>re</i>e</p><aside>side</aside><div class='comments'>me too</div><form>f</form><p>Shared &eacute;&#x41;</p></article>"
     lines = html.lines_of(PAGE % article)
     assert html.main_text(lines, None) == "A & B\nOne two\nthree\nShared éA"
-    assert html.main_text(lines, lines) == html.main_text(lines, None)  # declared articles keep what they share
+    assert html.main_text(lines, lines) == html.main_text(lines, None)
     assert html.lines_of("") == [] and html.main_text([], None) == ""
-    assert html.main_text(html.lines_of("plain <b>text"), None) == "plain text"
-    assert html.main_text(html.lines_of("<p>cut here <a hr"), None) == "cut here"
-    assert html.main_text(html.lines_of('<script>var t="</p>";</script><!-- x --><p>a<p>b'), None) == "a\nb"
+    assert plain("plain <b>text") == "plain text"
+    assert plain("<p>cut here <a hr") == "cut here"
+    assert plain('<script>var t="</p>";</script><!-- x --><p>a<p>b') == "a\nb"
+
+
+def test_no_text_is_lost_to_broken_markup():
+    assert plain('<p>before</p><svg class="icon"/><p>Body</p>') == "before\nBody"
+    for tag in ("button", "svg", "select", "object", "title", "textarea", "iframe", "script", "style"):
+        assert plain(f"<p>before</p><{tag}>x<p>Body</p><div>More</div>") == "before\nBody\nMore", tag
+        assert plain(f"<p>before</p><{tag}>x</{tag}><p>Body</p>") == "before\nBody", tag
+    assert plain("<p>before</p><!-- x <p>Body</p>") == "before\nBody"
+    assert plain("<p>a < b and c > d</p>") == "a < b and c > d"
+    assert plain('<p title="a > b">x</p><p title="open>y</p>') == "x\ny"
+
+
+def test_class_words():
+    assert plain("<article><p>Text</p><article class='comment'><p>reader</p></article></article>") == "Text"
+    assert plain("<div class='entry-header'><h1>Title</h1></div><div class='content no-sidebar'><p>Text</p></div>") == "Title\nText"
+    assert plain("<div class='sidebar-left'>a</div><div id='comment_list'>b</div><header>logo</header><div role='navigation'>c</div><p>Text</p>") == "Text"
+    assert plain("<article><header><h1>Title</h1></header><p>Text</p></article><div class='post-comments'>c</div>") == "Title\nText"
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a '", '<p title="', "<!--", "<script>", "<", "<button>", "<svg><p>", "<div>", "&amp", "</div>", "<a '>", '<x y="<b>" '])
+def test_time_is_linear_in_the_page(piece):
+    import time
+
+    began = time.process_time()
+    html.lines_of(piece * 20_000)
+    assert time.process_time() - began < 5
 
 
 def test_shared_lines_go():
     one, two = (html.lines_of(PAGE % f"<div><p>Read more here</p><p>{t}</p><p>Call us</p></div>") for t in ("First story", "Second story"))
     assert html.main_text(one, two) == "First story" and html.main_text(one, None) == "Read more here\nFirst story\nCall us"
     assert html.main_text(one, one) == "Read more here\nFirst story\nCall us"  # a copy is no template
+    page = "<div><p>Top %s</p><p>Repeated</p><p>End %s</p></div><div><p>Call us</p></div>"
+    one, two = (html.lines_of(PAGE % (page % (t, t))) for t in ("one", "two"))
+    assert html.main_text(one, two) == "Top one\nRepeated\nEnd one"  # a passage within the text that only the page has
 
 
 def test_differencing_decides_beside_a_declared_article():
@@ -310,6 +343,9 @@ def test_differencing_decides_beside_a_declared_article():
     assert html.main_text(one, two) == "Lead one\none\nShared\nMore one"
     part = html.lines_of(PAGE % "<div><p>Read more here</p><p>Story</p></div><main><p>Only a part</p></main>")
     assert html.main_text(part, two) == "Story\nOnly a part"
+    # an element that is declared, but holds next to nothing that only this page has, is template
+    one, two = (html.lines_of(f"<main><p>Our shop is open</p><p>{t}</p></main><div><p>{t * 50}</p></div>") for t in "xy")
+    assert html.main_text(one, two) == "x\n" + "x" * 50
 
 
 def test_longest_common_lines():
@@ -325,13 +361,64 @@ def test_longest_common_lines():
         assert len(found) == best[-1][-1] and all(a[k] in rest for k in found)
 
 
+def brute_pages(rows):
+    """Every page against all pages of its host: neighbours by sorting, tables of lengths for common lines."""
+    def place(url):
+        rest = url.split("//", 1)[1]
+        host, _, path = rest.partition("/")
+        return host.lower(), "/" + path.split("?")[0].split("#")[0]
+
+    order = sorted((*place(u), i, html.lines_of(h)) for i, u, h in rows)
+    out = {}
+    for at, (host, path, ident, lines) in enumerate(order):
+        mine = [t for kind, _, t in lines if kind == html.OPEN]
+        best = (-1, None)
+        for step in (1, 2):
+            for other in (at - step, at + step):
+                if 0 <= other < len(order) and order[other][0] == host and [t for kind, _, t in order[other][3] if kind == html.OPEN] != mine:
+                    common = 0
+                    while common < min(len(path), len(order[other][1])) and path[common] == order[other][1][common]:
+                        common += 1
+                    if common > best[0]:
+                        best = common, order[other][3]
+        near = best[1]
+        out[ident] = html.main_text(lines, near)
+        if near is not None:
+            texts = {t for _, _, t in near}
+            kept = out[ident].split("\n")
+            assert all(t in kept for t in mine if t not in texts)  # what only this page has stays
+    return out
+
+
+def test_pages_are_compared_alike_however_they_are_dealt(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(150):
+        host = "big.org" if k % 3 else f"h{k % 7}.org"
+        top, end = f"<p>Welcome to {host}</p>", f"<p>Imprint of {host}</p>"
+        body = "".join(f"<p>{prose(rng, 6)}</p>" for _ in range(rng.randrange(1, 5)))
+        rows.append((k, f"http://{host}/{rng.choice('abc')}/{rng.randrange(40)}?x={k}", f"<body>{top}<div>{body}</div>{end}</body>"))
+    rows += [(200 + k, f"http://big.org/b/{k % 5}", rows[1][2]) for k in range(30)]  # copies
+    want = brute_pages(rows)
+    assert sum("Welcome" in t for t in want.values()) < 40
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    conf = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 4, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            assert {r["page_id"]: r["text"] for r in html.extract_pages(df.repartition(n)).collect()} == want, n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", conf)
+
+
 def test_pages(spark):
     story = "<div><p>Read more here</p><p>%s</p></div>"
-    rows = [(k, f"http://x.org/en/{k}?q=1", PAGE % (story % f"Story {k}"), "x") for k in range(6)]
-    rows += [(10, None, None, "x"), (11, "not a url", "", "y"), (12, "https://y.org/a", PAGE % "<main><p>Only</p></main>", None), (12, "https://y.org/a", PAGE % "<main><p>Only</p></main>", None)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
-    got = html.extract_pages(df.coalesce(1)).collect()
-    assert Counter((r["page_id"], r["url"], r["text"]) for r in got) == Counter([(k, f"http://x.org/en/{k}?q=1", f"Story {k}") for k in range(6)] + [(10, None, ""), (11, "not a url", ""), (12, "https://y.org/a", "Only"), (12, "https://y.org/a", "Only")])
+    rows = [(k, f"http://x.org/en/{k}?q=1", PAGE % (story % f"Story {k}"), "x", 1, 2, b"z") for k in range(6)]
+    only = "https://y.org/a", PAGE % "<main><p>Only</p></main>", None, 1, 2, b"z"
+    rows += [(10, None, None, "x", 1, 2, b"z"), (11, "not a url", "", "y", 1, 2, b"z"), (12, *only), (12, *only), (None, "http://z.org", "<p>No id</p>", "", 1, 2, b"z")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, part int, host int, lines binary").repartition(3)
+    got = html.extract_pages(df).collect()
+    assert Counter((r["page_id"], r["url"], r["text"]) for r in got) == Counter([(k, f"http://x.org/en/{k}?q=1", f"Story {k}") for k in range(6)] + [(10, None, ""), (11, "not a url", ""), (12, "https://y.org/a", "Only"), (12, "https://y.org/a", "Only"), (None, "http://z.org", "No id")])
     assert all(r["n_chars"] == len(r["text"]) for r in got)
     assert html.extract_pages(df.limit(0)).count() == 0
 
