@@ -97,6 +97,32 @@ class LogWriter:
         return self._file.closed
 
 
+class HadoopLogWriter:
+    """Appends frames to one segment on any Hadoop file system; a sync makes them visible to readers where the file system can."""
+
+    def __init__(self, fs, path, sync: bool = True):
+        self.path, self.sync_each, self.bytes_written, self.closed = path, sync, 0, False
+        self._file = fs.create(path, False)
+
+    def append(self, key: str, value: bytes, ts_ms: int, op: int) -> int:
+        frame = encode_frame(key, value, ts_ms, op)
+        self._file.write(bytearray(frame))
+        if self.sync_each:
+            self.sync()
+        self.bytes_written += len(frame)
+        return len(frame)
+
+    def sync(self) -> None:
+        self._file.hflush()
+        self._file.hsync()
+
+    def close(self) -> None:
+        if not self.closed:
+            self.sync()
+            self._file.close()
+            self.closed = True
+
+
 def read_segment(path: str, allow_torn_tail: bool = True) -> list[tuple[str, bytes, int, int]]:
     """A local segment's mutations."""
     if not os.path.exists(path):
