@@ -40,6 +40,8 @@ LONGEST, BLOCK, IDS = 64, 1 << 20, 1 << 20
 #: No merge; slots of the table of merges (a power of two), and the odd number that spreads pairs over them.
 NEVER, SLOTS, SPREAD = np.int32(2**31 - 1), 1 << 19, np.uint64(0x9E3779B97F4A7C15)
 EMPTY = np.uint64(2**64 - 1)
+#: The lowest 0 to 8 bytes of a number.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: Kinds of bytes as the pre-tokeniser tells them apart: white space, letters, digits, signs.
 SPACE, LETTER, DIGIT, SIGN = 0, 1, 2, 3
 
@@ -123,6 +125,8 @@ class Fragmenter:
             self.keys[at[todo[first]]], self.ranks[at[todo[first]]] = key[todo[first]], todo[first]
             todo = np.delete(todo, first)
             at[todo] = (at[todo] + 1) % SLOTS
+        byte = self.byte_id.astype(np.uint64)
+        self.byte_rank = self.rank((byte[:, None] << np.uint64(32) | byte[None, :]).ravel())
         self.size = np.array([len(w) for w in self.word], np.int64)
         self.start = np.cumsum(self.size) - self.size
         self.data = np.frombuffer(b"".join(self.word), np.uint8)
@@ -190,15 +194,15 @@ class Fragmenter:
         out = np.flatnonzero(first)
         return out[1:], np.repeat(whole, ends - starts)[out[:-1]]
 
-    def merged(self, ids: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Byte ids of pieces (numbered in order), merged: the ids of all pieces in order, and how many each has."""
+    def merged(self, data: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of pieces (numbered in order), merged: the ids of all pieces in order, and how many each has."""
         n, done = int(piece[-1]) + 1 if len(piece) else 0, []
+        ids, rank = self.byte_id[data], np.full(len(data), NEVER)
+        if len(data):
+            rank[:-1] = np.where(piece[1:] == piece[:-1], self.byte_rank[data[:-1].astype(np.int32) << 8 | data[1:]], NEVER)
         while len(ids):
             starts = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))
             room = np.diff(np.append(starts, len(ids)))
-            rank = np.full(len(ids), NEVER)
-            pair = np.flatnonzero(piece[1:] == piece[:-1])
-            rank[pair] = self.rank(ids[pair].astype(np.uint64) << np.uint64(32) | ids[pair + 1].astype(np.uint64))
             least = np.minimum.reduceat(rank, starts)
             ended = least == NEVER
             if ended.any():
@@ -206,13 +210,21 @@ class Fragmenter:
                 done.append((ids[out], piece[out]))
                 ids, piece, rank, least, room = ids[~out], piece[~out], rank[~out], least[~ended], room[~ended]
             at = np.flatnonzero(rank == np.repeat(least, room))
+            if not len(at):
+                break
             if len(at) > 1:  # x x x: of places that overlap every other from the left
                 step = np.arange(len(at))
                 at = at[(step - np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, step, 0))) % 2 == 0]
             ids[at] = self.made[rank[at]]
             keep = np.ones(len(ids), bool)
             keep[at + 1] = False
-            ids, piece = ids[keep], piece[keep]
+            ids, piece, rank = ids[keep], piece[keep], rank[keep]
+            # only pairs with what was just made have new ranks
+            at -= np.arange(len(at))
+            for some in (at[at + 1 < len(ids)], at[at > 0] - 1):
+                pair = ids[some].astype(np.uint64) << np.uint64(32) | ids[some + 1].astype(np.uint64)
+                rank[some] = np.where(piece[some] == piece[some + 1], self.rank(pair), NEVER)
+            rank[-1] = NEVER
         ids, piece = np.concatenate([np.zeros(0, np.int32), *(d[0] for d in done)]), np.concatenate([np.zeros(0, np.int64), *(d[1] for d in done)])
         order = np.argsort(piece, kind="stable")
         return ids[order], np.bincount(piece, minlength=n)
@@ -235,9 +247,10 @@ class Fragmenter:
         short = np.flatnonzero(plain & (size <= 16))
         if len(short):
             # a piece of 16 bytes or less as two numbers: equal pieces are equal numbers
-            step = np.arange(16)
-            own = np.where(step < size[short, None], buf[np.minimum(starts[short, None] + step, len(buf) - 1)], np.uint8(0))
-            two = np.ascontiguousarray(own).view("<u8")
+            near = np.lib.stride_tricks.as_strided(np.concatenate([buf, np.zeros(16, np.uint8)]), (len(buf), 16), (1, 1))
+            two = np.ascontiguousarray(near[starts[short]]).view("<u8")
+            two[:, 0] &= MASKS[np.minimum(size[short], 8)]
+            two[:, 1] &= MASKS[np.maximum(size[short] - 8, 0)]
             with np.errstate(over="ignore"):
                 mark = (two[:, 0] ^ two[:, 1] * SPREAD) * SPREAD + size[short].astype(np.uint64)
             order = np.argsort(mark)
@@ -265,7 +278,7 @@ class Fragmenter:
         return ids, np.cumsum(count)[np.searchsorted(upto, ends)]
 
     def _merged_at(self, buf: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self.merged(self.byte_id[buf[spread(starts, size)]], np.repeat(np.arange(len(size)), size))
+        return self.merged(buf[spread(starts, size)], np.repeat(np.arange(len(size)), size))
 
     def encode_rows(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, and where each row's ids start (one more than rows)."""
