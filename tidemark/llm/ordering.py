@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import BLOCK, default_vocabulary, held_coder
+from tidemark.llm.bpe import BLOCK, default_vocabulary, held_coder, spread
 from tidemark.llm.common import bounded, byte_view, release, shared_dir, slices, utf8
 
 #: Tokens of a sequence, sequences of a shard, the permutation's key.
@@ -154,32 +154,33 @@ def training_order(docs: DataFrame, key: int = KEY, vocabulary: str | None = Non
 
     def run(batches):
         for batch in batches:
-            for doc_id, packed, copies, n, first, total in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tokens = zlib.decompress(packed)
-                for a in range(0, copies * n, 1 << 14):  # of many copies some at a time
-                    number = np.arange(a, min(a + (1 << 14), copies * n))
-                    slot = feistel(first + number, total, key)
-                    shard, seq = slot // per_shard, number % n
-                    if done is not None:
-                        new = ~((done[np.minimum(shard >> 3, len(done) - 1)] >> (shard & 7) & 1).astype(bool) & (shard >> 3 < len(done)))
-                        slot, shard, seq = slot[new], shard[new], seq[new]
-                    pieces = [tokens[s * STRIDE : (s + 1) * STRIDE] for s in seq.tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(slot), pa.array([doc_id] * len(slot), pa.int64()), pa.array(seq), pa.array(pieces, pa.binary())], names=["shard", "slot", "doc_id", "seq_no", "piece"])
+            copies, n, first, total = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4, 5))
+            held = [zlib.decompress(p) for p in batch.column(1).to_pylist()]
+            # the sequences of all rows follow each other; every one but a row's last has STRIDE bytes
+            row, seq = np.repeat(np.arange(len(n)), n), spread(np.zeros(len(n), np.int64), n)
+            upto = np.cumsum([0, *map(len, held)])
+            starts = np.append(upto[row] + seq * STRIDE, upto[-1])
+            pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(b"".join(held))])
+            place = np.cumsum(n) - n
+            for r in np.flatnonzero(copies > 1).tolist():
+                for a in range(int(n[r]), int(copies[r] * n[r]), 1 << 14):  # of many copies some at a time
+                    more = np.arange(a, min(a + (1 << 14), int(copies[r] * n[r])))
+                    yield from given(pieces, batch.column(0), np.full(len(more), r), place[r] + more % n[r], more % n[r], first[r] + more, total)
+            yield from given(pieces, batch.column(0), row, np.arange(len(row)), seq, first[row] + seq, total)
         release()
 
-    def joined(batches):
-        """Small batches as larger ones."""
-        held, size = [], 0
-        for batch in run(batches):
-            held.append(batch)
-            size += len(batch)
-            if size >= 1000:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, size = [], 0
-        if size:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-    return numbered(docs, vocabulary).mapInArrow(joined, "shard long, slot long, doc_id long, seq_no long, piece binary")
+    def given(pieces, ids, row, which, seq, number, total):
+        for a in range(0, len(row), 4096):
+            part = slice(a, a + 4096)
+            slot = feistel(number[part], int(total[0]), key)
+            shard, own = slot // per_shard, np.arange(a, a + len(slot))
+            if done is not None:
+                new = ~((done[np.minimum(shard >> 3, len(done) - 1)] >> (shard & 7) & 1).astype(bool) & (shard >> 3 < len(done)))
+                slot, shard, own = slot[new], shard[new], own[new]
+            cols = [pa.array(shard), pa.array(slot), ids.take(pa.array(row[own])), pa.array(seq[own], pa.int64()), pieces.take(pa.array(which[own])).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["shard", "slot", "doc_id", "seq_no", "piece"])
+
+    return numbered(docs, vocabulary).mapInArrow(run, "shard long, slot long, doc_id long, seq_no long, piece binary")
 
 
 def shards(ordered: DataFrame) -> DataFrame:
