@@ -43,12 +43,49 @@ def _signed(x: int) -> int:
     return x - (1 << 32) if x >> 31 else x
 
 
+def murmur3_array(data: np.ndarray, offsets: np.ndarray, seed: int = 0) -> np.ndarray:
+    """MurmurHash3 x86_32 (uint32) of many byte strings: data and where each begins (one more). All strings advance word by word."""
+    n = np.diff(offsets)
+    h = np.full(len(n), seed & _M, np.uint32)
+    padded = np.concatenate([data, np.zeros(4, np.uint8)])
+
+    def mixed(k: np.ndarray) -> np.ndarray:
+        k = k * np.uint32(0xCC9E2D51)
+        return (k << np.uint32(15) | k >> np.uint32(17)) * np.uint32(0x1B873593)
+
+    def word(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(at), np.uint32)
+        for k in range(4):
+            out |= np.where(size > k, padded[np.minimum(at + k, len(padded) - 1)], 0).astype(np.uint32) << np.uint32(8 * k)
+        return out
+
+    order = np.argsort(-(n >> 2), kind="stable")  # longest first, so that those which go on are a front part
+    words = (n >> 2)[order]
+    for k in range(int(words[0]) if len(words) else 0):
+        on = order[: int(np.searchsorted(-words, -k, "left"))]
+        h[on] ^= mixed(word(offsets[on] + 4 * k, np.full(len(on), 4)))
+        h[on] = (h[on] << np.uint32(13) | h[on] >> np.uint32(19)) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= mixed(word(offsets[:-1] + (n & ~3), n & 3))  # nothing if no bytes are left
+    h ^= n.astype(np.uint32)
+    h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+    h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+    return h ^ h >> np.uint32(16)
+
+
+def _bytes_of(values: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All values' bytes, where each begins (one more), and which are null."""
+    held = [b"" if v is None else v.encode() if isinstance(v, str) else bytes(v) for v in values]
+    null = np.array([v is None for v in values], bool)
+    return np.frombuffer(b"".join(held), np.uint8), np.cumsum([0, *map(len, held)]), null
+
+
 def murmur3_column(data: Column, seed: int = 0) -> Column:
-    """Signed 32-bit Murmur3 of a binary or text column."""
+    """Signed 32-bit Murmur3 of a binary or text column; 0 for null."""
 
     @F.pandas_udf("int")
     def run(values: pd.Series) -> pd.Series:
-        return pd.Series([_signed(murmur3(v, seed)) for v in values], dtype="int32")
+        buf, at, null = _bytes_of(values)
+        return pd.Series(np.where(null, 0, murmur3_array(buf, at, seed).view(np.int32)).astype(np.int32))
 
     return run(data)
 
@@ -73,6 +110,14 @@ def bloom_places(key: bytes | str, bits: int, k: int) -> list[int]:
     return [abs(_signed(h1 + i * h2)) % bits for i in range(k)]
 
 
+def bloom_matrix(values: pd.Series, bits: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """bloom_places of many keys as rows of a matrix, and which keys are null."""
+    buf, at, null = _bytes_of(values)
+    h1, h2 = (murmur3_array(buf, at, seed) for seed in (SEED_1, SEED_2))
+    both = h1[:, None] + np.arange(k, dtype=np.uint32) * h2[:, None]
+    return np.abs(both.view(np.int32).astype(np.int64)) % bits, null
+
+
 class BloomFilter:
     """A Bloom filter on the driver."""
 
@@ -107,7 +152,8 @@ def bloom_table(keys: DataFrame, expected: int, fpp: float = 0.01, key: str = "k
 
     def run(frames):
         for frame in frames:
-            places = np.array([b for v in frame[key] if v is not None for b in bloom_places(v, bits, k)], np.int64)
+            found, null = bloom_matrix(frame[key], bits, k)
+            places = found[~null].ravel()
             words, at = np.unique(places >> 6, return_inverse=True)
             held = np.zeros(len(words), np.uint64)
             np.bitwise_or.at(held, at, np.uint64(1) << (places & 63).astype(np.uint64))
@@ -122,7 +168,8 @@ def bloom_probe(keys: DataFrame, table: DataFrame, expected: int, fpp: float = 0
 
     @F.pandas_udf("array<long>")
     def places(values: pd.Series) -> pd.Series:
-        return pd.Series([[] if v is None else bloom_places(v, bits, k) for v in values])
+        found, null = bloom_matrix(values, bits, k)
+        return pd.Series([[] if gone else row for row, gone in zip(found.tolist(), null, strict=True)])
 
     each = keys.select(key).distinct().withColumn("place", F.explode(places(key))).withColumn("word", F.shiftright("place", 6))
     hit = each.join(table, "word", "left").select(key, (F.expr("shiftrightunsigned(bits, cast(place & 63 as int)) & 1") == 1).alias("set"))

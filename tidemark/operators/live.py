@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -59,7 +61,7 @@ def latest_value(log: DataFrame) -> DataFrame:
 
 def deleted_keys(log: DataFrame) -> DataFrame:
     """Keys that mutations name but the live table lacks."""
-    return log.select("key").distinct().join(live(log).select("key"), "key", "left_anti")
+    return latest(log.select("key", "ts_ms", "seq", "op")).filter(F.col("op") == DELETE).select("key")
 
 
 def overlay(snapshot: DataFrame, own: DataFrame) -> DataFrame:
@@ -69,15 +71,65 @@ def overlay(snapshot: DataFrame, own: DataFrame) -> DataFrame:
 
 def conflicts(keys: DataFrame, commits: DataFrame, start: int) -> DataFrame:
     """Those of keys that a commit after start wrote; commits: (key, version)."""
-    return keys.join(commits.filter(F.col("version") > start), "key", "left_semi")
+    return conflicts_within(keys.withColumn("start", F.lit(start)), commits, []).drop("start")
+
+
+def conflicts_within(transactions: DataFrame, commits: DataFrame, scope: list[str]) -> DataFrame:
+    """Those of transactions (scope, key, start) whose key a commit (scope, key, version) of the same scope wrote after they started.
+
+    Commits are reduced to the last of each key before they meet the transactions, so a hot key is one row.
+    """
+    last = commits.groupBy(*scope, "key").agg(F.max("version").alias("_last"))
+    return transactions.join(last, [*scope, "key"]).filter(F.col("_last") > F.col("start")).drop("_last")
+
+
+def numbered(rows: DataFrame, key: str = "key", size: str | None = None) -> DataFrame:
+    """rows with ordinal, their number from 0 in the order of key, and with offset, the sum of size over those before.
+
+    The order is cut into ranges, one for each task, whose bounds come from a pass over the keys; rows are numbered within their
+    range, and the ranges' counts and sums say where each begins. Equal keys come in any order.
+    """
+    low = rows.select(key).repartitionByRange(key).groupBy(F.spark_partition_id()).agg(F.min(key).alias("low"))
+    bounds = sorted(r["low"].encode() for r in low.filter("low is not null").collect())  # a row a task
+
+    @F.pandas_udf("int")
+    def range_of(keys: pd.Series) -> pd.Series:
+        return pd.Series([max(bisect_right(bounds, k.encode()) - 1, 0) if k is not None else 0 for k in keys], dtype="int32")
+
+    placed = rows.withColumn("_r", range_of(F.col(key))).withColumn("_s", F.col(size) if size else F.lit(0).cast("long"))
+    own = placed.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"), F.sum("_s").alias("_t"))
+    ahead = W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)  # a row a task
+    starts = own.select("_r", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_first"), F.coalesce(F.sum("_t").over(ahead), F.lit(0)).alias("_base"))
+    within = W.partitionBy("_r").orderBy(key)
+    out = placed.withColumns({"_i": F.row_number().over(within) - 1, "_b": F.coalesce(F.sum("_s").over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))})
+    out = out.join(F.broadcast(starts), "_r").withColumn("ordinal", (F.col("_first") + F.col("_i")).cast("long"))
+    out = out.withColumn("offset", (F.col("_base") + F.col("_b")).cast("long")) if size else out
+    return out.drop("_r", "_s", "_i", "_b", "_first", "_base")
 
 
 def sparse_index(rows: DataFrame, every: int = 16, file: str | None = None) -> DataFrame:
     """Each every-th key in key order, within each file where a file column is named."""
     if every <= 0:
         raise ValueError("the interval must be positive")
-    w = (W.partitionBy(file) if file else W.partitionBy()).orderBy("key")
-    return rows.withColumn("_i", F.row_number().over(w) - 1).filter(F.col("_i") % every == 0).withColumnRenamed("_i", "ordinal")
+    if file:  # a file's keys are one task's work anyway
+        found = rows.withColumn("ordinal", (F.row_number().over(W.partitionBy(file).orderBy("key")) - 1).cast("long"))
+    else:
+        found = numbered(rows)
+    return found.filter(F.col("ordinal") % every == 0)
+
+
+def index_blocks(rows: DataFrame, every: int = 16) -> DataFrame:
+    """key (the first of each every keys in order), offset and size (sums of the column size before and within the block)."""
+    placed = numbered(rows, size="size")
+    return placed.groupBy(F.floor(F.col("ordinal") / every).alias("_b")).agg(F.min("key").alias("key"), F.min("offset").alias("offset"), F.sum("size").alias("size")).drop("_b")
+
+
+def floor_percentiles(rows: DataFrame, column: str, percents: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
+    """The values at the floor index n * p / 100 of the sorted column, and its average, from the counts of its different values."""
+    counts = rows.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+    upto = counts.select(column, "_n", F.sum("_n").over(W.orderBy(column)).alias("_upto"), F.sum("_n").over(W.partitionBy()).alias("_all"))  # different values
+    at = [F.min(F.when(F.col("_upto") > F.floor(F.col("_all") * p / 100), F.col(column))).alias(f"p{p}") for p in percents]
+    return upto.agg(*at, F.coalesce(F.round(F.sum(F.col(column) * F.col("_n")) / F.sum("_n"), 6), F.lit(0.0)).alias("avg"))
 
 
 def index_block(index: DataFrame, key: str) -> DataFrame:

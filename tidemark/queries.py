@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark import sql as SQL
+
 from tidemark.functions import hashing
 from tidemark.functions.schema import estimated_size, is_tombstone, padded_key, text, text_or_null, type_name
 from tidemark.operators import live as L
@@ -16,15 +18,15 @@ from tidemark.sources.derived import catalog_log, events_log, with_tier
 
 AS_OF = 1_705_000_000_000
 
-LOG = """log AS (SELECT concat('user:', lpad(CAST(user_id AS VARCHAR), 8, '0')) AS key, concat(event_type, '|', props) AS value,
+LOG = """log AS (SELECT printf('user:%08d', user_id) AS key, concat(event_type, '|', props) AS value,
   epoch_us(ts) // 1000 AS ts_ms, CAST(event_id AS BIGINT) AS seq, CAST(CASE WHEN event_type = 'error' THEN 2 ELSE 1 END AS TINYINT) AS op FROM events),
 latest AS (SELECT key, value, ts_ms, seq, op FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts_ms DESC, seq DESC) AS rn FROM log) WHERE rn = 1),
 live AS (SELECT key, value, ts_ms FROM latest WHERE op = 1),
 tiers AS (SELECT *, CASE WHEN seq < 3000 THEN 0 WHEN seq < 6000 THEN 1 WHEN seq < 9000 THEN 2 ELSE 3 END AS tier FROM log)"""
-CATALOG = """cat AS (SELECT concat('cust:', lpad(CAST(c_custkey AS VARCHAR), 8, '0')) AS key, c_name AS value FROM customer
-UNION ALL SELECT concat('supp:', lpad(CAST(s_suppkey AS VARCHAR), 8, '0')), s_name FROM supplier
-UNION ALL SELECT concat('part:', lpad(CAST(p_partkey AS VARCHAR), 8, '0')), p_name FROM part
-UNION ALL SELECT concat('ordr:', lpad(CAST(o_orderkey AS VARCHAR), 8, '0')), o_orderpriority FROM orders)"""
+CATALOG = """cat AS (SELECT printf('cust:%08d', c_custkey) AS key, c_name AS value FROM customer
+UNION ALL SELECT printf('supp:%08d', s_suppkey), s_name FROM supplier
+UNION ALL SELECT printf('part:%08d', p_partkey), p_name FROM part
+UNION ALL SELECT printf('ordr:%08d', o_orderkey), o_orderpriority FROM orders)"""
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -88,27 +90,17 @@ def _sparse_search(spark, d):
 
 
 def _blocks(spark, d):
-    rows = L.live(events_log(spark, d)).select("key", F.octet_length("value").cast("long").alias("size"))
-    w = W.orderBy("key")
-    placed = rows.withColumn("at", F.coalesce(F.sum("size").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("i", F.row_number().over(w) - 1)
-    total = rows.agg(F.sum("size").alias("total"))
-    heads = placed.filter("i % 16 = 0").crossJoin(F.broadcast(total))  # one row
-    return heads.select("key", "at", (F.lead("at").over(w)).alias("_next"), "total").select("key", F.col("at").alias("offset"), (F.coalesce("_next", "total") - F.col("at")).alias("size"))
+    return L.index_blocks(L.live(events_log(spark, d)).select("key", F.octet_length("value").cast("long").alias("size")), 16)
 
 
 def _percentile(spark, d):
-    rows = events_log(spark, d).select(F.octet_length("value").cast("long").alias("v"))
-    n = rows.agg(F.count(F.lit(1)).alias("n"))
-    ranked = rows.withColumn("i", F.row_number().over(W.orderBy("v")) - 1).crossJoin(F.broadcast(n))  # one row
-    at = {p: F.max(F.when(F.col("i") == F.floor(F.col("n") * p / 100), F.col("v"))).alias(f"p{p}") for p in (50, 95, 99)}
-    return ranked.agg(*at.values(), F.coalesce(F.round(F.avg("v"), 6), F.lit(0.0)).alias("avg"))
+    return L.floor_percentiles(events_log(spark, d).select(F.octet_length("value").cast("long").alias("v")), "v")
 
 
 def _occ(spark, d):
-    """Keys of each hour's first commit that a later commit of the same hour wrote."""
-    log = events_log(spark, d).select("key", (F.floor(F.col("ts_ms") / 3_600_000)).alias("hour"), "seq")
-    first = log.groupBy("hour").agg(F.min("seq").alias("start"))
-    return log.join(first, "hour").filter("seq > start").select("hour", "key").join(log.join(first, "hour").filter("seq = start").select("hour", "key"), ["hour", "key"], "left_semi").distinct()
+    """Every mutation as a transaction of its hour: those whose key was written again before the hour ended."""
+    log = events_log(spark, d).select(F.floor(F.col("ts_ms") / 3_600_000).alias("hour"), "key", F.col("seq").alias("start"))
+    return L.conflicts_within(log, log.withColumnRenamed("start", "version"), ["hour"])
 
 
 def _overlay(spark, d):
@@ -147,12 +139,30 @@ def _bloom(spark, d):
     return hashing.bloom_probe(keys.unionByName(absent), held, 1000)
 
 
+def _murmur_seeds(spark, d):
+    return events_log(spark, d).select("seq", *(hashing.murmur3_column(F.col("value"), seed).alias(f"h{k}") for k, seed in enumerate((hashing.SEED_1, hashing.SEED_2))))
+
+
+def _bloom_words(spark, d):
+    return hashing.bloom_table(events_log(spark, d).select("key").distinct(), 1000)
+
+
+def _bloom_sizing(spark, d):
+    """Filter sizes for the number of mutations of every key."""
+    counts = events_log(spark, d).groupBy("key").agg(F.count(F.lit(1)).alias("n")).select("n")
+
+    def size(frames):
+        for f in frames:
+            rows = [(n, fpp, *hashing.bloom_size(n, fpp)) for n in f["n"].tolist() for fpp in (0.01, 0.001, 0.3)]
+            yield pd.DataFrame(rows, columns=["n", "fpp", "bits", "k"])
+
+    return counts.mapInPandas(size, "n long, fpp double, bits long, k int")
+
+
 def _log_frames(spark, d):
     """Every mutation as its log frame and back: what decoding gives, and the frame's bytes."""
     from collections.abc import Iterator
 
-    import pandas as pd
-
     from tidemark.sources.logfile import decode_frames, encode_frame
 
     def trip(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,16 +208,19 @@ ALL: dict = {
     "tier_stats": (_tier_stats, "SELECT CAST(tier AS INTEGER) AS tier, count(*) AS n, count(DISTINCT key) AS n_keys, min(key) AS min_key, max(key) AS max_key, CAST(sum(CASE WHEN op = 2 THEN 1 ELSE 0 END) AS BIGINT) AS tombstones FROM tiers GROUP BY 1"),
     "txn_overlay": (_overlay, """SELECT key, value, ts_ms FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts_ms DESC, seq DESC) AS rn FROM log WHERE seq % 97 <> 0) WHERE rn = 1 AND op = 1
       AND key NOT IN (SELECT key FROM log WHERE seq % 97 = 0) UNION ALL SELECT key, value, ts_ms FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM log WHERE seq % 97 = 0) WHERE rn = 1 AND op = 1"""),
-    "occ_conflicts": (_occ, "SELECT DISTINCT a.hour, a.key FROM (SELECT *, ts_ms // 3600000 AS hour, min(seq) OVER (PARTITION BY ts_ms // 3600000) AS start FROM log) a JOIN (SELECT *, ts_ms // 3600000 AS hour, min(seq) OVER (PARTITION BY ts_ms // 3600000) AS start FROM log) b ON a.hour = b.hour AND a.key = b.key WHERE a.seq > a.start AND b.seq = b.start"),
+    "occ_conflicts": (_occ, "SELECT hour, key, start FROM (SELECT ts_ms // 3600000 AS hour, key, seq AS start, max(seq) OVER (PARTITION BY ts_ms // 3600000, key) AS last FROM log) WHERE last > start"),
     "sparse_index": (_sparse, "SELECT key, i AS ordinal FROM (SELECT key, row_number() OVER (ORDER BY key) - 1 AS i FROM live) WHERE i % 16 = 0"),
     "sparse_search": (_sparse_search, "SELECT coalesce(max(key) FILTER (WHERE key <= 'user:00000100'), min(key)) AS key, 'user:00000100' AS asked FROM (SELECT key, row_number() OVER (ORDER BY key) - 1 AS i FROM live) WHERE i % 16 = 0"),
     "index_blocks": (_blocks, """SELECT key, CAST(o AS BIGINT) AS "offset", CAST(coalesce(lead(o) OVER (ORDER BY key), total) - o AS BIGINT) AS size FROM (SELECT key, coalesce(sum(strlen(value)) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o, sum(strlen(value)) OVER () AS total, row_number() OVER (ORDER BY key) - 1 AS i FROM live) WHERE i % 16 = 0"""),
     "latency_percentile": (_percentile, "SELECT max(v) FILTER (WHERE i = (n * 50) // 100) AS p50, max(v) FILTER (WHERE i = (n * 95) // 100) AS p95, max(v) FILTER (WHERE i = (n * 99) // 100) AS p99, coalesce(round(avg(v), 6), 0.0) AS avg FROM (SELECT strlen(value) AS v, row_number() OVER (ORDER BY strlen(value)) - 1 AS i, count(*) OVER () AS n FROM log)"),
     "throughput": (_throughput, "SELECT count(*) AS n, greatest(1, max(ts_ms) - min(ts_ms)) AS ms, round(count(*) * 1000.0::DOUBLE / greatest(1, max(ts_ms) - min(ts_ms)), 9) AS per_second FROM log"),
-    "padded_keys": (_padded, "SELECT concat('user:', lpad(CAST(c_custkey AS VARCHAR), 8, '0')) AS key FROM customer"),
-    "checksums": (_checksums, None),
-    "murmur_keys": (_murmur, None),
-    "bloom_probe": (_bloom, None),
+    "padded_keys": (_padded, "SELECT printf('user:%08d', c_custkey) AS key FROM customer"),
+    "checksums": (_checksums, f"SELECT seq, {SQL.crc32('value')} AS crc FROM log, {SQL.REMAINDERS}"),
+    "murmur_keys": (_murmur, f"SELECT key, CAST(CASE WHEN h >= 2147483648 THEN h::BIGINT - 4294967296 ELSE h END AS INTEGER) AS hash FROM (SELECT key, {SQL.murmur3('b', 0)} AS h FROM (SELECT key, {SQL.bytes_of('key')} AS b FROM live))"),
+    "murmur_seeds": (_murmur_seeds, f"SELECT seq, h0, h1 FROM (SELECT seq, {SQL.signed(SQL.murmur3('b', hashing.SEED_1))} AS h0, {SQL.signed(SQL.murmur3('b', hashing.SEED_2))} AS h1 FROM (SELECT seq, {SQL.bytes_of('value')} AS b FROM log))"),
+    "bloom_words": (_bloom_words, f"WITH {LOG}, p AS (SELECT unnest({SQL.bloom_places('b', *hashing.bloom_size(1000))}) AS p FROM (SELECT {SQL.bytes_of('key')} AS b FROM (SELECT DISTINCT key FROM log))) SELECT p // 64 AS word, CAST(CASE WHEN w >= 9223372036854775808 THEN w::HUGEINT - 18446744073709551616 ELSE w END AS BIGINT) AS bits FROM (SELECT p // 64 AS p64, bit_or(1::UBIGINT << (p % 64)::INTEGER) AS w, any_value(p) AS p FROM p GROUP BY p64)"),
+    "bloom_probe": (_bloom, f"WITH {LOG}, k AS (SELECT DISTINCT key FROM log), a AS (SELECT key, {SQL.bloom_places('b', *hashing.bloom_size(1000))} AS p FROM (SELECT key, {SQL.bytes_of('key')} AS b FROM (SELECT key FROM k UNION ALL SELECT 'no-' || key FROM k))), s AS (SELECT DISTINCT unnest(p) AS p FROM a WHERE NOT starts_with(key, 'no-')) SELECT a.key, bool_and(s.p IS NOT NULL) AS might_contain FROM (SELECT key, unnest(p) AS p FROM a) a LEFT JOIN s USING (p) GROUP BY a.key"),
+    "bloom_sizing": (_bloom_sizing, f"SELECT n, fpp, bits, CAST(greatest(1, least(30, floor(bits::DOUBLE / greatest(n, 1) * ln(2) + 0.5))) AS INTEGER) AS k FROM (SELECT n, fpp, CAST(ceil(greatest(64, ceil(-greatest(n, 1) * ln(fpp) / (ln(2) * ln(2)))) / 64) * 64 AS BIGINT) AS bits FROM (SELECT CAST(count(*) AS BIGINT) AS n FROM log GROUP BY key), (VALUES (0.01::DOUBLE), (0.001::DOUBLE), (0.3::DOUBLE)) f(fpp))"),
     "log_round_trip": (_log_frames, "SELECT seq, key, ts_ms, CAST(op AS INTEGER) AS op, CAST(21 + strlen(key) + CASE WHEN op = 2 THEN 0 ELSE strlen(value) END AS BIGINT) AS frame_bytes FROM log"),
 }
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.schema import DELETE, PUT
+from tidemark.functions.schema import DELETE, PUT, padded_key
 
 
 def _millis(ts: str) -> Column:
@@ -17,7 +17,7 @@ def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     op = F.when(F.col("event_type") == "error", DELETE).otherwise(PUT).cast("byte")
     return e.select(
-        F.concat(F.lit("user:"), F.lpad(F.col("user_id").cast("string"), 8, "0")).alias("key"),
+        padded_key("user:", F.col("user_id")).alias("key"),
         F.concat("event_type", F.lit("|"), "props").cast("binary").alias("value"),
         _millis("ts").alias("ts_ms"),
         F.col("event_id").alias("seq"),
@@ -36,8 +36,7 @@ def catalog_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def part(table: str, prefix: str, ident: str, value: str, ts: Column) -> DataFrame:
         t = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-        key = F.concat(F.lit(prefix), F.lpad(F.col(ident).cast("string"), 8, "0"))
-        return t.select(key.alias("key"), F.col(value).cast("binary").alias("value"), ts.alias("ts_ms"), F.col(ident).cast("long").alias("seq"), F.lit(PUT).cast("byte").alias("op"))
+        return t.select(padded_key(prefix, F.col(ident)).alias("key"), F.col(value).cast("binary").alias("value"), ts.alias("ts_ms"), F.col(ident).cast("long").alias("seq"), F.lit(PUT).cast("byte").alias("op"))
 
     never = F.lit(0).cast("long")
     out = part("customer", "cust:", "c_custkey", "c_name", never)
