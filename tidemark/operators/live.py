@@ -89,7 +89,8 @@ def numbered(rows: DataFrame, key: str = "key", size: str | None = None) -> Data
     The order is cut into ranges, one for each task, whose bounds come from a pass over the keys; rows are numbered within their
     range, and the ranges' counts and sums say where each begins. Equal keys come in any order.
     """
-    low = rows.select(key).repartitionByRange(key).groupBy(F.spark_partition_id()).agg(F.min(key).alias("low"))
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    low = rows.select(key).repartitionByRange(ranges, key).groupBy(F.spark_partition_id()).agg(F.min(key).alias("low"))
     bounds = sorted(r["low"].encode() for r in low.filter("low is not null").collect())  # a row a task
 
     @F.pandas_udf("int")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import sql as SQL
+from tidemark import store_queries
 
 from tidemark.functions import hashing
 from tidemark.functions.schema import estimated_size, is_tombstone, padded_key, text, text_or_null, type_name
@@ -226,8 +227,9 @@ ALL: dict = {
 
 
 def queries() -> dict:
-    return {name: q for name, (q, _) in ALL.items()}
+    return {name: q for name, (q, _) in ALL.items()} | store_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql if sql.startswith("WITH") else f"WITH {LOG}\n{sql}" for name, (_, sql) in ALL.items() if sql}
+    own = {name: sql if sql.startswith("WITH") else f"WITH {LOG}\n{sql}" for name, (_, sql) in ALL.items() if sql}
+    return own | store_queries.oracle_sql()
