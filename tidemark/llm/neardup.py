@@ -1,22 +1,27 @@
 """Near-duplicate documents by chosen-path set similarity join.
 
 A document is its set of distinct five-word shingles. Documents with equal sets form one class, and classes go on alone, so
-copies cost nothing more. Every class gets COORDINATES minwise tokens (the least hash of its set under as many hash functions).
+copies cost nothing more. Every class gets COORDINATES minwise tokens (the least hash of its set under as many hash functions); each
+tree has OWN of them for itself, so trees are independent.
 
 The join branches classes into trees. At a tree's root each class follows BRANCHES chosen coordinates: all classes with the same
 minwise token at a chosen coordinate meet in a node. A node of at most LEAF classes is compared exhaustively on the minwise
-tokens; a larger one branches again, along coordinates that its path's hash chooses. Nodes that are still large after DEPTH levels
-are compared exhaustively too, dealt out as pairs of blocks, so nothing is capped. TREES independent trees bring the chance of
-missing a pair at similarity 0.8 to 0.2 ** (TREES * BRANCHES) at the first level, below one in a hundred million, and to about
-5e-8 for pairs that meet in large nodes at all levels; the cut on minwise tokens (half must agree, where 0.8 is expected) adds 2e-8.
-At 0.85 these are below one in a billion, 9e-10 and 9e-12.
+tokens; a larger one branches again, along coordinates of its tree that its path's hash chooses. Branching doesn't part classes that
+are alike: a large node whose classes agree with its first one as links do, on average, is compared exhaustively where it is, and so
+is one that is still large after DEPTH levels. Both are dealt out as pairs of blocks, so nothing is capped.
 
-A node only reports which of its classes hang together. The groups this gives are then confirmed on full shingle sets: each
-group's sets meet (large groups as pairs of blocks), and 100 * |intersection| >= percent * |union| alone makes a link:
-85 percent in the query, 80 in the pipeline. Components of
-links are found by alternating large-star and small-star rounds over tables in the shared folder.
+A pair of similarity s survives a level with chance 1 - (1 - s) ** 2, and all levels with chance 1 - q, where q = (1 - s + s q) ** 2:
+0.938 for 0.8 and 0.969 for 0.85. TREES independent trees miss it with chance 6e-8 and 9e-10; the cut on minwise tokens (half must
+agree, where 0.8 is expected) adds less. Measured: see the tests, which count the pairs that are found.
 
-Words are hashed to 64 bits, and shingles from those, so sets are compared up to 64-bit collisions.
+A node only reports which of its classes hang together. The groups this gives are then confirmed on full shingle sets:
+100 * |intersection| >= percent * |union| alone makes a link: 85 percent in the query, 80 in the pipeline. A group's sets meet in
+blocks of GROUP, each set in one block. In groups of several blocks, one set of each connected part of a block then meets those of the
+other blocks. What is connected by now needs no more comparing: only sets outside a group's largest part meet all others, so
+that no link between parts is missed. Components of links are found by alternating large-star and small-star rounds over tables
+in the shared folder.
+
+Words are hashed to 64 bits, and shingles from those, so sets are compared up to 64-bit collisions; texts are looked up by 128 bits.
 
 Nulls: a null text counts as empty; empty sets are linked with nothing. A null id takes part, but names no component unless all
 ids of the component are null. Very long texts are handled whole. Repeated rows each give a row, in one component; an empty table
@@ -35,9 +40,10 @@ from tidemark.llm.common import bounded, byte_view, materialise, release, slices
 WORDS = 5
 #: Similarity in percent that links documents: in the query, whose SQL fixes it, and in the pipeline's stage.
 PERCENT, STAGE_PERCENT = 85, 80
-COORDINATES, TREES, BRANCHES, LEAF, DEPTH = 64, 6, 2, 2048, 4
-#: Minwise tokens of COORDINATES that must agree before full sets are compared; classes of a block of a large group.
-AGREE, GROUP = 32, 800
+TREES, OWN, BRANCHES, LEAF, DEPTH = 6, 12, 2, 256, 4
+COORDINATES = TREES * OWN
+#: Minwise tokens of COORDINATES that must agree before full sets are compared; classes of a block of a large node, and of a large group.
+AGREE, BLOCK_NODES, GROUP = 36, 2048, 800
 #: Bytes of text that are hashed at once.
 BLOCK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -132,8 +138,8 @@ def minwise(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, n, sig1, sig2 (of the set), sketch (a byte of each minwise token), roots (node keys of the trees)."""
-    picks = np.arange(TREES * BRANCHES)  # the roots of all trees choose different coordinates
+    """doc_id, text_key, n, sig1, sig2 (of the set), sketch (a byte of each minwise token), roots (node keys of the trees, in order)."""
+    picks = (np.arange(TREES)[:, None] * OWN + np.arange(BRANCHES)).ravel()  # the first coordinates of each tree
 
     def run(batches):
         for batch in batches:
@@ -168,11 +174,12 @@ def sketches(docs: DataFrame) -> DataFrame:
         release()
 
     rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), utf8().alias("data"))
-    return rows.mapInArrow(run, "doc_id long, text_key long, n long, sig1 long, sig2 long, sketch binary, roots array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_key binary, n long, sig1 long, sig2 long, sketch binary, roots array<long>")
 
 
 def text_key() -> Column:
-    return F.xxhash64(utf8())
+    """128 bits of a text."""
+    return F.unhex(F.md5(utf8()))
 
 
 def stars(adjacent: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,17 +255,25 @@ def _compare_nodes(batches):
 
 
 def _branch(batches):
-    """Rows of large nodes -> rows of their children, along BRANCHES coordinates that the node's key chooses."""
+    """Rows of large nodes -> rows of their children, along BRANCHES coordinates of their tree that the node's key chooses."""
     for batch in batches:
         if not len(batch):
             continue
-        key = batch.column("key").to_numpy().view(np.uint64)
+        key, tree = batch.column("key").to_numpy().view(np.uint64), batch.column("tree").to_numpy().astype(np.int64)
         held = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(len(batch), COORDINATES)
         with np.errstate(over="ignore"):
             for k in range(BRANCHES):
-                chosen = (mix(key + np.uint64(_ODD[k])) % np.uint64(COORDINATES)).astype(np.int64)
+                chosen = tree * OWN + (mix(key + np.uint64(_ODD[k])) % np.uint64(OWN)).astype(np.int64)
                 child = mix(key * np.uint64(_ODD[2]) + chosen.astype(np.uint64) * np.uint64(_ODD[3]) + held[np.arange(len(batch)), chosen].astype(np.uint64) + np.uint64(1))
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column("cid"), batch.column("sketch")], names=["key", "cid", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column("tree"), batch.column("cid"), batch.column("sketch")], names=["key", "tree", "cid", "sketch"])
+
+
+def _agreement(batches):
+    """(key, sketch, pivot) -> key, like: how many minwise tokens a class shares with its node's first one."""
+    for batch in batches:
+        if len(batch):
+            one, other = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(len(batch), COORDINATES) for k in (1, 2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((one == other).sum(axis=1).astype(np.int32))], names=["key", "like"])
 
 
 def block_pairs(rows: DataFrame, key: str, block: int, size: str = "size") -> DataFrame:
@@ -276,19 +291,29 @@ def block_pairs(rows: DataFrame, key: str, block: int, size: str = "size") -> Da
 
 def tree_links(classes: DataFrame) -> DataFrame:
     """Links (a, b) between classes that some node finds alike."""
-    nodes = classes.select(F.explode("roots").alias("key"), "cid", "sketch")
-    found = None
+
+    def compared(nodes: DataFrame, block: int) -> DataFrame:
+        dealt = block_pairs(nodes.select("key", "cid", "sketch", "size"), "key", block)
+        return dealt.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two").mapInArrow(_compare_nodes, "a long, b long")
+
+    roots = classes.select(F.posexplode("roots").alias("_p", "key"), "cid", "sketch")
+    nodes, found = roots.select("key", F.floor(F.col("_p") / BRANCHES).cast("int").alias("tree"), "cid", "sketch"), None
     for depth in range(DEPTH):
         sizes = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         nodes = materialise(nodes.join(sizes, "key"), f"nodes{depth}")
-        last = depth == DEPTH - 1
-        leaves = block_pairs(nodes if last else nodes.filter(F.col("size") <= LEAF), "key", LEAF)
-        links = leaves.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two").mapInArrow(_compare_nodes, "a long, b long")
+        links = compared(nodes.filter(F.col("size") <= LEAF), LEAF)
         found = links if found is None else found.unionByName(links)
-        large = nodes.filter(F.col("size") > LEAF).select("key", "cid", "sketch")
-        if last or large.isEmpty():
+        large = nodes.filter(F.col("size") > LEAF)
+        if large.isEmpty():
+            break
+        if depth == DEPTH - 1:
+            found = found.unionByName(compared(large, BLOCK_NODES))
             break
-        nodes = large.mapInArrow(_branch, "key long, cid long, sketch binary").dropDuplicates(["key", "cid"])
+        pivots = large.groupBy("key").agg(F.min("sketch").alias("pivot"))
+        like = large.join(pivots, "key").select("key", "sketch", "pivot").mapInArrow(_agreement, "key long, like int")
+        alike = materialise(like.groupBy("key").agg(F.avg("like").alias("like")).filter(F.col("like") >= AGREE).select("key"), "alike")
+        found = found.unionByName(compared(large.join(alike, "key", "left_semi"), BLOCK_NODES))
+        nodes = large.join(alike, "key", "left_anti").select("key", "tree", "cid", "sketch").mapInArrow(_branch, "key long, tree int, cid long, sketch binary").dropDuplicates(["key", "cid"])
     return found
 
 
@@ -299,7 +324,7 @@ def components(links: DataFrame) -> DataFrame:
         return e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
 
     edges, before = materialise(turned(links), "links"), None
-    while True:
+    while not edges.isEmpty():
         # large star: all larger neighbours of a node go to the least of its neighbourhood
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -363,6 +388,45 @@ def _confirm(percent: int):
     return run
 
 
+def confirmed(sets: DataFrame, percent: int) -> DataFrame:
+    """(grp, size, cid, hashes) -> links (a, b) on full sets that connect all that links of a group connect."""
+
+    def links(rows: DataFrame) -> DataFrame:
+        met = rows.select("grp", "one", "two", "cid", "hashes").repartition("grp", "one", "two").sortWithinPartitions("grp", "one", "two")
+        return met.mapInArrow(_confirm(percent), "a long, b long")
+
+    home = F.pmod(F.xxhash64("cid"), F.ceil(F.col("size") / GROUP)).cast("int")
+    found = materialise(links(sets.withColumns({"one": home, "two": home})), "confirmed")
+    large = sets.filter(F.col("size") > GROUP)
+    if large.isEmpty():
+        return found
+
+    def labelled() -> DataFrame:
+        label = components(found)
+        return materialise(large.join(label, F.col("cid") == F.col("node"), "left").select("grp", "size", "cid", F.coalesce("root", "cid").alias("label")), "labels")
+
+    # a connected part of a block is named by one of its sets, which stands for it
+    first = labelled().filter("cid = label").select("grp", "cid")
+    few = first.join(first.groupBy("grp").agg(F.count(F.lit(1)).alias("size")), "grp")
+    some = few.join(sets.select("cid", "hashes"), "cid").select("grp", "size", "cid", "hashes")
+    found = found.unionByName(materialise(links(block_pairs(some, "grp", GROUP)), "confirmed"))
+    label = labelled()
+    parts = label.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("n"))
+    most = parts.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("parts"), (F.sum("n") - F.max("n")).alias("others"))
+    open_ = materialise(label.join(most.filter("parts > 1"), "grp").select("grp", "size", "cid", "others", (F.col("label") == F.col("most")).alias("inside")), "open")
+    if open_.isEmpty():
+        return found
+    held = open_.join(sets.select("cid", "hashes"), "cid")
+    blocks, rest = F.ceil(F.col("size") / GROUP).cast("int"), F.ceil(F.col("others") / GROUP).cast("int")
+    # what lies outside the largest part meets that part's blocks, and all else that lies outside
+    each = F.sequence(F.lit(0), rest - 1)
+    inside = held.filter("inside").select("grp", home.alias("one"), F.explode(each).alias("two"), "cid", "hashes")
+    own = F.pmod(F.xxhash64("cid"), rest).cast("int")
+    outside = held.filter("not inside").select("grp", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("one"), own.alias("two"), "cid", "hashes")
+    among = block_pairs(held.filter("not inside").select("grp", F.col("others").alias("size"), "cid", "hashes"), "grp", GROUP)
+    return found.unionByName(links(inside.unionByName(outside))).unionByName(links(among))
+
+
 def classes_of(rows: DataFrame) -> DataFrame:
     """One row a non-empty shingle set: cid, sig1, sig2, rep (its least doc_id), text_key, sketch, roots."""
     some = rows.filter("n > 0").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("rep"), F.min("text_key").alias("text_key"), F.min("sketch").alias("sketch"), F.min("roots").alias("roots"))
@@ -377,10 +441,9 @@ def link_components(docs: DataFrame, percent: int) -> DataFrame:
     groups = near.withColumnRenamed("root", "grp")
     sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
     need = groups.join(sizes, "grp").join(classes.select(F.col("cid").alias("node"), "text_key"), "node").select("grp", "size", F.col("node").alias("cid"), "text_key")
-    texts = docs.select(text_key().alias("text_key"), utf8().alias("data")).groupBy("text_key").agg(F.first("data").alias("data"))
-    sets = need.join(texts, "text_key").select("grp", "size", "cid", "data").mapInArrow(_sets, "grp long, size long, cid long, hashes binary")
-    dealt = block_pairs(sets, "grp", GROUP).repartition("grp", "one", "two").sortWithinPartitions("grp", "one", "two")
-    exact = components(dealt.mapInArrow(_confirm(percent), "a long, b long"))
+    texts = docs.select(text_key().alias("text_key"), utf8().alias("data")).join(need.select("text_key").distinct().hint("merge"), "text_key", "left_semi").groupBy("text_key").agg(F.first("data").alias("data"))
+    sets = materialise(need.join(texts, "text_key").select("grp", "size", "cid", "data").mapInArrow(_sets, "grp long, size long, cid long, hashes binary"), "sets")
+    exact = components(confirmed(sets, percent))
     member = classes.select("cid", "sig1", "sig2", "rep").join(exact, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
     least = member.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = member.join(least, "root").select("sig1", "sig2", "component_id", "root")
