@@ -103,12 +103,20 @@ def test_perplexity_and_threshold_against_dicts(spark, monkeypatch):
     assert len({r["threshold"] for r in found}) > 20
 
 
-def test_more_kinds_of_characters_than_numbers_hold():
+@pytest.mark.parametrize("kinds", [3, 300, 0x10000])
+def test_numbers_of_grams(kinds):
     rng = np.random.default_rng(2)
-    symbols = rng.integers(0, 0x110000, 80_000).astype(np.uint32)
-    symbols[-8:] = symbols[:8]
-    grams, counts, which = quality.different(symbols, np.arange(3, len(symbols)))
-    assert (grams[which] == np.stack([symbols[k : len(symbols) - 3 + k] for k in range(4)], 1)).all() and counts.sum() == len(which) and counts.max() == 2
+    texts = ["".join(map(chr, rng.integers(0x20, 0x20 + kinds, n))).encode("utf-8", "ignore").decode() for n in (3000, 1, 9000)]
+    symbols, at = quality.symbols_of(texts)
+    grams, suffixes, ends, which = quality.orders(symbols)
+    assert len(ends) == sum(len(t) + 1 for t in texts)
+    for k, rows in enumerate(grams):
+        n = quality.ORDER - k
+        want = {tuple(symbols[e - n + 1 : e + 1].tolist()) for e in ends.tolist()}
+        assert [tuple(r) for r in rows.tolist()] == sorted(want)
+    assert (grams[0][which] == np.stack([symbols[ends - k] for k in range(quality.ORDER - 1, -1, -1)], 1)).all()
+    for k, place in enumerate(suffixes):
+        assert (grams[k + 1][place] == grams[k][:, 1:]).all()
 
 
 def test_classify(docs, rows, labels, clashing, no_docs, spark):
