@@ -23,7 +23,7 @@ Nulls: a null language goes with the model of all text; a null id is scored but
 perplexity and are rejected. Labels may repeat: a document is trusted if all its labels are good and none is toxic. Without any
 trusted text in the other fold nothing is known, and every document that has text is kept. Repeated rows each give a row; an empty
 table gives an empty result; other columns are neither read nor kept by classify and kept as they are by filter_documents. A very
-long text is a block of its own. Within a shard n-grams are told apart by 64-bit hashes.
+long text is a block of its own, which takes some 40 bytes of memory a character. Within a shard n-grams are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -46,8 +46,9 @@ ORDER, FOLDS = 4, 2
 SHARDS = {1: 1, 2: 4, 3: 16, 4: 64, 5: 256}
 #: The quantile of trusted perplexities that is still good; room above it.
 QUANTILE, MARGIN = 0.995, 1.1
-#: Characters that a task packs into blocks at once; n-grams that are merged at once.
-BLOCK, MERGED = 24 << 20, 1 << 20
+#: Characters that a task packs into blocks at once; n-grams that are merged at once; n-grams that could be, up to which they are numbered
+#: by a table and not by sorting.
+BLOCK, MERGED, DENSE = 8 << 20, 1 << 20, 1 << 24
 POOLED = ""
 #: Least discount: whatever the counts, something is left for unseen symbols.
 LEAST = 0.1
@@ -93,25 +94,29 @@ def symbols_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-def different(symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The different n-grams of the highest order that end at given places: as rows of symbols in order, their counts, and which one
-    each place has."""
-    seen = np.flatnonzero(np.bincount(symbols, minlength=1))
-    width = max(1, int(len(seen) - 1).bit_length())
-    if width * ORDER > 64:  # so many kinds of characters that n-grams fit no number
-        rows = np.stack([symbols[ends - k] for k in range(ORDER - 1, -1, -1)], 1)
-        grams, which, counts = np.unique(rows, axis=0, return_inverse=True, return_counts=True)
-        return grams, counts, which.ravel()
-    place = np.zeros(int(seen[-1]) + 1, np.uint64)
-    place[seen] = np.arange(len(seen), dtype=np.uint64)
+def ranks(symbols: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each order from 1 on: the different n-grams, as rows of symbols in order, and which one ends at each place."""
+    seen = np.flatnonzero(np.bincount(symbols))
+    place = np.zeros(int(seen[-1]) + 1, np.int32)
+    place[seen] = np.arange(len(seen), dtype=np.int32)
     code = place[symbols]
-    key = np.zeros(len(ends), np.uint64)
-    for k in range(ORDER - 1, -1, -1):
-        key = key << np.uint64(width) | code[ends - k]
-    found, which, counts = np.unique(key, return_inverse=True, return_counts=True)
-    mask = np.uint64((1 << width) - 1)
-    grams = np.stack([seen[(found >> np.uint64(width * k) & mask).astype(np.int64)] for k in range(ORDER - 1, -1, -1)], 1).astype(np.uint32)
-    return grams, counts, which
+    rows, ids = [seen[:, None].astype(np.uint32)], [code]
+    for _ in range(ORDER - 1):
+        # an n-gram is the one before its last symbol, by number, and that symbol
+        key = np.concatenate([ids[-1][:1], ids[-1][:-1]]).astype(np.int64) * len(seen) + code
+        size = len(rows[-1]) * len(seen)
+        if size <= DENSE:
+            has = np.zeros(size, bool)
+            has[key] = True
+            found = np.flatnonzero(has)
+            number = np.zeros(size, np.int32)
+            number[found] = np.arange(len(found), dtype=np.int32)
+            ids.append(number[key])
+        else:
+            found, which = np.unique(key, return_inverse=True)
+            ids.append(which.astype(np.int32))
+        rows.append(np.concatenate([rows[-1][found // len(seen)], seen[found % len(seen)][:, None].astype(np.uint32)], 1))
+    return rows, ids
 
 
 def marks(grams: np.ndarray) -> np.ndarray:
@@ -217,7 +222,7 @@ def packed_rows(m: int, grams: np.ndarray, counts: np.ndarray):
     """Rows of TABLE: n-grams and counts of a model, by shard."""
     rows = []
     for shard, part in by_shard(grams):
-        part = part[np.lexsort(grams[part].T[::-1])]
+        part = part[np.lexsort(grams[part].T[::-1])] if len(part) > 1 else part
         rows.append((m, shard, pack(grams[part]), pack(np.minimum(counts[part], 0xFFFFFFFF)[:, None])))
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(_KINDS)], names=_NAMES)
@@ -264,8 +269,11 @@ def counted(blocks: DataFrame, places: DataFrame, pooled: bool) -> DataFrame:
                 some = [texts[k] for k in places if texts[k]]
                 if not some:
                     continue
-                symbols, at = symbols_of(some)
-                grams, counts, _ = different(symbols, np.flatnonzero(symbols != START))
+                symbols, _ = symbols_of(some)
+                rows, ids = ranks(symbols)
+                counts = np.bincount(ids[-1][symbols != START], minlength=len(rows[-1]))
+                grams, counts = rows[-1][counts > 0], counts[counts > 0]
+                del symbols, rows, ids
                 for other in range(FOLDS):  # a text makes the models of the other folds
                     for name in {lang or POOLED, POOLED if pooled else lang or POOLED} if other != fold else ():
                         yield from packed_rows(model_key(name, other), grams, counts)
@@ -370,19 +378,23 @@ def requests(blocks: DataFrame, known: dict[str, int], pooled: dict[int, int]) -
 
 
 def orders(symbols: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
-    """The different n-grams of all orders from the highest down, each order's places of suffixes in the next, the places in the text
-    where n-grams end, and which one of the highest order each has."""
+    """The different n-grams of all orders from the highest down that end at a symbol, each order's places of suffixes in the next, the
+    places in the text where n-grams end, and which one of the highest order each has."""
     ends = np.flatnonzero(symbols != START)
-    grams, _, which = different(symbols, ends)
-    out, suffixes = [grams], []
-    for _ in range(ORDER - 1):
-        rows = out[-1][:, 1:]
-        _, first, place = np.unique(marks(rows), return_index=True, return_inverse=True)
-        inverse = np.lexsort(rows[first].T[::-1])  # in the order of their symbols, so that they pack well
-        rank = np.empty(len(first), np.int64)
-        rank[inverse] = np.arange(len(first))
-        out.append(rows[first[inverse]])
-        suffixes.append(rank[place])
+    rows, ids = ranks(symbols)
+    out, suffixes, above, which = [], [], None, None
+    for k in range(ORDER - 1, -1, -1):
+        mine = ids[k][ends]
+        one = np.full(len(rows[k]), -1, np.int64)  # a place where each ends
+        one[mine] = ends
+        used = one >= 0
+        number = np.cumsum(used) - 1
+        out.append(rows[k][used])
+        if above is None:
+            which = number[mine]
+        else:
+            suffixes.append(number[ids[k][above]])
+        above = one[used]
     return out, suffixes, ends, which
 
 
