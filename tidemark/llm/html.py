@@ -295,7 +295,7 @@ def compared_with(row: tuple, before: list[tuple], after: list[tuple]) -> list[L
 
 
 def _pack(page: list[Line]) -> bytes:
-    return zlib.compress("\n".join(f"{kind}{path}\t{text}" for kind, path, text in page).encode("utf-8", "replace"), 1)
+    return zlib.compress("\n".join(f"{kind}{path}\t{text}" for kind, path, text in page).encode("utf-8", "replace"), 6)
 
 
 def _unpack(data: bytes) -> list[Line]:
@@ -397,7 +397,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     )
     # bounds of ranges out of the URLs alone: one row for each task
     order = ["host", "path", "page_id"]
-    light = located.select(*order).repartitionByRange(*order).groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("host", "path", F.coalesce("page_id", F.lit(-(1 << 63))).alias("page_id"))).alias("low"))
+    ranges = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    light = located.select(*order).repartitionByRange(ranges, *order).groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("host", "path", F.coalesce("page_id", F.lit(-(1 << 63))).alias("page_id"))).alias("low"))
     bounds = sorted(tuple(r["low"]) for r in light.collect())
 
     def parse(batches):
