@@ -186,3 +186,33 @@ def test_empty_log(spark):
     assert q.count_live().first()["n"] == 0 and q.stream().count() == 0 and q.to_map(None, None) == {}
     assert q.key_bounds().first()["min_key"] is None
     assert q.log.filter(F.lit(True)).count() == 0
+
+
+def test_rows_are_numbered_across_ranges(spark):
+    import random
+
+    rng = random.Random(2)
+    names = [f"k{rng.randrange(10**6)}" for _ in range(500)] + ["same"] * 40
+    rows = [(k, rng.randrange(9)) for k in names]
+    df = spark.createDataFrame(rows, "key string, size long").repartition(7)
+    got = sorted(L.numbered(df, size="size").collect(), key=lambda r: r["ordinal"])
+    assert [r["ordinal"] for r in got] == list(range(len(rows))) and [r["key"] for r in got] == sorted(names)
+    at = 0
+    for r in got:
+        assert r["offset"] == at
+        at += r["size"]
+    blocks = sorted(L.index_blocks(df, 16).collect(), key=lambda r: r["offset"])
+    assert len(blocks) == -(-len(rows) // 16) and sum(r["size"] for r in blocks) == at
+    assert L.numbered(df.limit(0)).count() == 0
+    ordered = sorted(s for _, s in rows)
+    p = L.floor_percentiles(df, "size").first()
+    assert (p["p50"], p["p95"], p["p99"]) == tuple(ordered[len(rows) * q // 100] for q in (50, 95, 99))
+
+
+def test_conflicts_within_scopes(spark):
+    log = spark.createDataFrame([("h", "a", 1), ("h", "a", 5), ("h", "b", 2), ("i", "a", 9)], "hour string, key string, start long")
+    got = {tuple(r) for r in L.conflicts_within(log, log.withColumnRenamed("start", "version"), ["hour"]).select("hour", "key", "start").collect()}
+    assert got == {("h", "a", 1)}
+    asked = spark.createDataFrame([("a",), ("b",)], "key string")
+    commits = spark.createDataFrame([("a", 3), ("b", 1)], "key string, version long")
+    assert [r["key"] for r in L.conflicts(asked, commits, 2).collect()] == ["a"]

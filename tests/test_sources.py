@@ -159,5 +159,43 @@ def test_shell(spark, tmp_path):
         assert "rolled back" in run("rollback")
         run("del user:2")
         assert "flushed" in run("flush") and "compacted" in run("compact") and "puts" in run("stats") and "Command" in run("?")
-        assert "ops_per_second" in run("benchmark 50 50")
+        assert "ops_per_second" in run("benchmark 50 50 3") and "[ERROR]" in run("benchmark 0")
         assert shell.execute("") and not shell.execute("quit")
+
+
+def test_benchmarks(spark, tmp_path):
+    with Store(spark, str(tmp_path / "db")) as store:
+        got = cli.benchmark(store, 40, 20, 4)
+        assert got["PUT"]["operations"] == 40 and got["GET"]["p50_us"] <= got["GET"]["p99_us"] and store.stats.puts == 40
+        assert store.stats.gets == 20 and store.stats.misses == 4
+        assert cli.bulk_benchmark(store, 40, 20, 2)["GET"]["batches"] == 2
+
+
+def test_intermediates_are_cleared(spark, tmp_path):
+    from tidemark import shared
+
+    path = f"{shared.shared_dir(spark)}/some"
+    spark.range(3).write.option("path", path).saveAsTable("tidemark_some")
+    shared.written(path, "tidemark_some")
+    assert shared.clear(spark) >= 1 and not spark.catalog.tableExists("tidemark_some") and shared.clear(spark) == 0
+
+
+def test_murmur_of_many(spark):
+    import numpy as np
+
+    keys = ["", "a", "ab", "abc", "abcd", "abcde", "日本", "Hello, world!", "x" * 1000, "test", "0123456789abcdef"]
+    data = [k.encode() for k in keys]
+    for seed in (0, 1, H.SEED_1):
+        got = H.murmur3_array(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]), seed)
+        assert got.tolist() == [H.murmur3(k, seed) for k in keys]
+    df = spark.createDataFrame([(k,) for k in keys] + [(None,)], "key string")
+    got = {r["key"]: r["h"] for r in df.select("key", H.murmur3_column(df["key"]).alias("h")).collect()}
+    assert got == {k: H._signed(H.murmur3(k)) for k in keys} | {None: 0}
+
+
+def test_wide_ids_keep_their_keys(spark, tmp_path):
+    from tidemark.sources.derived import events_log
+
+    rows = [(1, 123456789, "click", "{}"), (2, 1234567890, "click", "{}"), (3, 7, "error", "{}")]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, props string").selectExpr("*", "timestamp_ntz'2024-01-01 00:00:00' as ts").write.parquet(str(tmp_path / "events.parquet"))
+    assert {r["key"] for r in events_log(spark, str(tmp_path)).collect()} == {"user:123456789", "user:1234567890", "user:00000007"}

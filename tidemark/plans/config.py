@@ -11,9 +11,9 @@ class Config:
     """All options have defaults; bad values raise ValueError at once.
 
     data_dir: root of the store. memtable_bytes: buffered bytes that cause a commit. index_interval: every n-th key in the
-    sparse index. bloom_fpp: false-positive rate of the files' Bloom filters. compaction_threshold: level-0 files that make
-    a compaction due. wal_sync: sync the log on every write. compaction_interval_ms: pause of the compaction loop.
-    max_immutable: buffers that may wait for a flush (kept for compatibility; commits here are synchronous).
+    sparse index, and rows of a Parquet page, of which there are 1024 at least. bloom_fpp: false-positive rate of the files' Bloom
+    filters. compaction_threshold: commits at level 0 that make a compaction due. wal_sync: sync the log on every write.
+    compaction_interval_ms: pause of the background thread. max_immutable: full buffers that may wait for that thread.
     target_file_bytes: size of compacted files. keep_tombstones_ms: deletions younger than this survive a purge.
     """
 

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from tidemark.errors import CorruptLogError, StorageError
 from tidemark.functions.schema import DELETE, PUT
@@ -132,7 +132,7 @@ def read_segment(path: str, allow_torn_tail: bool = True) -> list[tuple[str, byt
 
 
 def read_log(spark: SparkSession, path: str, allow_torn_tail: bool = True) -> DataFrame:
-    """All segments under a path of any Hadoop file system. place orders a segment's mutations; segments are ordered by name."""
+    """All segments under a path of any Hadoop file system, of less than 2 GB each (a store's have about memtable_bytes). place orders a segment's mutations; segments are ordered by name."""
 
     def run(batches):
         for batch in batches:
@@ -154,8 +154,10 @@ def replayed(log: DataFrame) -> DataFrame:
 
 
 class _Segment(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    """A segment, or its frames first .. last - 1."""
+
+    def __init__(self, path: str, first: int = 0, last: int | None = None):
+        self.path, self.first, self.last = path, first, last
 
 
 class _Written(WriterCommitMessage):
@@ -177,6 +179,42 @@ class _Reader(DataSourceReader):
             yield key, value, ts_ms, op, os.path.basename(partition.path), place
 
 
+class _Feed(DataSourceStreamReader):
+    """A log as a change feed: mutations in the order of segments and frames, also of the segment that is being written.
+
+    The offset names the last segment that was read and how many of its frames. Segments are named by their time, so new ones come
+    later; a segment that a store has retired before it was read is in the store's files, and no longer in the feed.
+    """
+
+    def __init__(self, options):
+        self.path = options["path"]
+
+    def _names(self) -> list[str]:
+        return sorted(f for f in os.listdir(self.path) if f.endswith(".wal")) if os.path.isdir(self.path) else []
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"segment": "", "frames": 0}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        names = self._names()
+        return {"segment": names[-1], "frames": len(read_segment(os.path.join(self.path, names[-1])))} if names else self.initialOffset()
+
+    def partitions(self, start: dict, end: dict) -> list[_Segment]:
+        out = []
+        for name in self._names():
+            if start["segment"] <= name <= end["segment"]:
+                first = start["frames"] if name == start["segment"] else 0
+                out.append(_Segment(os.path.join(self.path, name), first, end["frames"] if name == end["segment"] else None))
+        return out
+
+    def read(self, partition: _Segment):
+        if not os.path.exists(partition.path):  # retired meanwhile
+            return
+        for place, (key, value, ts_ms, op) in enumerate(read_segment(partition.path)):
+            if place >= partition.first and (partition.last is None or place < partition.last):
+                yield key, value, ts_ms, op, os.path.basename(partition.path), place
+
+
 class _Writer(DataSourceWriter):
     def __init__(self, options):
         self.path = options["path"]
@@ -204,7 +242,7 @@ class _Writer(DataSourceWriter):
 
 
 class LogDataSource(DataSource):
-    """spark.read / df.write .format("mutation_log") over a folder that driver and executors share. Options: path, allowTornTail."""
+    """spark.read / readStream / df.write .format("mutation_log") over a folder that driver and executors share. Options: path, allowTornTail."""
 
     @classmethod
     def name(cls) -> str:
@@ -216,5 +254,8 @@ class LogDataSource(DataSource):
     def reader(self, schema):
         return _Reader(self.options)
 
+    def streamReader(self, schema):  # noqa: N802
+        return _Feed(self.options)
+
     def writer(self, schema, overwrite):
         return _Writer(self.options)

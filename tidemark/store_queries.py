@@ -13,10 +13,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.cli import Shell, table, tokens
+from tidemark.cli import Shell, benchmark, table, tokens
 from tidemark.errors import ConflictError, CorruptLogError, StateError
 from tidemark.functions import hashing
-from tidemark.functions.schema import DELETE, as_bytes, op_code, op_name, padded_key, text
+from tidemark.functions.schema import DELETE, as_bytes, now_ms, op_code, op_name, padded_key, text
 from tidemark.operators.live import latest
 from tidemark.operators.predicates import Predicate as P
 from tidemark.operators.ranges import KeyRange, ScanOptions
@@ -25,9 +25,9 @@ from tidemark.plans.config import Config
 from tidemark.plans.stats import Stats, human_bytes, percentile, throughput
 from tidemark.plans.store import Store
 from tidemark.plans.txn import Isolation, TransactionManager
-from tidemark.shared import shared_dir
+from tidemark.shared import shared_dir, written
 from tidemark.sources.derived import events_log
-from tidemark.sources.logfile import LogDataSource, decode_frames, encode_frame, read_log, replayed
+from tidemark.sources.logfile import LogDataSource, LogWriter, decode_frames, encode_frame, read_log, replayed
 from tidemark.streaming.ingest import ingest, latest_by_key, windowed_counts
 
 #: customers and suppliers, then deletions of customers in debt, then new names by nation: what the store's mutations are.
@@ -42,7 +42,7 @@ QUIET = Config(wal_sync=False, compaction_threshold=100)
 
 
 def _scratch(spark: SparkSession) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/kv-{uuid.uuid4().hex}"
+    return written(f"{shared_dir(spark).rstrip('/')}/kv-{uuid.uuid4().hex}")
 
 
 def _read(spark, d, name):
@@ -500,14 +500,67 @@ def _strategy(spark, d):
     return _said(spark, [("due, but not taken", store.maybe_compact()), ("by default due", CountTiered().should_compact(store.files(0), 4)), ("not with more asked for", CountTiered().should_compact(store.files(0), 5))])
 
 
+def _fed(spark, d):
+    """The log of a store with every supplier put as a change feed, in two runs of which the second reads what was added."""
+    spark.dataSource.register(LogDataSource)
+    path = _scratch(spark)
+    name, progress = f"tidemark_{uuid.uuid4().hex}", _scratch(spark)
+    store = Store(spark, path, QUIET)
+    feed = spark.readStream.format("mutation_log").option("path", f"{store.manifests.local}/wal")
+    kept = _scratch(spark)
+    for half in (0, 1):
+        for r in _read(spark, d, "supplier").orderBy("s_suppkey").toLocalIterator():
+            if r["s_suppkey"] % 2 == half:
+                store.put(f"supp:{r['s_suppkey']:08d}", r["s_name"])
+        store._log.sync()
+        feed.load().writeStream.format("parquet").queryName(name).option("path", kept).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(kept).select("key", text().alias("value"), F.col("place").cast("long").alias("place"))
+
+
+def _benchmarked(spark, d):
+    """As many puts and gets as there are suppliers, by four threads: what was counted."""
+    n = _read(spark, d, "supplier").count()
+    with Store(spark, _scratch(spark), QUIET) as store:
+        found = benchmark(store, n, n, 4)
+        rows = [(name, r["operations"], r["p50_us"] <= r["p95_us"] <= r["p99_us"], r["avg_us"] > 0) for name, r in found.items()]
+        return spark.createDataFrame([*rows, ("misses", store.stats.misses, True, True)], "name string, n long, ordered boolean, timed boolean")
+
+
+def _scan_order(spark, d):
+    """Each key of the whole store, scanned in order, with the one before it in the driver's order of arrival."""
+    keys = [r["key"] for r in _shop(spark, d).scan().toLocalIterator()]
+    return spark.createDataFrame([(k, i, i == 0 or keys[i - 1] < k) for i, k in enumerate(keys)], "key string, n long, rising boolean")
+
+
+def _clock(spark, d):
+    """Puts are stamped with the time at which they come."""
+    store = Store(spark, _scratch(spark), QUIET)
+    before = now_ms()
+    for r in _read(spark, d, "region").collect():
+        store.put(r["r_name"], "x")
+    after = now_ms()
+    return store.buffered().select("key", F.col("ts_ms").between(before, after).alias("in_time"))
+
+
+def _segments(spark, d):
+    """Segments of an earlier process are replayed in the order of their names, whatever order they were made in."""
+    path = _scratch(spark)
+    store = Store(spark, path, QUIET)
+    for name in ("b", "a", "c"):
+        w = LogWriter(f"{store.manifests.local}/wal/{name}.wal", False)
+        for r in _read(spark, d, "nation").collect():
+            w.append(r["n_name"], f"{name}{r['n_nationkey']}".encode(), 5, 1)
+        w.close()
+    with Store(spark, path, QUIET) as again:
+        return _pairs(again.live())
+
+
 # -- streams ---------------------------------------------------------------------------------------------------------------
 
 
 def _stream(spark, d) -> DataFrame:
-    rows = _read(spark, d, "events")
     path = _scratch(spark) + "/events"
     events_log(spark, d).repartition(3).write.parquet(path)
-    del rows
     return spark.readStream.schema("key string, value binary, ts_ms long, seq long, op tinyint").option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -598,7 +651,12 @@ ALL: dict = {
     "kv_human_bytes": (_human, HUMAN),
     "kv_latencies": (_latencies, LATENCIES),
     "kv_nulls": (_nulls, _lines([("put", ""), ("copy", "abc"), ("append", ""), ("text", "é"), ("as bytes", b""), ("live", 4)])),
+    "kv_benchmark": (_benchmarked, "WITH s AS (SELECT count(*) AS n FROM supplier) SELECT name, CAST(n AS BIGINT) AS n, true AS ordered, true AS timed FROM (SELECT 'PUT' AS name, n FROM s UNION ALL SELECT 'GET', n FROM s UNION ALL SELECT 'misses', n // 5 FROM s)"),
+    "kv_scan_order": (_scan_order, "SELECT key, row_number() OVER (ORDER BY key) - 1 AS n, true AS rising FROM live"),
+    "kv_clock": (_clock, "WITH r AS (SELECT r_name AS key FROM region) SELECT key, true AS in_time FROM r"),
+    "kv_segments": (_segments, "WITH n AS (SELECT n_name AS key, 'c' || n_nationkey AS value FROM nation) SELECT key, value FROM n"),
     "kv_ingested": (_ingested, f"WITH {_EVENTS} SELECT key, max(ts_ms) AS ts_ms FROM log GROUP BY key"),
+    "kv_change_feed": (_fed, "SELECT printf('supp:%08d', s_suppkey) AS key, s_name AS value, row_number() OVER (ORDER BY s_suppkey % 2, s_suppkey) - 1 AS place FROM supplier"),
     "kv_stream_latest": (_stream_latest, f"WITH {_EVENTS} SELECT key, ts_ms, op = 1 AS is_live FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts_ms DESC, seq DESC) AS rn FROM log) WHERE rn = 1"),
     "kv_stream_windows": (_stream_windows, f"WITH {_EVENTS} SELECT count(*) AS n, CAST(sum(CASE WHEN op = 2 THEN 1 ELSE 0 END) AS BIGINT) AS tombstones, count(DISTINCT ts_ms // 3600000) AS windows FROM log"),
 }
