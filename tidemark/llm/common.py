@@ -6,13 +6,14 @@ import contextlib
 import ctypes
 import gc
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.shared import shared_dir
+from tidemark.shared import clear, paths, shared_dir, written
 
 #: Rows of an Arrow batch.
 BATCH = 1000
@@ -23,11 +24,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write df as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    The folder stays, since what is returned reads from it: settled deletes those on the way to a stored result, and
+    tidemark.shared.clear all of them once results are consumed.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = written(f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def settled(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """What make gives, stored; all that was stored on the way is deleted. Nothing refers to that any more, lost executors or not."""
+    before = paths()
+    out = materialise(make(), label)
+    clear(out.sparkSession, [out.stored_at], before)
+    return out
+
+
+def bucketed(df: DataFrame, label: str, *columns: str, sort: bool = False) -> DataFrame:
+    """df as a table of the shared folder, bucketed by columns as joins and groups in this session are dealt: those need no exchange of it."""
+    spark = df.sparkSession
+    name = f"tidemark_{label}_{uuid.uuid4().hex}"
+    path = written(f"{shared_dir(spark).rstrip('/')}/{name}", name)
+    writer = df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *columns)
+    (writer.sortBy(*columns) if sort else writer).option("path", path).option("compression", "none").saveAsTable(name)
+    return spark.table(name)
 
 
 def bounded(df: DataFrame) -> DataFrame:

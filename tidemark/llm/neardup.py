@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded, byte_view, materialise, release, slices, utf8
+from tidemark.llm.common import bounded, byte_view, materialise, release, settled, slices, utf8
 
 WORDS = 5
 #: Similarity in percent that links documents: in the query, whose SQL fixes it, and in the pipeline's stage.
@@ -435,6 +435,10 @@ def classes_of(rows: DataFrame) -> DataFrame:
 
 def link_components(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id, root (names the component; null for empty sets): one row for each document."""
+    return settled(lambda: _linked(docs, percent), "components")
+
+
+def _linked(docs: DataFrame, percent: int) -> DataFrame:
     rows = materialise(sketches(docs), "sketches")
     classes = classes_of(rows)
     near = components(tree_links(classes))

@@ -29,7 +29,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import BLOCK, default_vocabulary, held_coder, spread
-from tidemark.llm.common import bounded, byte_view, release, shared_dir, slices, utf8
+from tidemark.llm.common import bounded, byte_view, release, slices, utf8
+from tidemark.shared import shared_dir, written
 
 #: Tokens of a sequence, sequences of a shard, the permutation's key.
 LENGTH, PER_SHARD, KEY = 1024, 4096, 20260101
@@ -258,7 +259,7 @@ def shard_records(stored: DataFrame) -> DataFrame:
 def document_order(docs: DataFrame) -> DataFrame:
     """All sequences in training order, written as shards into the shared folder, and the records as they are read back."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/order-{uuid.uuid4().hex}"
+    path = written(f"{shared_dir(spark).rstrip('/')}/order-{uuid.uuid4().hex}")
     write_shards(docs, path)
     # a shard is a row of PER_SHARD records: few go to Python at once
     kinds = "shard long, first_slot long, n_sequences long, stride long, sha256 string, payload binary, doc_ids array<long>, seq_nos array<long>"

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded, materialise, release, shared_dir
+from tidemark.llm.common import bounded, bucketed, materialise, release, settled
 from tidemark.llm.neardup import mix
 
 ORDER, FOLDS = 4, 2
@@ -165,7 +165,6 @@ def by_shard(grams: np.ndarray):
 
 def stored_blocks(docs: DataFrame) -> DataFrame:
     """All documents as blocks: block, lang, fold, ids, docs (keys), packed (their texts), bucketed by block."""
-    spark = docs.sparkSession
     kinds = [pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
     names = ["block", "lang", "fold", "ids", "docs", "packed"]
 
@@ -192,10 +191,7 @@ def stored_blocks(docs: DataFrame) -> DataFrame:
 
     rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), document_key().alias("doc"), fold_of().alias("fold"))
     blocks = rows.mapInArrow(run, "block long, lang string, fold int, ids array<long>, docs array<long>, packed binary")
-    name = f"tidemark_blocks_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks.write.bucketBy(buckets, "block").option("path", f"{shared_dir(spark).rstrip('/')}/{name}").option("compression", "none").saveAsTable(name)
-    return spark.table(name)
+    return bucketed(blocks, "blocks", "block")
 
 
 def texts_of(packed: bytes, n: int) -> list[str]:
@@ -494,7 +490,7 @@ def limits(scores: DataFrame, trusted: DataFrame) -> DataFrame:
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, n_symbols, perplexity, threshold, kept, doc: one row for each document."""
     trusted = materialise(trusted_ids(labels), "trusted")
-    scores = materialise(perplexities(docs, trusted), "scores")
+    scores = settled(lambda: perplexities(docs, trusted), "scores")
     at = materialise(limits(scores, trusted), "limits")
     every = [r["threshold"] for r in at.filter("model is null").collect()]  # one number
     # a row a language
