@@ -22,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": search.TOP_K_SQL, "op3_sharding": sharding.SHARDS_SQL, "op5_html": html.ARTICLES_SQL, "op7_mixing": mixing.MIX_SQL, "op8_neardup": neardup.COMPONENTS_SQL}
+    return {"op2_topk": search.TOP_K_SQL, "op3_sharding": sharding.SHARDS_SQL, "op5_html": html.ARTICLES_SQL, "op6_repeats": repeats.REPEATS_SQL, "op7_mixing": mixing.MIX_SQL, "op8_neardup": neardup.COMPONENTS_SQL}

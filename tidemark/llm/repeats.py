@@ -9,9 +9,10 @@ together, and suffix arrays then tell exactly which strings are equal:
    with the same anchor place form one run.
 3. Runs meet by anchor hash. Runs whose bytes are all equal repeat as a whole. Where an anchor has several different runs, one of each
    kind goes on; runs that stand alone are done.
-4. The windows of those runs are dealt into classes of CLASS neighbours. Within a class, all windows of a run share a core, and only
-   the few bytes to the left and right of it tell the windows apart. Runs with equal cores give their flanks, around a mark that
-   stands for the core, to one suffix array; neighbours in it that agree on CLASS symbols are equal windows.
+4. The bytes of those runs are joined to one text for each few anchors, with a mark in place of each anchor string, and the suffix
+   array of that text is built: windows that are neighbours in it and agree on all their symbols are equal.
+5. An anchor of more than HOT runs (a passage that very many texts share, with different surroundings) would be one task's work. Its runs'
+   windows are dealt by 128 bits of their bytes instead, counted where they are made and again where they meet.
 
 The suffix array is built by grouping (phase 1: suffix groups in descending order; each group's members look up their previous
 smaller suffix, and those move to new groups; phase 2: ranks are emitted group by group along the same pointers), in linear time
@@ -27,7 +28,6 @@ are neither read nor kept by document_repeats, and kept as they are by remove_re
 from __future__ import annotations
 
 import hashlib
-import uuid
 import zlib
 
 import numpy as np
@@ -36,32 +36,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded, materialise, release, shared_dir, utf8
-from tidemark.llm.neardup import _groups, mix, powers, prefix_hash
+from tidemark.llm.common import bounded, bucketed, materialise, release, settled, utf8
+from tidemark.llm.neardup import mix, powers, prefix_hash
 
-WINDOW, ANCHOR, CLASS = 200, 72, 8
+WINDOW, ANCHOR = 200, 72
 BLOCK = 1 << 20
-#: Windows that are compared by one suffix array, about.
-ROWS = 20_000
+#: Bytes that are joined for one suffix array, about; runs of an anchor above which its windows are dealt by their bytes.
+JOINED, HOT = 1 << 17, 4096
 
 
 def suffix_array(symbols: list[int]) -> list[int]:
     """Start places of the suffixes in ascending order. The symbols are positive; an end smaller than all is understood."""
     text = [*symbols, 0]
     n = len(text)
-    group = text[:]  # first groups: by first symbol
-    members: dict[int, list[int]] = {}
-    for i, c in enumerate(text):
-        members.setdefault(c, []).append(i)
-    ids = sorted(members)
-    above = dict(zip(ids, [*ids[1:], -1], strict=True))
-    below = dict(zip(ids, [-1, *ids[:-1]], strict=True))
-    fresh, at = ids[-1] + 1, ids[-1]
+    kinds = {c: k for k, c in enumerate(sorted(set(text)))}
+    group = [kinds[c] for c in text]  # first groups: by first symbol
+    members: list[list[int]] = [[] for _ in kinds]
+    for i, g in enumerate(group):
+        members[g].append(i)
+    size = list(map(len, members))  # members that haven't moved on
+    above, below = [*range(1, len(members)), -1], [*range(-1, len(members) - 1)]
+    at = len(members) - 1
     free = list(range(n + 1))  # free[i + 1] leads to the nearest place up to i whose group isn't handled yet; 0 stands for none
     smaller = [-1] * n
     final: list[list[int]] = []
+
+    def rise(some: list[int], old: int) -> None:
+        """Members of a group move to a new one right above it; if they are all that it has left, they are above it already."""
+        if len(some) == size[old]:
+            return
+        size[old] -= len(some)
+        new, up = len(members), above[old]
+        members.append(some)
+        size.append(len(some))
+        above[old] = new
+        above.append(up)
+        below.append(old)
+        if up >= 0:
+            below[up] = new
+        for p in some:
+            group[p] = new
+
     while at != -1:
-        own = [i for i in members[at] if group[i] == at]
+        own = members[at]
+        if len(own) != size[at]:
+            own = [i for i in own if group[i] == at]
         for i in own:
             free[i + 1] = i
         hits: dict[int, int] = {}
@@ -73,17 +92,16 @@ def suffix_array(symbols: list[int]) -> list[int]:
             if x:
                 smaller[i] = x - 1
                 hits[x - 1] = hits.get(x - 1, 0) + 1
-        # pointed-at suffixes rise right above their group, those with more pointers higher
-        parts: dict[tuple[int, int], list[int]] = {}
-        for p, c in hits.items():
-            parts.setdefault((c, group[p]), []).append(p)
-        for (_, old), some in sorted(parts.items(), key=lambda x: -x[0][0]):
-            members[fresh] = some
-            for p in some:
-                group[p] = fresh
-            up = above[old]
-            above[old], below[fresh], above[fresh], below[up] = fresh, old, up, fresh
-            fresh += 1
+        if len(hits) == 1:
+            p = next(iter(hits))
+            rise([p], group[p])
+        elif hits:
+            # pointed-at suffixes rise right above their group, those with more pointers higher
+            parts: dict[tuple[int, int], list[int]] = {}
+            for p, c in hits.items():
+                parts.setdefault((c, group[p]), []).append(p)
+            for (_, old), some in sorted(parts.items(), key=lambda x: -x[0][0]):
+                rise(some, old)
         if own:
             final.append(own)
         at = below[at]
@@ -137,63 +155,38 @@ def anchored_runs(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...
         return row[new], first - offsets[:-1][row[new]], count, own - first, h[own], content
 
 
-def repeated_windows(anchor: np.ndarray, bits: list[bytes], count: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(run, window in the run) of the windows that equal a window of another of the runs.
+def repeated_windows(bits: list[bytes], count: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(run, window in the run) of the windows that equal a window of another of the runs, or another of the same.
 
-    bits: a run's bytes without its anchor string. Runs with different anchors don't meet.
+    bits: the runs' bytes; a run's anchor string lies distance bytes from its begin.
     """
-    with np.errstate(over="ignore"):
-        data = np.frombuffer(b"".join(bits), np.uint8)
-        ends = np.cumsum([len(b) for b in bits])
-        base = ends - np.array([len(b) for b in bits])
-        p = prefix_hash(data)
-        back = powers(max(1 << 16, 1 << len(data).bit_length()))[1]
-        # a window lies i bytes before its anchor; class c has those with i in CLASS * c .. CLASS * c + CLASS - 1
-        high, lowest = distance, distance - count + 1
-        c0 = lowest // CLASS
-        n = high // CLASS - c0 + 1
-        run = np.repeat(np.arange(len(count)), n)
-        c = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n) + c0[run]
-        mark = base[run] + distance[run]  # the anchor's place in data
-        a, b = mark - CLASS * c, mark + (WINDOW - ANCHOR) - CLASS * c - (CLASS - 1)
-        core = mix((p[b] - p[a]) * back[a]) ^ mix(anchor[run] + c.astype(np.uint64))
-    kinds, group, many = np.unique(core, return_inverse=True, return_counts=True)
-    keep = np.flatnonzero(many[group] > 1)
-    keep = keep[np.argsort(group[keep], kind="stable")]
-    out_run, out_window = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    kinds: dict[bytes, int] = {}
+    text, start = [], np.zeros(len(bits), np.int64)
     at = 0
-    while at < len(keep):
-        upto = min(at + ROWS, len(keep))
-        while upto < len(keep) and group[keep[upto]] == group[keep[upto - 1]]:
-            upto += 1
-        k = keep[at:upto]
-        at = upto
-        left = np.minimum(high[run[k]] - CLASS * c[k], CLASS - 1)
-        right = CLASS - 1 - np.maximum(lowest[run[k]] - CLASS * c[k], 0)
-        step = np.arange(-(CLASS - 1), CLASS + 1)
-        inside = (step >= -left[:, None]) & (step <= right[:, None] + 1)
-        source = np.where(step < 0, a[k][:, None] + step, b[k][:, None] + step - 1)
-        symbol = data[np.clip(source, 0, len(data) - 1)].astype(np.int64) + 2
-        symbol[:, CLASS - 1] = 258 + np.unique(group[k], return_inverse=True)[1]
-        symbol = np.where(step == (right + 1)[:, None], 1, symbol)  # the end of a run's flanks
-        flat = symbol[inside]
-        order = np.array(suffix_array(flat.tolist()), np.int64)
-        padded = np.concatenate([flat, np.zeros(CLASS, np.int64)])
-        same = np.ones(len(order) - 1, bool)
-        for t in range(CLASS):
-            same &= padded[order[1:] + t] == padded[order[:-1] + t]
-        hit = np.zeros(len(flat), bool)
-        hit[order[1:][same]] = True
-        hit[order[:-1][same]] = True
-        found = np.zeros(inside.shape, bool)
-        found[inside] = hit
-        # a window starts j places left of the mark and needs CLASS - 1 - j to its right
-        j = np.arange(CLASS - 1, -1, -1)
-        found = found[:, :CLASS] & (j <= left[:, None]) & (CLASS - 1 - j <= right[:, None])
-        which, column = np.nonzero(found)
-        out_run.append(run[k][which])
-        out_window.append(high[run[k][which]] - (CLASS * c[k][which] + j[column]))
-    return np.concatenate(out_run), np.concatenate(out_window)
+    for k, (run, d) in enumerate(zip(bits, distance.tolist(), strict=True)):
+        mark = kinds.setdefault(run[d : d + ANCHOR], 258 + len(kinds))
+        whole = np.frombuffer(run, np.uint8).astype(np.int32) + 2
+        text += [whole[:d], np.array([mark], np.int32), whole[d + ANCHOR :], np.ones(1, np.int32)]  # 1 ends a run
+        start[k] = at
+        at += len(run) - ANCHOR + 2
+    flat = np.concatenate(text)
+    first = np.zeros(len(flat), bool)  # where windows start
+    run = np.repeat(np.arange(len(bits)), count)
+    place = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+    first[start[run] + place] = True
+    order = np.array(suffix_array(flat.tolist()), np.int64)
+    order = order[first[order]]
+    width = WINDOW - ANCHOR + 1
+    same = np.zeros(len(order) - 1, bool)
+    held = np.lib.stride_tricks.sliding_window_view(np.concatenate([flat, np.zeros(width, np.int32)]), width)
+    for a in range(0, len(same), 1 << 14):
+        part = order[a : a + (1 << 14) + 1]
+        same[a : a + (1 << 14)] = (held[part[1:]] == held[part[:-1]]).all(axis=1)
+    hit = np.zeros(len(flat), bool)
+    hit[order[1:][same]] = True
+    hit[order[:-1][same]] = True
+    found = np.flatnonzero(hit[start[run] + place])
+    return run[found], place[found]
 
 
 def covered(size: int, first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -210,7 +203,6 @@ def text_keys() -> list[Column]:
 
 def stored_texts(docs: DataFrame) -> DataFrame:
     """Different texts with their number of copies, bucketed by key: k1, k2, packed, copies."""
-    spark = docs.sparkSession
 
     def pack(batches):
         for batch in batches:
@@ -219,10 +211,7 @@ def stored_texts(docs: DataFrame) -> DataFrame:
 
     rows = bounded(docs).select(*text_keys(), utf8().alias("data")).mapInArrow(pack, "k1 long, k2 long, packed binary")
     texts = rows.groupBy("k1", "k2").agg(F.first("packed").alias("packed"), F.count(F.lit(1)).alias("copies"))
-    name = f"tidemark_texts_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts.write.bucketBy(buckets, "k1", "k2").sortBy("k1", "k2").option("path", f"{shared_dir(spark).rstrip('/')}/{name}").option("compression", "none").saveAsTable(name)
-    return spark.table(name)
+    return bucketed(texts, "texts", "k1", "k2", sort=True)
 
 
 def _blocks(batch: pa.RecordBatch):
@@ -268,50 +257,75 @@ def _runs(batches):
 
 
 def _bits(batches):
-    """(k1, k2, packed, wanted [(anchor, shape)]) -> each wanted run with its bytes less the anchor string."""
+    """(k1, k2, packed, wanted [(anchor, shape)]) -> each wanted run with its bytes."""
+    names = ["anchor", "shape", "bits", "k1", "k2"]
     for batch in batches:
-        k1, k2, anchors, shapes, bits = [], [], [], [], []
+        held, size = [], 0
         for a, b, packed, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             text = zlib.decompress(packed)
             for w in wanted:
-                first, count, distance = w["shape"] >> 16, w["shape"] >> 8 & 255, w["shape"] & 255
-                k1.append(a)
-                k2.append(b)
-                anchors.append(w["anchor"])
-                shapes.append(w["shape"])
-                bits.append(text[first : first + distance] + text[first + distance + ANCHOR : first + count - 1 + WINDOW])
-        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (k1, k2, anchors, shapes)), pa.array(bits, pa.binary())], names=["k1", "k2", "anchor", "shape", "bits"])
+                first, count = w["shape"] >> 16, w["shape"] >> 8 & 255
+                held.append((w["anchor"], w["shape"], text[first : first + count - 1 + WINDOW], a, b))
+                size += len(held[-1][2])
+                if size > BLOCK:
+                    yield _batch(held, names)
+                    held, size = [], 0
+        yield _batch(held, names)
+
+
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = [pa.binary() if n == "bits" else pa.int64() for n in names]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
 
 def _compare(batches):
     """Runs sorted by anchor -> (k1, k2, first, n): repeated windows."""
 
-    def flush(tables):
-        held = pa.concat_tables(tables)
-        shape = held.column("shape").to_numpy()
-        run, window = repeated_windows(held.column("anchor").to_numpy().view(np.uint64), held.column("bits").to_pylist(), shape >> 8 & 255, shape & 255)
-        order = np.lexsort((window, run))
-        run, window = run[order], window[order]
+    def flush(rows):
+        shape = np.array([r[1] for r in rows], np.int64)
+        run, window = repeated_windows([r[2] for r in rows], shape >> 8 & 255, shape & 255)
         new = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (window[1:] != window[:-1] + 1)])) if len(run) else np.zeros(0, np.int64)
-        n = np.diff(np.append(new, len(run)))
-        own = run[new]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(held.column("k1").to_numpy()[own]), pa.array(held.column("k2").to_numpy()[own]), pa.array((shape[own] >> 16) + window[new]), pa.array(n.astype(np.int64))],
-            names=["k1", "k2", "first", "n"],
-        )
-
-    tables, size = [], 0
-    for group in _groups(batches, 1):
-        tables.append(group)
-        size += len(group)
-        if size > ROWS:
-            yield flush(tables)
-            tables, size = [], 0
-    if tables:
-        yield flush(tables)
+        n, own = np.diff(np.append(new, len(run))), run[new]
+        keys = [np.array([rows[k][c] for k in own.tolist()], np.int64) for c in (3, 4)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (*keys, (shape[own] >> 16) + window[new], n.astype(np.int64))], names=["k1", "k2", "first", "n"])
+
+    held, size = [], 0
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if size > JOINED and row[0] != held[-1][0]:  # an anchor's runs stay together: HOT of them at most
+                yield flush(held)
+                held, size = [], 0
+            held.append(row)
+            size += len(row[2])
+    if held:
+        yield flush(held)
     release()
 
 
+def _windows(batches):
+    """Runs -> (h1, h2, k1, k2, place) of all their windows."""
+    for batch in batches:
+        for a in range(0, len(batch), 256):
+            part = batch.slice(a, 256)
+            bits = part.column(2).to_pylist()
+            if not bits:
+                continue
+            shape = part.column(1).to_numpy()
+            buf = np.frombuffer(b"".join(bits), np.uint8)
+            base = np.cumsum([0, *map(len, bits)])[:-1]
+            count = shape >> 8 & 255
+            run = np.repeat(np.arange(len(bits)), count)
+            place = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+            at = base[run] + place
+            with np.errstate(over="ignore"):
+                cols = []
+                for turned in (buf, buf ^ np.uint8(0xA5)):
+                    p = prefix_hash(turned)
+                    cols.append(mix((p[at + WINDOW] - p[at]) * powers(max(1 << 16, 1 << len(buf).bit_length()))[1][at]).view(np.int64))
+            own = pa.array(run)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), part.column(3).take(own), part.column(4).take(own), pa.array((shape[run] >> 16) + place)], names=["h1", "h2", "k1", "k2", "place"])
+
+
 def repeated(texts: DataFrame) -> DataFrame:
     """(k1, k2, first, n): runs of repeated windows in the different texts."""
     runs = texts.select("k1", "k2", "packed").mapInArrow(_runs, "k1 long, k2 long, route long, content long, shape long, copies long")
@@ -322,13 +336,25 @@ def repeated(texts: DataFrame) -> DataFrame:
         F.sum("copies").over(kind).alias("same"),
         F.row_number().over(kind.orderBy("k1", "k2", "shape")).alias("nth"),
         (F.min("content").over(by) != F.max("content").over(by)).alias("mixed"),
+        (F.count(F.lit(1)).over(by) > HOT).alias("hot"),
     )
     met = materialise(met.filter("known or same > 1 or mixed"), "runs")
     whole = met.filter("known or same > 1").select("k1", "k2", F.shiftright("shape", 16).alias("first"), F.shiftright("shape", 8).bitwiseAND(255).alias("n"))
-    wanted = met.filter("not known and mixed and nth = 1").groupBy("k1", "k2").agg(F.collect_list(F.struct(F.col("route").alias("anchor"), "shape")).alias("wanted"))
-    bits = texts.join(wanted, ["k1", "k2"]).select("k1", "k2", "packed", "wanted").mapInArrow(_bits, "k1 long, k2 long, anchor long, shape long, bits binary")
-    apart = bits.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "shape", "bits", "k1", "k2")
-    return whole.unionByName(apart.mapInArrow(_compare, "k1 long, k2 long, first long, n long"))
+    # of one text: no more than its length / (WINDOW - ANCHOR)
+    wanted = met.filter("not known and mixed and nth = 1").groupBy("hot", "k1", "k2").agg(F.collect_list(F.struct(F.col("route").alias("anchor"), "shape")).alias("wanted"))
+
+    def bits(hot: bool) -> DataFrame:
+        some = wanted.filter("hot" if hot else "not hot").drop("hot")
+        return texts.join(some, ["k1", "k2"]).select("k1", "k2", "packed", "wanted").mapInArrow(_bits, "anchor long, shape long, bits binary, k1 long, k2 long")
+
+    apart = bits(False).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare, "k1 long, k2 long, first long, n long")
+    found = whole.unionByName(apart)
+    if wanted.filter("hot").isEmpty():
+        return found
+    # a window that very many runs have is counted where it is made; the join splits what is skewed
+    windows = materialise(bits(True).mapInArrow(_windows, "h1 long, h2 long, k1 long, k2 long, place long"), "windows")
+    often = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("h1", "h2")
+    return found.unionByName(windows.join(often.hint("merge"), ["h1", "h2"]).select("k1", "k2", F.col("place").alias("first"), F.lit(1).cast("long").alias("n")))
 
 
 def _cut(keep_text: bool):
@@ -353,6 +379,10 @@ def _cut(keep_text: bool):
 
 def cut_texts(docs: DataFrame, keep_text: bool) -> DataFrame:
     """k1, k2, n_bytes, n_removed, n_spans, kept (the remaining bytes, packed, or their SHA-256) of every different text."""
+    return settled(lambda: _cut_texts(docs, keep_text), "cut")
+
+
+def _cut_texts(docs: DataFrame, keep_text: bool) -> DataFrame:
     texts = stored_texts(docs)
     found = repeated(texts).groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "n")).alias("found"))  # within one text
     return texts.join(found, ["k1", "k2"], "left").select("k1", "k2", "packed", "copies", "found").mapInArrow(_cut(keep_text), "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept binary")
@@ -385,3 +415,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     slim = docs.select(F.struct(*(F.lit("").alias(c) if c == "text" else F.col(c) for c in docs.columns)).alias("row"), *text_keys())
     kept = slim.join(cut, ["k1", "k2"])
     return kept.select("row.*", F.col("kept").alias("_kept")).mapInArrow(unpack, schema)
+
+
+#: The same as SQL: all windows by their MD5. Texts are cut into overlapping parts first, since taking a part of a long text is slow.
+REPEATS_SQL = """
+WITH d AS (SELECT row_number() OVER () AS id, CAST(doc_id AS BIGINT) AS doc_id, coalesce(text, '') AS text FROM documents),
+h AS (SELECT id, doc_id, strlen(text) AS n, hex(encode(text)) AS x, sha256(text) AS whole FROM d),
+c AS (SELECT id, 1000 * k AS base, substr(x, 2000 * k + 1, 2398) AS y FROM (SELECT id, x, unnest(range(0, (n - 200) // 1000 + 1)) AS k FROM h WHERE n >= 200)),
+w AS (SELECT id, base + i AS p, md5(substr(y, 2 * i + 1, 400)) AS m FROM (SELECT id, base, y, unnest(range(0, strlen(y) // 2 - 199)) AS i FROM c)),
+r AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
+s AS (SELECT id, p, CASE WHEN p - lag(p) OVER (PARTITION BY id ORDER BY p) <= 200 THEN 0 ELSE 1 END AS fresh FROM w JOIN r USING (m)),
+i AS (SELECT id, p, sum(fresh) OVER (PARTITION BY id ORDER BY p) AS span FROM s),
+e AS (SELECT id, min(p) AS a, max(p) + 200 AS b FROM i GROUP BY id, span),
+g AS (SELECT id, sum(b - a) AS gone, count(*) AS spans FROM e GROUP BY id),
+k AS (SELECT id, coalesce(lag(b) OVER (PARTITION BY id ORDER BY a), 0) AS u, a AS v FROM e UNION ALL SELECT id, max(b), any_value(n) FROM e JOIN h USING (id) GROUP BY id),
+t AS (SELECT k.id, sha256(unhex(string_agg(substr(x, 2 * u + 1, 2 * (v - u)), '' ORDER BY u))) AS kept FROM k JOIN h USING (id) GROUP BY k.id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, coalesce(kept, whole) AS kept_sha256 FROM h LEFT JOIN g USING (id) LEFT JOIN t USING (id)
+"""
