@@ -11,7 +11,7 @@ import pytest
 
 import corpus_pipeline
 from tests.llm.conftest import DOCS, prose, same_rows
-from tidemark.llm import html, mixing, neardup, quality, repeats, search
+from tidemark.llm import bpe, html, mixing, neardup, quality, repeats, search
 
 
 def brute_model(texts):
@@ -183,10 +183,37 @@ def test_large_groups_lose_no_link(spark, monkeypatch):
             for _ in range(rng.randrange(0, 4)):
                 own[rng.randrange(len(own))] = prose(rng, 1)
             rows.append((len(rows) + 1000 * b, " ".join(own), "en", "s", 0))
-    for name, value in (("LEAF", 16), ("GROUP", 32), ("DEPTH", 3)):
-        monkeypatch.setattr(neardup, name, value)
+    # a chain, each text near the next only, and texts that share much with one group but link with nothing
+    chain = prose(rng, 200).split()
+    for k in range(60):
+        for place in range(4):
+            chain[(7 * k + 50 * place) % 200] = f"c{k}{place}"
+        rows.append((9000 + k, " ".join(chain), "en", "s", 0))
+    base = rows[0][1].split()
+    rows += [(9500 + k, " ".join(base[:100] + prose(rng, 60).split()), "en", "s", 0) for k in range(20)]
     df = spark.createDataFrame(rows, DOCS)
-    assert Counter(tuple(r) for r in neardup.document_components(df).collect()) == brute_components(rows)
+    for settings in ({"LEAF": 16, "GROUP": 32, "DEPTH": 3, "BLOCK_NODES": 40}, {"LEAF": 8, "GROUP": 7, "DEPTH": 4, "AGREE": 30}, {"GROUP": 3}):
+        with monkeypatch.context() as m:
+            for name, value in settings.items():
+                m.setattr(neardup, name, value)
+            assert Counter(tuple(r) for r in neardup.document_components(df).collect()) == brute_components(rows), settings
+
+
+def test_recall_of_the_trees(spark, monkeypatch):
+    """Pairs at the threshold, in nodes that must branch: how many are found as candidates."""
+    rng, rows = random.Random(12), []
+    for _ in range(300):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        other = words[:]
+        other[60] = "changed"
+        other[20] = "changed"
+        rows += [(len(rows) + k, " ".join(t), "en", "s", 0) for k, t in enumerate((words, other))]
+    monkeypatch.setattr(neardup, "LEAF", 2)
+    df = spark.createDataFrame(rows, DOCS)
+    classes = neardup.classes_of(neardup.materialise(neardup.sketches(df), "sketches"))
+    of = {r["cid"]: r["rep"] for r in classes.collect()}
+    found = {frozenset((of[r["a"]], of[r["b"]])) for r in neardup.tree_links(classes).collect()}
+    assert sum(frozenset((k, k + 1)) in found for k in range(0, 600, 2)) == 300
 
 
 def test_one_of_each(docs, rows, no_docs):
@@ -267,6 +294,21 @@ def test_repeats(docs, rows, clashing, no_docs):
     assert same_rows(got, repeats.document_repeats(clashing)) and repeats.document_repeats(no_docs).count() == 0
 
 
+def test_hot_anchors_are_dealt_by_windows(spark, monkeypatch):
+    """A passage in many texts with different surroundings, beside others: the windows of its anchors go another way."""
+    rng = random.Random(10)
+    passage = prose(rng, 90)
+    rows = [(k, f"{prose(rng, rng.randrange(1, 30))} {passage} {prose(rng, rng.randrange(1, 30))}") for k in range(40)]
+    other = prose(rng, 80)
+    rows += [(100 + k, f"{prose(rng, 20)} {other[k * 30 :]} {prose(rng, 20)}") for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    texts = [t.encode() for _, t in rows]
+    want = {k: hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest() for (k, _), t, gone in zip(rows, texts, brute_repeats(texts), strict=True)}
+    for hot in (3, 4096):
+        monkeypatch.setattr(repeats, "HOT", hot)
+        assert {r["doc_id"]: r["kept_sha256"] for r in repeats.document_repeats(df).collect()} == want
+
+
 def test_repeats_at_every_overlap(spark):
     rng, rows = random.Random(9), []
     for case in range(30):
@@ -483,6 +525,20 @@ def test_pruning_leaves_work_out():
     assert np.allclose(turn.T @ turn, np.eye(32))
 
 
+def test_stages_take_empty_tables_and_clashing_columns(spark, docs, rows, labels, clashing, no_docs, tmp_path):
+    """All stages on no rows, and the operators that keep further columns beside the same rows without them."""
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        found = stage(spark, no_docs, str(tmp_path))
+        assert found.count() == 0 and (k == 4 or found.columns == no_docs.columns)
+    keep = [c.split()[0] for c in DOCS.split(", ")]
+    for run in (lambda d: quality.filter_documents(d, labels), neardup.one_of_each, repeats.remove_repeats):
+        wide = run(clashing)
+        assert wide.columns == clashing.columns
+        assert sorted(map(repr, (tuple(r[c] for c in keep[:4]) for r in wide.collect()))) == sorted(map(repr, (tuple(r[c] for c in keep[:4]) for r in run(docs).collect())))
+    assert same_rows(bpe.encode_documents(docs), bpe.encode_documents(clashing))
+
+
 def test_pipeline(spark, rows, labels, tmp_path):
     """Each stage against brute force on what the stage before it kept."""
     sf = tmp_path / "sf"
