@@ -23,6 +23,13 @@ class Stats:
             with self._lock:
                 setattr(self, name, getattr(self, name) + n)
 
+    def count(self, *names: str) -> None:
+        """One more of each counter."""
+        with self._lock:
+            held = self.__dict__
+            for name in names:
+                held[name] += 1
+
     def set_gauges(self, file_count: int, disk_bytes: int) -> None:
         self.file_count, self.disk_bytes = file_count, disk_bytes
 
