@@ -292,29 +292,28 @@ def block_pairs(rows: DataFrame, key: str, block: int, size: str = "size") -> Da
 def tree_links(classes: DataFrame) -> DataFrame:
     """Links (a, b) between classes that some node finds alike."""
 
-    def compared(nodes: DataFrame, block: int) -> DataFrame:
-        dealt = block_pairs(nodes.select("key", "cid", "sketch", "size"), "key", block)
-        return dealt.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two").mapInArrow(_compare_nodes, "a long, b long")
+    def dealt(nodes: DataFrame, block: int) -> DataFrame:
+        return block_pairs(nodes.select("key", "cid", "sketch", "size"), "key", block)
 
     roots = classes.select(F.posexplode("roots").alias("_p", "key"), "cid", "sketch")
     nodes, found = roots.select("key", F.floor(F.col("_p") / BRANCHES).cast("int").alias("tree"), "cid", "sketch"), None
     for depth in range(DEPTH):
         sizes = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         nodes = materialise(nodes.join(sizes, "key"), f"nodes{depth}")
-        links = compared(nodes.filter(F.col("size") <= LEAF), LEAF)
-        found = links if found is None else found.unionByName(links)
+        small = dealt(nodes.filter(F.col("size") <= LEAF), LEAF)
+        found = small if found is None else found.unionByName(small)
         large = nodes.filter(F.col("size") > LEAF)
         if large.isEmpty():
             break
         if depth == DEPTH - 1:
-            found = found.unionByName(compared(large, BLOCK_NODES))
+            found = found.unionByName(dealt(large, BLOCK_NODES))
             break
         pivots = large.groupBy("key").agg(F.min("sketch").alias("pivot"))
         like = large.join(pivots, "key").select("key", "sketch", "pivot").mapInArrow(_agreement, "key long, like int")
         alike = materialise(like.groupBy("key").agg(F.avg("like").alias("like")).filter(F.col("like") >= AGREE).select("key"), "alike")
-        found = found.unionByName(compared(large.join(alike, "key", "left_semi"), BLOCK_NODES))
+        found = found.unionByName(dealt(large.join(alike, "key", "left_semi"), BLOCK_NODES))
         nodes = large.join(alike, "key", "left_anti").select("key", "tree", "cid", "sketch").mapInArrow(_branch, "key long, tree int, cid long, sketch binary").dropDuplicates(["key", "cid"])
-    return found
+    return found.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two").mapInArrow(_compare_nodes, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
