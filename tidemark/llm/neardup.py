@@ -7,7 +7,7 @@ tree has OWN of them for itself, so trees are independent.
 The join branches classes into trees. At a tree's root each class follows BRANCHES chosen coordinates: all classes with the same
 minwise token at a chosen coordinate meet in a node. A node of at most LEAF classes is compared exhaustively on the minwise
 tokens; a larger one branches again, along coordinates of its tree that its path's hash chooses. Branching doesn't part classes that
-are alike: a large node whose classes agree with its first one as links do, on average, is compared exhaustively where it is, and so
+are alike: a large node of which a quarter (ALIKE) agree with its first class as links do is compared exhaustively where it is, and so
 is one that is still large after DEPTH levels. Both are dealt out as pairs of blocks, so nothing is capped.
 
 A pair of similarity s survives a level with chance 1 - (1 - s) ** 2, and all levels with chance 1 - q, where q = (1 - s + s q) ** 2:
@@ -42,6 +42,8 @@ WORDS = 5
 PERCENT, STAGE_PERCENT = 85, 80
 TREES, OWN, BRANCHES, LEAF, DEPTH = 6, 12, 2, 256, 4
 COORDINATES = TREES * OWN
+#: Share of a large node's classes that agree with its first one as links do, from which on it isn't branched but compared.
+ALIKE = 0.25
 #: Minwise tokens of COORDINATES that must agree before full sets are compared; classes of a block of a large node, and of a large group.
 AGREE, BLOCK_NODES, GROUP = 36, 2048, 800
 #: Bytes of text that are hashed at once.
@@ -310,7 +312,7 @@ def tree_links(classes: DataFrame) -> DataFrame:
             break
         pivots = large.groupBy("key").agg(F.min("sketch").alias("pivot"))
         like = large.join(pivots, "key").select("key", "sketch", "pivot").mapInArrow(_agreement, "key long, like int")
-        alike = materialise(like.groupBy("key").agg(F.avg("like").alias("like")).filter(F.col("like") >= AGREE).select("key"), "alike")
+        alike = materialise(like.groupBy("key").agg(F.avg((F.col("like") >= AGREE).cast("int")).alias("share")).filter(F.col("share") >= ALIKE).select("key"), "alike")
         found = found.unionByName(dealt(large.join(alike, "key", "left_semi"), BLOCK_NODES))
         nodes = large.join(alike, "key", "left_anti").select("key", "tree", "cid", "sketch").mapInArrow(_branch, "key long, tree int, cid long, sketch binary").dropDuplicates(["key", "cid"])
     return found.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two").mapInArrow(_compare_nodes, "a long, b long")

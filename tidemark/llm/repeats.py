@@ -417,12 +417,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     return kept.select("row.*", F.col("kept").alias("_kept")).mapInArrow(unpack, schema)
 
 
-#: The same as SQL: all windows by their MD5. Texts are cut into overlapping parts first, since taking a part of a long text is slow.
+#: The same as SQL: all windows by their hashes. Texts are cut into overlapping parts first, since taking a part of a long text is slow.
 REPEATS_SQL = """
 WITH d AS (SELECT row_number() OVER () AS id, CAST(doc_id AS BIGINT) AS doc_id, coalesce(text, '') AS text FROM documents),
 h AS (SELECT id, doc_id, strlen(text) AS n, hex(encode(text)) AS x, sha256(text) AS whole FROM d),
 c AS (SELECT id, 1000 * k AS base, substr(x, 2000 * k + 1, 2398) AS y FROM (SELECT id, x, unnest(range(0, (n - 200) // 1000 + 1)) AS k FROM h WHERE n >= 200)),
-w AS (SELECT id, base + i AS p, md5(substr(y, 2 * i + 1, 400)) AS m FROM (SELECT id, base, y, unnest(range(0, strlen(y) // 2 - 199)) AS i FROM c)),
+w AS (SELECT id, base + i AS p, hash(substr(y, 2 * i + 1, 400)) AS m FROM (SELECT id, base, y, unnest(range(0, strlen(y) // 2 - 199)) AS i FROM c)),
 r AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
 s AS (SELECT id, p, CASE WHEN p - lag(p) OVER (PARTITION BY id ORDER BY p) <= 200 THEN 0 ELSE 1 END AS fresh FROM w JOIN r USING (m)),
 i AS (SELECT id, p, sum(fresh) OVER (PARTITION BY id ORDER BY p) AS span FROM s),
