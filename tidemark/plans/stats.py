@@ -63,11 +63,12 @@ def throughput(operations: int, elapsed_ms: float) -> float:
     return operations * 1000.0 / max(1.0, elapsed_ms)
 
 
-def human_bytes(n: int) -> str:
+def human_bytes(n: int, units: str = "KMGTPE") -> str:
+    """Bytes in the greatest of the units that leaves one at least; the last unit takes all that is larger."""
     if n < 1024:
         return f"{n} B"
     size, unit = float(n), ""
-    for unit in "KMGTPE":
+    for unit in units:
         size /= 1024
         if size < 1024:
             break
