@@ -563,3 +563,26 @@ def test_pipeline(spark, rows, labels, tmp_path):
     assert words(kept[3]) == sum(r["taken"] for r in mixing.document_mix(third, labels).collect())
     assert Counter(r[0] for r in kept[4]) == Counter(r[0] for r in kept[3])
     assert Counter(r[0] for r in corpus_pipeline.run(spark, str(sf)).collect()) == Counter(r[0] for r in kept[4])
+
+
+def test_rows_of_large_nodes_are_branched_once(spark, monkeypatch, tmp_path):
+    """However often the children are read: their sizes, and they themselves."""
+    whole, log = neardup._branch, str(tmp_path / "branched")
+
+    def noted(batches):
+        for batch in batches:
+            with open(log, "a") as f:
+                f.writelines(f"{k} {c}\n" for k, c in zip(batch.column("key").to_pylist(), batch.column("cid").to_pylist(), strict=True))
+            yield from whole([batch])
+
+    monkeypatch.setattr(neardup, "LEAF", 4)
+    monkeypatch.setattr(neardup, "_branch", noted)
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(40)]
+    text = " ".join(rng.choices(words, k=60))
+    rows = [(k, f"{text} " + " ".join(rng.choices(words, k=60))) for k in range(60)]
+    classes = neardup.classes_of(neardup.materialise(neardup.sketches(spark.createDataFrame(rows, "doc_id long, text string")), "sketches"))
+    neardup.tree_links(classes).count()
+    with open(log) as f:
+        made = Counter(f)
+    assert made and max(made.values()) == 1

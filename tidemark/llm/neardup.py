@@ -314,7 +314,8 @@ def tree_links(classes: DataFrame) -> DataFrame:
         like = large.join(pivots, "key").select("key", "sketch", "pivot").mapInArrow(_agreement, "key long, like int")
         alike = materialise(like.groupBy("key").agg(F.avg((F.col("like") >= AGREE).cast("int")).alias("share")).filter(F.col("share") >= ALIKE).select("key"), "alike")
         found = found.unionByName(dealt(large.join(alike, "key", "left_semi"), BLOCK_NODES))
-        nodes = large.join(alike, "key", "left_anti").select("key", "tree", "cid", "sketch").mapInArrow(_branch, "key long, tree int, cid long, sketch binary").dropDuplicates(["key", "cid"])
+        # stored, since the children's sizes and the children themselves are both read: else every row would be made twice
+        nodes = materialise(large.join(alike, "key", "left_anti").select("key", "tree", "cid", "sketch").mapInArrow(_branch, "key long, tree int, cid long, sketch binary").dropDuplicates(["key", "cid"]), "branched")
     return found.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two").mapInArrow(_compare_nodes, "a long, b long")
 
 
