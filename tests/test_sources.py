@@ -9,8 +9,9 @@ from tidemark import cli
 from tidemark.errors import CorruptLogError, StorageError
 from tidemark.functions import hashing as H
 from tidemark.functions import schema as S
+from tidemark.plans.config import Config
 from tidemark.plans.store import Store
-from tidemark.sources.logfile import LogDataSource, LogWriter, decode_frames, encode_frame, read_log, read_segment, replayed
+from tidemark.sources.logfile import LogDataSource, LogWriter, _Feed, decode_frames, encode_frame, read_log, read_segment, replayed
 from tidemark.streaming.ingest import ingest, latest_by_key, windowed_counts
 
 ROWS = [("user:001", b"Alice", 1000, 1), ("user:002", b"Bob", 2000, 1), ("user:001", b"", 3000, 2)]
@@ -199,3 +200,64 @@ def test_wide_ids_keep_their_keys(spark, tmp_path):
     rows = [(1, 123456789, "click", "{}"), (2, 1234567890, "click", "{}"), (3, 7, "error", "{}")]
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, props string").selectExpr("*", "timestamp_ntz'2024-01-01 00:00:00' as ts").write.parquet(str(tmp_path / "events.parquet"))
     assert {r["key"] for r in events_log(spark, str(tmp_path)).collect()} == {"user:123456789", "user:1234567890", "user:00000007"}
+
+
+def test_feed_of_a_store_that_flushes(spark, tmp_path):
+    """Mutations stay in the feed once they are in files, numbered through all segments and restarts, until the log is trimmed."""
+    spark.dataSource.register(LogDataSource)
+    path, config = str(tmp_path / "db"), Config(memtable_bytes=2000, wal_sync=False, compaction_threshold=1000, keep_log=True)
+
+    def follow(name):
+        feed = spark.readStream.format("mutation_log").option("path", f"{path}/wal").load()
+        q = feed.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-cp"))
+        q.trigger(availableNow=True).start().awaitTermination()
+        return sorted((r["place"], r["key"]) for r in spark.read.parquet(str(tmp_path / name)).collect())
+
+    want = [(n, f"k{n % 70:03d}") for n in range(150)]
+    with Store(spark, path, config) as s:
+        for n in range(60):
+            s.put(want[n][1], "value")
+        s._log.sync()
+        assert follow("feed") == want[:60]
+        for n in range(60, 120):
+            s.put(want[n][1], "value")
+        s._log.sync()
+        assert s.stats.flushes > 3 and follow("feed") == want[:120]
+    with Store(spark, path, config) as s:
+        assert s.buffer_stats()["count"] == 0  # kept segments aren't replayed
+        for n in range(120, 150):
+            s.put(want[n][1], "value")
+        s.flush()
+        assert follow("feed") == want and follow("again") == want
+        assert s.trim_log(100) > 0 and follow("late")[-1] == want[-1] and follow("late")[0][0] <= 100
+
+
+def test_feed_says_what_is_gone(spark, tmp_path):
+    path = str(tmp_path / "db")
+    with Store(spark, path, Config(wal_sync=False)) as s:
+        s.put("a", "1")
+        s._log.sync()
+        feed = _Feed({"path": f"{path}/wal"})
+        at = feed.latestOffset()
+        s.put("b", "2")
+        s.flush()  # retires the segment, of which the feed has read a part
+        s.put("c", "3")
+        s._log.sync()
+        with pytest.raises(StorageError):
+            feed.partitions(at, feed.latestOffset())
+        lax = _Feed({"path": f"{path}/wal", "failOnDataLoss": "false"})
+        assert [r[0] for p in lax.partitions(at, lax.latestOffset()) for r in lax.read(p)] == ["c"]
+
+
+def test_segments_of_one_millisecond_sort_as_they_were_made(spark, tmp_path, monkeypatch):
+    from tidemark.plans import store as module
+
+    monkeypatch.setattr(module, "now_ms", lambda: 5)
+    s, made = Store(spark, str(tmp_path / "db"), Config(wal_sync=False)), []
+    for n in range(12):
+        s.put("k", str(n))
+        made.append(s._log.path)
+        s._set_aside()
+    assert made == sorted(made)
+    with Store(spark, str(tmp_path / "db")) as t:
+        assert t.get_text("k") == "11"

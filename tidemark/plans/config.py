@@ -15,6 +15,7 @@ class Config:
     filters. compaction_threshold: commits at level 0 that make a compaction due. wal_sync: sync the log on every write.
     compaction_interval_ms: pause of the background thread. max_immutable: full buffers that may wait for that thread.
     target_file_bytes: size of compacted files. keep_tombstones_ms: deletions younger than this survive a purge.
+    keep_log: log segments whose mutations are in files stay for change feeds, until Store.trim_log.
     """
 
     data_dir: str = "./data/tidemark"
@@ -27,6 +28,7 @@ class Config:
     max_immutable: int = 4
     target_file_bytes: int = 128 << 20
     keep_tombstones_ms: int | None = None
+    keep_log: bool = False
 
     def __post_init__(self) -> None:
         for name in ("memtable_bytes", "index_interval", "compaction_interval_ms", "max_immutable", "target_file_bytes"):

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -24,6 +25,19 @@ from tidemark.functions.schema import DELETE, PUT
 MAX_KEY, MAX_VALUE = 65_536, 64 << 20
 _HEAD, _HEAD_SIZE = ">IqBi", 17
 LOG_SCHEMA = "key string, value binary, ts_ms long, op tinyint, segment string, place long"
+#: What a segment's name ends with once its mutations are in files and it stays for change feeds.
+KEPT = ".kept"
+
+
+def segment_name(ts_ms: int, first: int) -> str:
+    """A name for a new segment: names sort by time, and say the number of the segment's first frame in the log."""
+    return f"{ts_ms:020d}-{first:020d}-{uuid.uuid4().hex}.wal"
+
+
+def first_frame(name: str) -> int | None:
+    """The number in the log of a segment's first frame; None where its name doesn't say."""
+    parts = name.split("-")
+    return int(parts[1]) if len(parts) == 3 and len(parts[1]) == 20 and parts[1].isdigit() else None
 
 
 def encode_frame(key: str, value: bytes, ts_ms: int, op: int) -> bytes:
@@ -182,37 +196,64 @@ class _Reader(DataSourceReader):
 class _Feed(DataSourceStreamReader):
     """A log as a change feed: mutations in the order of segments and frames, also of the segment that is being written.
 
-    The offset names the last segment that was read and how many of its frames. Segments are named by their time, so new ones come
-    later; a segment that a store has retired before it was read is in the store's files, and no longer in the feed.
+    place counts the mutations of the whole log (of a segment, where its name doesn't say its first number). The offset names the last
+    segment that was read and how many of its frames. Segments are named by their time, so new ones of a writer come later; a feed
+    follows one writer. A store that is to be followed keeps its retired segments (Config.keep_log). Where mutations after the offset
+    are gone, the feed fails, or goes on with what is there if failOnDataLoss is false.
     """
 
     def __init__(self, options):
-        self.path = options["path"]
+        self.path, self.strict = options["path"], options.get("failOnDataLoss", "true").lower() != "false"
 
     def _names(self) -> list[str]:
-        return sorted(f for f in os.listdir(self.path) if f.endswith(".wal")) if os.path.isdir(self.path) else []
+        found = os.listdir(self.path) if os.path.isdir(self.path) else []
+        return sorted({f.removesuffix(KEPT) for f in found if f.endswith((".wal", f".wal{KEPT}"))})
+
+    def _read(self, name: str) -> list[tuple[str, bytes, int, int]] | None:
+        """A segment's frames, whether or not it is retired meanwhile; None if it is gone."""
+        for path in (os.path.join(self.path, name), os.path.join(self.path, name + KEPT)):
+            try:
+                return read_segment(path)
+            except (StorageError, FileNotFoundError):
+                continue
+        return None
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {"segment": "", "frames": 0}
 
     def latestOffset(self) -> dict:  # noqa: N802
-        names = self._names()
-        return {"segment": names[-1], "frames": len(read_segment(os.path.join(self.path, names[-1])))} if names else self.initialOffset()
+        for name in reversed(self._names()):
+            frames = self._read(name)
+            if frames is not None:
+                return {"segment": name, "frames": len(frames)}
+        return self.initialOffset()
 
     def partitions(self, start: dict, end: dict) -> list[_Segment]:
-        out = []
-        for name in self._names():
+        out, names = [], self._names()
+        if start["segment"] and start["segment"] not in names:
+            due, there = first_frame(start["segment"]), [n for n in names if n > start["segment"]]
+            first = first_frame(there[0]) if there else None
+            if due is None or first is None or first > due + start["frames"]:
+                self._lost(f"what came after frame {start['frames']} of {start['segment']}")
+        for name in names:
             if start["segment"] <= name <= end["segment"]:
                 first = start["frames"] if name == start["segment"] else 0
                 out.append(_Segment(os.path.join(self.path, name), first, end["frames"] if name == end["segment"] else None))
         return out
 
+    def _lost(self, what: str) -> None:
+        if self.strict:
+            raise StorageError(f"{what} is no longer in the log; keep_log keeps a store's log for feeds")
+
     def read(self, partition: _Segment):
-        if not os.path.exists(partition.path):  # retired meanwhile
-            return
-        for place, (key, value, ts_ms, op) in enumerate(read_segment(partition.path)):
+        name = os.path.basename(partition.path)
+        frames = self._read(name)
+        if frames is None:  # retired meanwhile
+            return self._lost(name)
+        base = first_frame(name) or 0
+        for place, (key, value, ts_ms, op) in enumerate(frames):
             if place >= partition.first and (partition.last is None or place < partition.last):
-                yield key, value, ts_ms, op, os.path.basename(partition.path), place
+                yield key, value, ts_ms, op, name, base + place
 
 
 class _Writer(DataSourceWriter):
