@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -586,3 +587,65 @@ def test_rows_of_large_nodes_are_branched_once(spark, monkeypatch, tmp_path):
     with open(log) as f:
         made = Counter(f)
     assert made and max(made.values()) == 1
+
+
+def least_nodes(links):
+    """The least node of the component of each linked node, by plain search."""
+    near = {}
+    for a, b in links:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    root = {}
+    for k in sorted(near):
+        todo = [] if k in root else [k]
+        while todo:
+            x = todo.pop()
+            if x not in root:
+                root[x] = k
+                todo += near[x]
+    return root
+
+
+@pytest.mark.parametrize("few", [0, 60, neardup.FEW])
+def test_components_in_rounds_and_on_the_driver(spark, monkeypatch, few):
+    """All in rounds, the last ones on the driver, and all on the driver; negative ids, repeated links, loops, a hub and a chain."""
+    rng = random.Random(5)
+    links = [(k + 1, k) for k in range(50)] + [(k, 500) for k in range(501, 600)] + [(-(1 << 62) + rng.randrange(40), rng.randrange(600, 700)) for _ in range(90)]
+    links += [*links[:60], (7, 7), (900, 900)]
+    monkeypatch.setattr(neardup, "FEW", few)
+    got = neardup.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r["node"]: r["root"] for r in got} == least_nodes(links) and len(got) == len(least_nodes(links))
+    none = neardup.components(spark.createDataFrame([(3, 3)], "a long, b long"))
+    assert none.count() == 0 and none.columns == ["node", "root"]
+
+
+@pytest.mark.parametrize("few", [0, neardup.FEW])
+def test_neardup_whichever_way_components_are_found(spark, monkeypatch, docs, rows, few):
+    monkeypatch.setattr(neardup, "FEW", few)
+    monkeypatch.setattr(neardup, "GROUP", 3)
+    assert Counter(tuple(r) for r in neardup.document_components(docs).collect()) == brute_components(rows)
+
+
+def test_components_of_few_links_take_few_tasks(spark):
+    links = spark.createDataFrame([(k + 1, k) for k in range(300)], "a long, b long").cache()
+    links.count()
+    spark.sparkContext.setJobGroup("few links", "components")
+    try:
+        assert {r["root"] for r in neardup.components(links).collect()} == {0}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    status = spark.sparkContext.statusTracker()
+    stages = {k for job in status.getJobIdsForGroup("few links") for k in status.getJobInfo(job).stageIds}
+    assert 0 < sum(status.getStageInfo(k).numCompletedTasks for k in stages if status.getStageInfo(k)) < 40
+
+
+def test_a_child_is_made_once():
+    """Also where a node chooses the same coordinate of its tree twice."""
+    rng = np.random.default_rng(2)
+    n = 2000
+    columns = [pa.array(rng.integers(-(1 << 62), 1 << 62, n)), pa.array(rng.integers(0, neardup.TREES, n), pa.int32()), pa.array(range(n), pa.int64())]
+    sketch = pa.array([x.tobytes() for x in rng.integers(0, 256, (n, neardup.COORDINATES), np.uint8)], pa.binary())
+    made = pa.Table.from_batches(neardup._branch([pa.RecordBatch.from_arrays([*columns, sketch], names=["key", "tree", "cid", "sketch"])]))
+    children = Counter(zip(made["key"].to_pylist(), made["cid"].to_pylist(), strict=True))
+    assert max(children.values()) == 1 and {c for _, c in children} == set(range(n)) and n < len(children) < 2 * n

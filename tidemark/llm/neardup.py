@@ -19,7 +19,7 @@ A node only reports which of its classes hang together. The groups this gives ar
 blocks of GROUP, each set in one block. In groups of several blocks, one set of each connected part of a block then meets those of the
 other blocks. What is connected by now needs no more comparing: only sets outside a group's largest part meet all others, so
 that no link between parts is missed. Components of links are found by alternating large-star and small-star rounds over tables
-in the shared folder.
+in the shared folder; once FEW links or fewer are left, the driver ends it.
 
 Words are hashed to 64 bits, and shingles from those, so sets are compared up to 64-bit collisions; texts are looked up by 128 bits.
 
@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded, byte_view, materialise, release, settled, slices, utf8
@@ -46,6 +46,8 @@ COORDINATES = TREES * OWN
 ALIKE = 0.25
 #: Minwise tokens of COORDINATES that must agree before full sets are compared; classes of a block of a large node, and of a large group.
 AGREE, BLOCK_NODES, GROUP = 36, 2048, 800
+#: Links, of two numbers each, whose components the driver finds: so few cost less there than one more exchange.
+FEW = 1 << 16
 #: Bytes of text that are hashed at once.
 BLOCK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -257,17 +259,23 @@ def _compare_nodes(batches):
 
 
 def _branch(batches):
-    """Rows of large nodes -> rows of their children, along BRANCHES coordinates of their tree that the node's key chooses."""
+    """Rows of large nodes -> rows of their children, along BRANCHES coordinates of their tree that the node's key chooses.
+
+    A coordinate that is chosen again gives the same child, which is made once.
+    """
     for batch in batches:
         if not len(batch):
             continue
         key, tree = batch.column("key").to_numpy().view(np.uint64), batch.column("tree").to_numpy().astype(np.int64)
         held = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(len(batch), COORDINATES)
         with np.errstate(over="ignore"):
+            earlier: list[np.ndarray] = []
             for k in range(BRANCHES):
                 chosen = tree * OWN + (mix(key + np.uint64(_ODD[k])) % np.uint64(OWN)).astype(np.int64)
                 child = mix(key * np.uint64(_ODD[2]) + chosen.astype(np.uint64) * np.uint64(_ODD[3]) + held[np.arange(len(batch)), chosen].astype(np.uint64) + np.uint64(1))
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column("tree"), batch.column("cid"), batch.column("sketch")], names=["key", "tree", "cid", "sketch"])
+                new = pa.array(np.all([chosen != c for c in earlier], axis=0) if earlier else np.ones(len(batch), bool))
+                earlier.append(chosen)
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column("tree"), batch.column("cid"), batch.column("sketch")], names=["key", "tree", "cid", "sketch"]).filter(new)
 
 
 def _agreement(batches):
@@ -315,10 +323,21 @@ def tree_links(classes: DataFrame) -> DataFrame:
         alike = materialise(like.groupBy("key").agg(F.avg((F.col("like") >= AGREE).cast("int")).alias("share")).filter(F.col("share") >= ALIKE).select("key"), "alike")
         found = found.unionByName(dealt(large.join(alike, "key", "left_semi"), BLOCK_NODES))
         # stored, since the children's sizes and the children themselves are both read: else every row would be made twice
-        nodes = materialise(large.join(alike, "key", "left_anti").select("key", "tree", "cid", "sketch").mapInArrow(_branch, "key long, tree int, cid long, sketch binary").dropDuplicates(["key", "cid"]), "branched")
+        nodes = materialise(large.join(alike, "key", "left_anti").select("key", "tree", "cid", "sketch").mapInArrow(_branch, "key long, tree int, cid long, sketch binary"), "branched")
     return found.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two").mapInArrow(_compare_nodes, "a long, b long")
 
 
+def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of links, and the least node of each one's component."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, label = ends[: len(a)], ends[len(a) :], np.arange(len(nodes))
+    while (label[x] != label[y]).any():
+        np.minimum.at(label, np.maximum(label[x], label[y]), np.minimum(label[x], label[y]))
+        while (label[label] != label).any():
+            label = label[label]
+    return nodes, nodes[label]
+
+
 def components(links: DataFrame) -> DataFrame:
     """(a, b) links -> node, root: the least node of each component; only linked nodes have rows."""
 
@@ -326,20 +345,24 @@ def components(links: DataFrame) -> DataFrame:
         return e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
 
     edges, before = materialise(turned(links), "links"), None
-    while not edges.isEmpty():
+    while True:
+        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if now[0] <= FEW:
+            held = edges.toArrow()
+            node, root = _roots(held.column("a").to_numpy(), held.column("b").to_numpy())
+            table = pa.table([pa.array(node, pa.int64()), pa.array(root, pa.int64())], names=["node", "root"])
+            return materialise(edges.sparkSession.createDataFrame(table, "node long, root long").coalesce(1), "roots")
+        if now == before:
+            break
+        before = now
         # large star: all larger neighbours of a node go to the least of its neighbourhood
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        # small star: all smaller neighbours, and the node, go to the least of them
-        down = turned(large)
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        # small star: all smaller neighbours, and the node, go to the least of them; the least itself stands for the node
+        down = large.repartition("a").withColumn("m", F.min("b").over(Window.partitionBy("a")))
+        small = down.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         edges = materialise(turned(small), "links")
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
     root = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return root.unionByName(root.select(F.col("root").alias("node"), "root").distinct())
 
@@ -425,8 +448,9 @@ def confirmed(sets: DataFrame, percent: int) -> DataFrame:
     inside = held.filter("inside").select("grp", home.alias("one"), F.explode(each).alias("two"), "cid", "hashes")
     own = F.pmod(F.xxhash64("cid"), rest).cast("int")
     outside = held.filter("not inside").select("grp", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("one"), own.alias("two"), "cid", "hashes")
-    among = block_pairs(held.filter("not inside").select("grp", F.col("others").alias("size"), "cid", "hashes"), "grp", GROUP)
-    return found.unionByName(links(inside.unionByName(outside))).unionByName(links(among))
+    # and the latter in pairs of blocks, which negative numbers tell from the former
+    among = block_pairs(held.filter("not inside").select("grp", F.col("others").alias("size"), "cid", "hashes"), "grp", GROUP).withColumn("one", -1 - F.col("one"))
+    return found.unionByName(links(inside.unionByName(outside).unionByName(among)))
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
